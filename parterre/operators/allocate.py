@@ -19,10 +19,8 @@ from pyspark.sql import types as T
 
 from parterre.functions.seats import seat_names
 from parterre.operators.fold import COMMAND, INIT, STATE, section_fold
-from parterre.operators.inventory import INT_ARRAY, run_lengths, with_free_runs
-from parterre.operators.running import (
-    drop_slices, heavy_rows, running_over_slices, slice_columns, slice_ordered,
-)
+from parterre.operators.inventory import INT_ARRAY, free_count, run_lengths, with_free_runs
+from parterre.operators.running import drop_slices, heavy_rows, running_over_slices, slice_ordered
 from parterre.operators.skew import heavy_keys, split_heavy
 from parterre.operators.tables import latest_by_key
 from parterre.schemas import CONFIRMED, REJECTED, SECTION
@@ -93,23 +91,22 @@ def _fold(timeline: DataFrame, keys: list[str], with_states: bool) -> DataFrame:
 
 def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status: bool) -> DataFrame:
     sliced = slice_ordered(timeline, SECTION, ORDER, rows)
-    lane = {"lane": F.when(F.col("kind") == INIT, F.col("step")).otherwise(F.lit(0))}
-    epochs = running_over_slices(sliced, SECTION, ORDER, sums=lane)
-
-    openings = epochs.where(F.col("kind") == INIT).select(
-        *_LANE, F.aggregate(run_lengths(), F.lit(0), lambda a, n: a + n).alias("free"),
-        F.array_max(run_lengths()).alias("longest"))
-    # One opening row per epoch; adaptive execution splits the command side of a large one.
-    requests = epochs.where(F.col("kind") == COMMAND).join(openings, _LANE, "left")
+    opening = F.col("kind") == INIT
+    epochs = running_over_slices(
+        sliced, SECTION, ORDER,
+        sums={"lane": F.when(opening, F.col("step")).otherwise(F.lit(0))},
+        lasts={"free": F.when(opening, free_count()),
+               "longest": F.when(opening, F.coalesce(F.array_max(run_lengths()), F.lit(0)))})
+
     can_fit = F.col("seat_count").between(1, F.col("longest"))
     bound = F.when(can_fit, F.floor(F.col("free") / F.col("seat_count"))).otherwise(F.lit(0))
+    requests = epochs.where(F.col("kind") == COMMAND).withColumn("bound", bound)
     ranked = running_over_slices(
-        requests.withColumn("bound", F.coalesce(bound, F.lit(0))), [*_LANE, "seat_count"], ORDER,
-        sums={"size_rank": F.lit(1).cast("bigint")})
+        requests, [*_LANE, "seat_count"], ORDER, sums={"size_rank": F.lit(1).cast("bigint")})
     within = F.col("size_rank") <= F.col("bound")
     helpers = ["free", "longest", "bound", "size_rank"]
 
-    contenders = ranked.where(within).drop(*helpers).unionByName(epochs.where(F.col("kind") == INIT))
+    contenders = ranked.where(within).drop(*helpers).unionByName(epochs.where(opening).drop("free", "longest"))
     # Each lane opens with its own set-up row, which makes its step the lane number.
     folded = _fold(contenders.withColumn("step", F.col("lane")), _LANE, with_states)
     refused = ranked.where(~within).drop(*helpers, "step").select(
@@ -174,8 +171,3 @@ def seats_taken(results: DataFrame) -> DataFrame:
     return results.where(F.col("first_seat").isNotNull()).select(
         *SECTION, "epoch", "reservation_id", F.explode(F.sequence("first_seat", last)).alias("seat_no"))
 
-
-__all__ = [
-    "allocate_seats", "final_states", "replay", "results_of", "seats_taken", "slice_columns",
-    "state_rows", "states_of", "status_changelog", "status_of", "with_seat_names",
-]

@@ -79,10 +79,6 @@ def drop_slices(df: DataFrame) -> DataFrame:
     return df.drop(SLICE, _TIE)
 
 
-def slice_columns() -> list[str]:
-    return [SLICE, _TIE]
-
-
 def heavy_rows(heavy: DataFrame) -> int:
     return heavy.agg(F.sum("key_rows")).first()[0]
 
