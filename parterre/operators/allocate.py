@@ -124,12 +124,12 @@ def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status
     return outcome
 
 
-def results_of(replayed: DataFrame) -> DataFrame:
-    """The outcome of each command."""
+def results_of(replayed: DataFrame, *extra: str) -> DataFrame:
+    """The outcome of each command, with any ``extra`` columns."""
     status = F.when(F.col("first_seat").isNotNull(), CONFIRMED).otherwise(REJECTED)
     return replayed.where(F.col("kind") == COMMAND).select(
         "reservation_id", *SECTION, "seat_count", "user_id", "epoch",
-        status.alias("status"), "first_seat", F.col("ts").alias("completed_ts"))
+        status.alias("status"), "first_seat", F.col("ts").alias("completed_ts"), *extra)
 
 
 def states_of(replayed: DataFrame, as_of: Column) -> DataFrame:

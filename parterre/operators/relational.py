@@ -76,3 +76,15 @@ def verdict(parent_known: Column, words: Column | None = None, admitted: list[st
     if words is not None:
         reason = reason.when(words.isNull() | ~words.isin(admitted or []), F.lit("invalid status"))
     return reason.otherwise(F.lit("accepted"))
+
+
+def ticket_records(requests: DataFrame) -> DataFrame:
+    """New tickets of requests (id, event_id, seat_number, price): always available."""
+    return requests.select("id", "event_id", "seat_number", F.lit(AVAILABLE).alias("status"), "price")
+
+
+def ingest(checked: DataFrame, table_path: str, refused_path: str) -> None:
+    """Append the records whose ``verdict`` is accepted, and set the others aside."""
+    good = F.col("verdict") == "accepted"
+    checked.where(good).drop("verdict").write.mode("append").parquet(table_path)
+    checked.where(~good).write.mode("append").parquet(refused_path)

@@ -199,3 +199,12 @@ select count(*) as requests, count(*) filter (ok) as completed, avg(ok::int::dou
   from ({CMD}) c left join res r on r.reservation_id = c.reservation_id
   where r.status is null group by c.reservation_id""",
 }
+
+# A stream ends where its batch twin does.
+for _stream, _twin in {
+    "stream_seat_allocation": "seat_allocation",
+    "stream_prefilter": "reservation_routing",
+    "stream_reservation_table": "reservation_table",
+    "stream_events_with_changes": "events_with_changes",
+}.items():
+    ORACLE[_stream] = ORACLE[_twin]

@@ -22,8 +22,12 @@ from parterre.operators import reports as G
 from parterre.operators import route as RT
 from parterre.operators import tables as T
 from parterre.operators.running import sequence_number
-from parterre.schemas import AVAILABLE, SECTION, TICKET_STATUSES
+from parterre.schemas import AVAILABLE, COMMAND, SECTION, SECTION_INIT, TICKET_STATUSES
+from parterre.session import fresh_path, materialize
+from parterre.sources.files import publish, read_log
 from parterre.sources.fixtures import CUT_TS, INIT_TS, Tables
+from parterre.streaming.follow import ChangedEvents, LatestTable
+from parterre.streaming.route import StreamingRoute
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
@@ -426,3 +430,53 @@ def inventory_balance(t: Tables) -> DataFrame:
 @query
 def unresolved_commands(t: Tables) -> DataFrame:
     return V.unresolved_commands(t.commands, _results(t))
+
+
+# --- streams: the same results by way of files, micro-batches and checkpoints ---------------------
+
+
+def _stream_route(t: Tables, shed: bool) -> StreamingRoute:
+    """Two runs of one route: commands up to the cut, then, resumed, the rest."""
+    folder = fresh_path(t.spark, "stream-route")
+    route = StreamingRoute(t.spark, folder, shed=shed)
+    cut = F.expr(CUT_TS)
+    publish(t.inits, f"{folder}/in/inits")
+    for part in (F.col("ts") < cut, F.col("ts") >= cut):
+        publish(t.commands.where(part), f"{folder}/in/commands")
+        route.run(read_log(t.spark, f"{folder}/in/commands", COMMAND, stream=True),
+                  read_log(t.spark, f"{folder}/in/inits", SECTION_INIT, stream=True))
+    return route
+
+
+@query
+def stream_seat_allocation(t: Tables) -> DataFrame:
+    return _stream_route(t, shed=False).completed().drop("prefiltered")
+
+
+@query
+def stream_prefilter(t: Tables) -> DataFrame:
+    """Where each command was decided, with the pre-filter in front of the allocator."""
+    return _stream_route(t, shed=True).completed().drop("epoch")
+
+
+def _completed_in_two_runs(t: Tables, follower: LatestTable | ChangedEvents, folder: str) -> None:
+    feed = materialize(completed_feed(t), "completed-feed")
+    for part in (F.col("status") == "PENDING", F.col("status") != "PENDING"):
+        publish(feed.where(part), f"{folder}/in")
+        follower.run(read_log(t.spark, f"{folder}/in", feed.schema, stream=True))
+
+
+@query
+def stream_reservation_table(t: Tables) -> DataFrame:
+    folder = fresh_path(t.spark, "stream-table")
+    table = LatestTable(t.spark, folder, completed_feed(t).schema, ["reservation_id"], ["completed_ts"])
+    _completed_in_two_runs(t, table, folder)
+    return table.read()
+
+
+@query
+def stream_events_with_changes(t: Tables) -> DataFrame:
+    folder = fresh_path(t.spark, "stream-changes")
+    changes = ChangedEvents(t.spark, folder)
+    _completed_in_two_runs(t, changes, folder)
+    return changes.read().select("event_id").distinct()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,15 +44,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/parterre/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and continue from the written table.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
+
+
+def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once and continue from the written table, in ``spark`` if given.
 
     Cuts the lineage so that a lost executor costs a re-read, and gives every
-    later use of the rows the same partition-dependent columns.
+    later use of the rows the same partition-dependent columns. The table stays
+    in the shared folder, unless made inside :func:`scratch`.
     """
-    path = fresh_path(df.sparkSession, name)
+    spark = spark or df.sparkSession
+    path = fresh_path(spark, name)
+    if (written := _written.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables :func:`materialize` writes in between."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        paths = _written.get() or []
+        _written.reset(token)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def local_session(cores: str = "8", app: str = "parterre", **extra: str) -> SparkSession:
