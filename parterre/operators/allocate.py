@@ -13,17 +13,23 @@ section has seats for reach the fold, whatever the section's traffic.
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parterre.functions.seats import seat_names
+from parterre.operators import fold as fold_module
 from parterre.operators.fold import COMMAND, INIT, STATE, section_fold
 from parterre.operators.inventory import INT_ARRAY, free_count, run_lengths, with_free_runs
-from parterre.operators.running import drop_slices, heavy_rows, running_over_slices, slice_ordered
+from parterre.operators.running import drop_slices, first_in_slices, heavy_rows, running_over_slices, slice_ordered
 from parterre.operators.skew import heavy_keys, split_heavy
 from parterre.operators.tables import latest_by_key
 from parterre.schemas import CONFIRMED, REJECTED, SECTION
+from parterre.session import materialize
+
+# The fold travels with its tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(fold_module)
 
 # Commands in time order, set-ups before commands of the same time; the further
 # columns make the order total, so that a replay always gives one result.
@@ -32,10 +38,12 @@ _LANE = [*SECTION, "lane"]
 
 
 def command_rows(commands: DataFrame) -> DataFrame:
+    # Empty rather than null runs: null lists are slow to hand to Python.
+    none = F.array().cast(INT_ARRAY)
     return commands.select(
         *SECTION, "ts", "reservation_id", "seat_count", "user_id",
         F.lit(COMMAND).alias("kind"), F.lit(None).cast("bigint").alias("step"),
-        F.lit(None).cast(INT_ARRAY).alias("run_starts"), F.lit(None).cast(INT_ARRAY).alias("run_stops"))
+        none.alias("run_starts"), none.alias("run_stops"))
 
 
 def init_rows(inits: DataFrame) -> DataFrame:
@@ -96,27 +104,29 @@ def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status
         sliced, SECTION, ORDER,
         sums={"lane": F.when(opening, F.col("step")).otherwise(F.lit(0))},
         lasts={"free": F.when(opening, free_count()),
-               "longest": F.when(opening, F.coalesce(F.array_max(run_lengths()), F.lit(0)))})
+               "longest": F.when(opening, F.coalesce(F.array_max(run_lengths()), F.lit(0)))},
+        sparse=True)
 
-    can_fit = F.col("seat_count").between(1, F.col("longest"))
-    bound = F.when(can_fit, F.floor(F.col("free") / F.col("seat_count"))).otherwise(F.lit(0))
-    requests = epochs.where(F.col("kind") == COMMAND).withColumn("bound", bound)
-    ranked = running_over_slices(
-        requests, [*_LANE, "seat_count"], ORDER, sums={"size_rank": F.lit(1).cast("bigint")})
-    within = F.col("size_rank") <= F.col("bound")
-    helpers = ["free", "longest", "bound", "size_rank"]
+    size = F.coalesce("seat_count", F.lit(0))
+    can_fit = size.between(1, F.col("longest"))
+    bound = F.when(can_fit, F.floor(F.col("free") / size)).otherwise(F.lit(0))
+    requests = epochs.where(F.col("kind") == COMMAND).withColumn("size", size)
+    first, rest = first_in_slices(requests, [*_LANE, "size"], ORDER, bound)
+    helpers = ["free", "longest", "size"]
 
-    contenders = ranked.where(within).drop(*helpers).unionByName(epochs.where(opening).drop("free", "longest"))
+    contenders = first.drop(*helpers).unionByName(epochs.where(opening).drop("free", "longest"))
     # Each lane opens with its own set-up row, which makes its step the lane number.
     folded = _fold(contenders.withColumn("step", F.col("lane")), _LANE, with_states)
-    refused = ranked.where(~within).drop(*helpers, "step").select(
+    refused = rest.drop(*helpers, "step").select(
         "*", F.col("lane").alias("epoch"), F.lit(None).cast("int").alias("first_seat"),
         F.lit(None).cast("int").alias("available_count"))
     outcome = folded.unionByName(refused)
     if with_status:
-        events = outcome.where(F.col("kind") != STATE).withColumn("step", F.lit(None).cast("bigint"))
-        filled = running_over_slices(events, SECTION, ORDER, lasts={"available_count": F.col("available_count")})
-        outcome = outcome.where(F.col("kind") == STATE).unionByName(filled.drop("step"))
+        outcome = materialize(outcome.withColumn("step", F.lit(None).cast("bigint")), "outcomes")
+        filled = running_over_slices(
+            outcome.where(F.col("kind") != STATE), SECTION, ORDER,
+            lasts={"available_count": F.col("available_count")}, sparse=True)
+        outcome = outcome.where(F.col("kind") == STATE).unionByName(filled).drop("step")
     outcome = drop_slices(outcome).drop("lane")
     if with_states:
         final = latest_by_key(outcome.where(F.col("kind") == STATE), SECTION, ["epoch"])

@@ -39,11 +39,15 @@ def running_over_slices(
     order: list[str],
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    *,
+    sparse: bool = False,
 ) -> DataFrame:
     """Running sums and last non-null values on a table from :func:`slice_ordered`.
 
-    ``keys`` may be finer than the keys of the slicing. The big side is shuffled
-    once, on (keys, slice); the carried totals have one row per such pair.
+    The totals carried from slice to slice have one row per key and slice. They
+    are written first, so that Catalyst knows their size when it picks the join.
+    With ``sparse``, few slices change a value: the others take what is carried
+    to them and are neither shuffled nor sorted.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
     position = [F.col(c) for c in [*order, _TIE]]
@@ -51,28 +55,66 @@ def running_over_slices(
         Window.unboundedPreceding, Window.currentRow)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
+    changes = F.lit(False)
+    for column in sums.values():
+        changes = changes | (column != 0)
+    for column in lasts.values():
+        changes = changes | column.isNotNull()
     totals = sliced.groupBy(*keys, SLICE).agg(
+        F.count_if(changes).alias("changes"),
         *[F.sum(c).alias(n) for n, c in sums.items()],
         *[F.max_by(c, F.when(c.isNotNull(), F.struct(*position))).alias(n) for n, c in lasts.items()],
     )
-    carried = totals.select(
-        *keys, SLICE,
-        *[F.sum(n).over(earlier).alias(f"carried_{n}") for n in sums],
+    carried = materialize(totals.select(
+        *keys, SLICE, "changes",
+        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"carried_{n}") for n in sums],
         *[F.last(n, ignorenulls=True).over(earlier).alias(f"carried_{n}") for n in lasts],
-    )
-    local = sliced.select(
-        "*",
-        *[F.sum(c).over(within).alias(f"local_{n}") for n, c in sums.items()],
-        *[F.last(c, ignorenulls=True).over(within).alias(f"local_{n}") for n, c in lasts.items()],
-    )
-    joined = local.join(carried, [*keys, SLICE], "left")
+    ), "carried-totals")
     # An output may replace the input column it is computed from.
     kept = [c for c in sliced.columns if c not in sums and c not in lasts]
-    return joined.select(
-        *kept,
-        *[(F.coalesce(F.col(f"carried_{n}"), F.lit(0)) + F.col(f"local_{n}")).alias(n) for n in sums],
-        *[F.coalesce(F.col(f"local_{n}"), F.col(f"carried_{n}")).alias(n) for n in lasts],
-    )
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        local = rows.select(
+            "*",
+            *[F.sum(c).over(within).alias(f"local_{n}") for n, c in sums.items()],
+            *[F.last(c, ignorenulls=True).over(within).alias(f"local_{n}") for n, c in lasts.items()])
+        return local.select(
+            *kept,
+            *[(F.col(f"carried_{n}") + F.col(f"local_{n}")).alias(n) for n in sums],
+            *[F.coalesce(F.col(f"local_{n}"), F.col(f"carried_{n}")).alias(n) for n in lasts])
+
+    joined = sliced.join(carried, [*keys, SLICE], "inner")
+    if not sparse:
+        return scanned(joined)
+    untouched = joined.where(F.col("changes") == 0).select(
+        *kept, *[F.col(f"carried_{n}").alias(n) for n in [*sums, *lasts]])
+    return scanned(joined.where(F.col("changes") > 0)).unionByName(untouched)
+
+
+def first_in_slices(
+    sliced: DataFrame, keys: list[str], order: list[str], bound: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Split each key's rows into its first ``bound`` in ``order``, and all others.
+
+    ``bound`` is the same for all rows of a key. Counts per slice settle most
+    slices as a whole; only where the bound falls inside a slice are its rows
+    ranked.
+    """
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    counts = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("rows_here"), F.max(bound).alias("bound"))
+    room = F.col("bound") - F.coalesce(F.sum("rows_here").over(earlier), F.lit(0))
+    rooms = materialize(counts.select(*keys, SLICE, "rows_here", room.alias("room")), "slice-rooms")
+    fate = F.when(F.col("room") <= 0, "out").when(F.col("room") >= F.col("rows_here"), "in").otherwise("edge")
+    helpers = ["rows_here", "room", "fate"]
+    placed = materialize(sliced.join(rooms, [*keys, SLICE], "inner").withColumn("fate", fate), "placed")
+
+    rank = F.row_number().over(Window.partitionBy(*keys, SLICE).orderBy(*order, _TIE))
+    edge = placed.where(F.col("fate") == "edge").withColumn("within", rank <= F.col("room"))
+    inside = placed.where(F.col("fate") == "in").drop(*helpers).unionByName(
+        edge.where(F.col("within")).drop("within", *helpers))
+    beyond = placed.where(F.col("fate") == "out").drop(*helpers).unionByName(
+        edge.where(~F.col("within")).drop("within", *helpers))
+    return inside.select(*sliced.columns), beyond.select(*sliced.columns)
 
 
 def drop_slices(df: DataFrame) -> DataFrame:

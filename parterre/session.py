@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 # A key with more rows than this is spread over several tasks.
-HEAVY_KEY_ROWS = ("parterre.heavyKeyRows", 2_000_000)
+HEAVY_KEY_ROWS = ("parterre.heavyKeyRows", 4_000_000)
 # Inputs Catalyst estimates below this fit one task whatever their keys are.
 SINGLE_TASK_BYTES = ("parterre.singleTaskBytes", 256 * 1024 * 1024)
 
@@ -83,6 +83,7 @@ def local_session(cores: str = "8", app: str = "parterre", **extra: str) -> Spar
         .appName(app)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores if cores != "*" else 8))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
