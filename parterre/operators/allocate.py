@@ -23,10 +23,10 @@ from parterre.operators import fold as fold_module
 from parterre.operators.fold import COMMAND, INIT, STATE, section_fold
 from parterre.operators.inventory import INT_ARRAY, free_count, run_lengths, with_free_runs
 from parterre.operators.running import drop_slices, first_in_slices, heavy_rows, running_over_slices, slice_ordered
-from parterre.operators.skew import heavy_keys, split_heavy
+from parterre.operators.skew import estimated_bytes, heavy_keys, split_heavy
 from parterre.operators.tables import latest_by_key
 from parterre.schemas import CONFIRMED, REJECTED, SECTION
-from parterre.session import materialize
+from parterre.session import FOLD_TASK_BYTES, MOST_FOLD_TASKS, int_setting, materialize
 
 # The fold travels with its tasks, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(fold_module)
@@ -90,13 +90,24 @@ def _fold_sections(timeline: DataFrame, with_states: bool) -> DataFrame:
 
 
 def _fold(timeline: DataFrame, keys: list[str], with_states: bool) -> DataFrame:
-    arranged = timeline.repartition(*keys).sortWithinPartitions(*keys, *ORDER)
+    arranged = _by_key(timeline, keys).sortWithinPartitions(*keys, *ORDER)
     added = [T.StructField("epoch", T.LongType()), T.StructField("first_seat", T.IntegerType()),
              T.StructField("available_count", T.IntegerType())]
     kept = [T.StructField(f.name, f.dataType) for f in timeline.schema if f.name != "step"]
     return arranged.mapInArrow(section_fold(keys, with_states), T.StructType(kept + added))
 
 
+def _by_key(timeline: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partitioned by ``keys``, into more parts than the session's default
+    when the input is too large for those. Adaptive execution merges small parts
+    but never splits one."""
+    spark = timeline.sparkSession
+    wanted = -(-estimated_bytes(timeline) // int_setting(spark, FOLD_TASK_BYTES))
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) < wanted <= MOST_FOLD_TASKS:
+        return timeline.repartition(wanted, *keys)
+    return timeline.repartition(*keys)
+
+
 def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status: bool) -> DataFrame:
     sliced = slice_ordered(timeline, SECTION, ORDER, rows)
     opening = F.col("kind") == INIT
@@ -160,13 +171,23 @@ def allocate_seats(commands: DataFrame, inits: DataFrame) -> DataFrame:
     return results_of(replay(commands, inits))
 
 
+def anonymous(commands: DataFrame) -> DataFrame:
+    """Commands without their users, for consumers that do not ask who booked.
+
+    The user only breaks ties between equal requests of one time and id, which
+    leaves seats and statuses as they are; the column is then never read.
+    """
+    return commands.withColumn("user_id", F.lit(None).cast("string"))
+
+
 def status_changelog(commands: DataFrame, inits: DataFrame) -> DataFrame:
-    return status_of(replay(commands, inits, with_status=True))
+    return status_of(replay(anonymous(commands), inits, with_status=True))
 
 
 def final_states(commands: DataFrame, inits: DataFrame) -> DataFrame:
     """Free runs and count of each section after the last command."""
-    return states_of(replay(commands, inits, with_states=True), F.lit(None).cast("timestamp_ntz"))
+    replayed = replay(anonymous(commands), inits, with_states=True)
+    return states_of(replayed, F.lit(None).cast("timestamp_ntz"))
 
 
 def with_seat_names(results: DataFrame) -> DataFrame:

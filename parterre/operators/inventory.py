@@ -61,16 +61,51 @@ def latest_inits(inits: DataFrame) -> DataFrame:
     return latest_by_key(inits, SECTION, ["ts", "rows", "seats_per_row", "initial_reserved"])
 
 
-def seat_inventory(inits: DataFrame) -> DataFrame:
-    """One row per seat of the current set-up, AVAILABLE or RESERVED."""
-    current = latest_inits(inits).where((F.col("rows") > 0) & (F.col("seats_per_row") > 0))
+def _numbered(sections: DataFrame) -> DataFrame:
+    """One row per seat of each section, with ``seat_no`` and ``seat``."""
+    filled = sections.where((F.col("rows") > 0) & (F.col("seats_per_row") > 0))
     # Rows first, then the seats of each row: no array as long as the section.
-    by_row = current.withColumn("seat_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    by_row = filled.withColumn("seat_row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     by_seat = by_row.withColumn("seat_col", F.explode(F.sequence(F.lit(1), F.col("seats_per_row"))))
     number = ((F.col("seat_row") - 1) * F.col("seats_per_row") + F.col("seat_col")).cast("int")
-    named = by_seat.withColumn("seat_no", number).withColumn("seat", seat_name(F.col("section"), F.col("seat_no")))
+    return by_seat.withColumn("seat_no", number).withColumn("seat", seat_name(F.col("section"), F.col("seat_no")))
+
+
+def _free(number: Column) -> Column:
+    """Does a free run hold the seat?"""
+    runs = F.arrays_zip("run_starts", "run_stops")
+    held = F.exists(runs, lambda run: (run["run_starts"] <= number) & (number < run["run_stops"]))
+    return F.when(held, F.lit(AVAILABLE)).otherwise(F.lit(RESERVED))
+
+
+def seat_inventory(inits: DataFrame) -> DataFrame:
+    """One row per seat of the current set-up, AVAILABLE or RESERVED."""
     taken = F.coalesce(F.array_contains("initial_reserved", F.col("seat")), F.lit(False))
-    return named.select(*SECTION, "seat_no", "seat", F.when(taken, RESERVED).otherwise(AVAILABLE).alias("status"))
+    return _numbered(latest_inits(inits)).select(
+        *SECTION, "seat_no", "seat", F.when(taken, RESERVED).otherwise(AVAILABLE).alias("status"))
+
+
+def _with_states(inits: DataFrame, states: DataFrame) -> DataFrame:
+    runs = states.select(*SECTION, "run_starts", "run_stops", "available_count")
+    return latest_inits(inits).join(runs, SECTION, "inner")
+
+
+def seat_inventory_of_states(inits: DataFrame, states: DataFrame) -> DataFrame:
+    """The inventory after allocation, from final states.
+
+    Only sections are shuffled; their seats are laid out after the join.
+    """
+    return _numbered(_with_states(inits, states)).select(
+        *SECTION, "seat_no", "seat", _free(F.col("seat_no")).alias("status"))
+
+
+def seat_maps_of_states(inits: DataFrame, states: DataFrame) -> DataFrame:
+    """The record view after allocation: one map of seat name to status per section."""
+    total = total_seats(F.col("rows"), F.col("seats_per_row"))
+    numbers = F.when(total > 0, F.sequence(F.lit(1), total)).otherwise(F.array().cast(INT_ARRAY))
+    entry = lambda n: F.struct(seat_name(F.col("section"), n).alias("seat"), _free(n).alias("status"))
+    return _with_states(inits, states).select(
+        *SECTION, F.map_from_entries(F.transform(numbers, entry)).alias("seat_statuses"), "available_count")
 
 
 def section_init_status(inits: DataFrame) -> DataFrame:
@@ -83,7 +118,7 @@ def section_init_status(inits: DataFrame) -> DataFrame:
 
 
 def seat_inventory_final(inits: DataFrame, seats_taken: DataFrame) -> DataFrame:
-    """The inventory after allocation; ``seats_taken`` has one row per allocated seat.
+    """The inventory after allocation, from results: ``seats_taken`` has one row per allocated seat.
 
     Joined per seat, so the seats of one large section spread over many tasks.
     """

@@ -26,9 +26,11 @@ def ticket_view(tickets: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def reservation_view(reservations: DataFrame, tickets: DataFrame, events: DataFrame, venues: DataFrame) -> DataFrame:
-    """Reservations with ticket, event and venue."""
-    ticket = ticket_view(tickets, events).withColumnsRenamed({"id": "ticket_id", "status": "ticket_status"})
-    event = event_view(events, venues).select(F.col("id").alias("event_id"), "event_date", "venue_id", "venue_name")
+    """Reservations with ticket, event and venue; each table is joined once."""
+    ticket = tickets.select(F.col("id").alias("ticket_id"), "event_id", "seat_number",
+                            F.col("status").alias("ticket_status"), "price")
+    event = event_view(events, venues).select(
+        F.col("id").alias("event_id"), F.col("name").alias("event_name"), "event_date", "venue_id", "venue_name")
     return reservations.join(ticket, "ticket_id", "inner").join(event, "event_id", "inner").select(
         "id", "ticket_id", "user_id", "status", "created_at", "event_id", "event_name", "seat_number",
         "ticket_status", "price", "event_date", "venue_id", "venue_name")

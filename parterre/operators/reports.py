@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parterre.operators.allocate import seats_taken
 from parterre.schemas import CONFIRMED, SECTION
+from parterre.session import materialize
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], points: Sequence[fl
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("value")) for c in columns]))
     values = df.select(pairs.alias("m")).select("m.*").where("value is not null")
-    counts = values.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n"))
+    # One scan: the steps below read the counts of distinct values, written once.
+    counts = materialize(values.groupBy("measure", "value").agg(F.count(F.lit(1)).alias("n")), "value-counts")
     counts = counts.withColumn("bin", F.floor(F.col("value") / _BIN))
 
     def ranged(rows: DataFrame, keys: list[str], by: str, base: str | None = None) -> DataFrame:

@@ -26,8 +26,8 @@ def slice_ordered(df: DataFrame, keys: list[str], order: list[str], rows: int) -
     Rows that agree in every order column are told apart by the input partition
     they come from, so that many copies of one row do not end in one slice.
     """
-    limit = int_setting(df.sparkSession, HEAVY_KEY_ROWS)
-    slices = max(2, -(-rows // limit))
+    # Four slices in what one task may hold: short tasks, little to redo.
+    slices = max(2, -(-4 * rows // int_setting(df.sparkSession, HEAVY_KEY_ROWS)))
     tied = df.withColumn(_TIE, F.spark_partition_id())
     ranged = tied.repartitionByRange(slices, *keys, *order, _TIE)
     return materialize(ranged.withColumn(SLICE, F.spark_partition_id()), "ordered-slices")

@@ -120,6 +120,11 @@ def _results(t: Tables) -> DataFrame:
     return A.allocate_seats(t.commands, t.inits)
 
 
+def _outcomes(t: Tables) -> DataFrame:
+    """Results for queries that do not show users."""
+    return A.allocate_seats(A.anonymous(t.commands), t.inits)
+
+
 @query
 def seat_allocation(t: Tables) -> DataFrame:
     return _results(t)
@@ -146,15 +151,14 @@ def latest_section_status(t: Tables) -> DataFrame:
 
 @query
 def seat_inventory_final(t: Tables) -> DataFrame:
-    return I.seat_inventory_final(t.inits, A.seats_taken(_results(t)))
+    return I.seat_inventory_of_states(t.inits, A.final_states(t.commands, t.inits))
 
 
 @query
 def available_seats(t: Tables) -> DataFrame:
-    seats = I.seat_inventory_final(t.inits, A.seats_taken(_results(t)))
+    maps = I.seat_maps_of_states(t.inits, A.final_states(t.commands, t.inits))
     names = I.available_seat_list(F.col("seat_statuses"))
-    return I.seat_maps(seats).select(
-        *SECTION, "available_count", F.array_join(names, ",").alias("available_seats"))
+    return maps.select(*SECTION, "available_count", F.array_join(names, ",").alias("available_seats"))
 
 
 @query
@@ -233,14 +237,14 @@ def reservation_lookup(t: Tables) -> DataFrame:
 
 @query
 def events_with_changes(t: Tables) -> DataFrame:
-    shouted = _results(t).withColumn("status", F.lower("status"))
+    shouted = _outcomes(t).withColumn("status", F.lower("status"))
     return R.events_with_changes(shouted)
 
 
 @query
 def status_feed(t: Tables) -> DataFrame:
     """Availability updates of the events some confirmed reservation has changed."""
-    outcome = A.replay(t.commands, t.inits, with_status=True)
+    outcome = materialize(A.replay(A.anonymous(t.commands), t.inits, with_status=True), "feed-source")
     changed = R.events_with_changes(A.results_of(outcome))
     feed = T.find_in(A.status_of(outcome), changed, ["event_id"])
     return feed.select("event_id", "section", "available_count", "status_ts")
@@ -379,12 +383,12 @@ def compat_resolve_event(t: Tables) -> DataFrame:
 @query
 def outcome_counts(t: Tables) -> DataFrame:
     log = t.request_log.select(F.col("request_id").cast("string").alias("reservation_id"), "ok")
-    return G.outcome_counts(_results(t).join(log, "reservation_id", "inner"))
+    return G.outcome_counts(_outcomes(t).join(log, "reservation_id", "inner"))
 
 
 @query
 def seats_per_section(t: Tables) -> DataFrame:
-    return G.seats_per_section(_results(t))
+    return G.seats_per_section(_outcomes(t))
 
 
 @query
@@ -402,13 +406,13 @@ def slo_report(t: Tables) -> DataFrame:
 
 @query
 def duplicate_seats(t: Tables) -> DataFrame:
-    return V.duplicate_seats(_results(t))
+    return V.duplicate_seats(_outcomes(t))
 
 
 @query
 def duplicate_seats_planted(t: Tables) -> DataFrame:
     """The results plus a copy of the confirmed row with the lowest id."""
-    results = _results(t)
+    results = materialize(_outcomes(t), "planted-source")
     lowest = results.where("status = 'CONFIRMED'").agg(
         F.min_by(F.struct(*results.columns), F.col("reservation_id").cast("bigint")).alias("r")).select("r.*")
     copy = lowest.withColumn("reservation_id", F.lit("copied"))
@@ -417,19 +421,19 @@ def duplicate_seats_planted(t: Tables) -> DataFrame:
 
 @query
 def allocation_violations(t: Tables) -> DataFrame:
-    return V.allocation_violations(A.with_seat_names(_results(t))).select("reservation_id", "problem")
+    return V.allocation_violations(A.with_seat_names(_outcomes(t))).select("reservation_id", "problem")
 
 
 @query
 def inventory_balance(t: Tables) -> DataFrame:
-    outcome = A.replay(t.commands, t.inits, with_states=True)
+    outcome = materialize(A.replay(A.anonymous(t.commands), t.inits, with_states=True), "balance-source")
     seats = I.seat_inventory_final(t.inits, A.seats_taken(A.results_of(outcome)))
     return V.inventory_balance(t.inits, seats, A.states_of(outcome, F.expr(INIT_TS)))
 
 
 @query
 def unresolved_commands(t: Tables) -> DataFrame:
-    return V.unresolved_commands(t.commands, _results(t))
+    return V.unresolved_commands(t.commands, _outcomes(t))
 
 
 # --- streams: the same results by way of files, micro-batches and checkpoints ---------------------

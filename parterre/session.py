@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 HEAVY_KEY_ROWS = ("parterre.heavyKeyRows", 4_000_000)
 # Inputs Catalyst estimates below this fit one task whatever their keys are.
 SINGLE_TASK_BYTES = ("parterre.singleTaskBytes", 256 * 1024 * 1024)
+# Shuffled bytes one fold task is meant to take, and the most tasks planned for it.
+FOLD_TASK_BYTES = ("parterre.foldTaskBytes", 128 * 1024 * 1024)
+MOST_FOLD_TASKS = 200_000
 
 
 def int_setting(spark: SparkSession, setting: tuple[str, int]) -> int:

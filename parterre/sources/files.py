@@ -7,6 +7,8 @@ class path.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,40 @@ def read_broker(spark: SparkSession, servers: str, topic: str, schema: T.StructT
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
 
 
+# A registry's wire format puts one magic byte and a four-byte id before each record.
+REGISTRY_HEADER_BYTES = 5
+_AVRO_TYPES = {"string": "string", "bigint": "long", "int": "int", "boolean": "boolean", "double": "double"}
+
+
+def avro_schema(record: T.StructType, name: str) -> str:
+    """The Avro schema of one of the wire layouts."""
+
+    def avro_type(kind: T.DataType) -> object:
+        if isinstance(kind, T.ArrayType):
+            return {"type": "array", "items": avro_type(kind.elementType)}
+        if isinstance(kind, T.MapType):
+            return {"type": "map", "values": avro_type(kind.valueType)}
+        return _AVRO_TYPES[kind.simpleString()]
+
+    fields = [{"name": f.name, "type": avro_type(f.dataType)} for f in record]
+    return json.dumps({"type": "record", "name": name, "fields": fields})
+
+
+def decode_avro(value: Column, record: T.StructType, name: str) -> Column:
+    """A record from a registry-framed Avro value. Needs the Avro module."""
+    from pyspark.sql.avro.functions import from_avro
+
+    body = F.substring(value, REGISTRY_HEADER_BYTES + 1, F.length(value))
+    return from_avro(body, avro_schema(record, name))
+
+
+def encode_avro(row: Column, record: T.StructType, name: str) -> Column:
+    """The Avro value of a record, without a registry header. Needs the Avro module."""
+    from pyspark.sql.avro.functions import to_avro
+
+    return to_avro(row, avro_schema(record, name))
+
+
 def commands_from_wire(records: DataFrame) -> DataFrame:
     """Commands whose time travels as epoch milliseconds."""
     return records.withColumn("ts", from_millis(F.col("timestamp"))).select(*COMMAND.fieldNames())
@@ -72,3 +108,9 @@ def keyed(df: DataFrame, key: Column | None = None) -> DataFrame:
 def publish(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append records to a log folder."""
     df.write.mode("append").format(fmt).save(path)
+
+
+def publish_stream(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
+    """Append what has arrived on a stream to a log folder, each record exactly once."""
+    stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).outputMode(
+        "append").trigger(availableNow=True).start().awaitTermination()

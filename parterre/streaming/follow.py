@@ -33,8 +33,7 @@ class LatestTable:
         self.table.write(latest_by_key(arrived, self.keys, self.order), batch)
 
     def read(self) -> DataFrame:
-        newest = self.table.read().agg(F.max("batch")).first()[0]
-        return self.as_of(newest)
+        return self.as_of(self.table.newest())
 
     def as_of(self, batch: int) -> DataFrame:
         """The table after ``batch``."""

@@ -107,6 +107,5 @@ class StreamingRoute:
         return A.status_of(self.table.read())
 
     def states(self) -> DataFrame:
-        kept = self.table.read().where(F.col("kind") == STATE)
-        return latest_by_key(kept, SECTION, ["batch"]).select(
+        return self.states_before(self.table.newest() + 1).select(
             *SECTION, "epoch", "available_count", "run_starts", "run_stops")

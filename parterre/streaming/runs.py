@@ -44,3 +44,9 @@ class BatchTable:
             return reader.parquet(self.path)
         paths = [f"{self.path}/batch={n}" for n in range(first, stop)]
         return reader.option("basePath", self.path).parquet(*paths)
+
+    def newest(self) -> int:
+        """The highest batch written, from the folder names alone."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*")
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        return max(int(status.getPath().getName().removeprefix("batch=")) for status in found)

@@ -94,6 +94,10 @@ def test_final_inventory_maps_and_runs(spark):
     assert record.available_count == 5
     assert record.free == ["A-8", "A-9", "A-10", "A-11", "A-12"]
     assert record.seat_statuses["A-4"] == "RESERVED"
+    states = A.final_states(commands, inits)
+    assert sorted(map(tuple, seats.collect())) == sorted(map(tuple, I.seat_inventory_of_states(inits, states).collect()))
+    by_state = I.seat_maps_of_states(inits, states).first()
+    assert (by_state.seat_statuses, by_state.available_count) == (record.seat_statuses, 5)
     from_seats = [tuple(r) for r in I.free_runs(seats).collect()]
     from_states = [tuple(r) for r in I.free_runs_of_state(A.final_states(commands, inits)).collect()]
     assert from_seats == from_states == [(1, "A", 8, 5)]

@@ -1,7 +1,9 @@
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
+from parterre import schemas
 from parterre.functions import seats as S
 from parterre.functions import time as TM
 from parterre.operators import compat as C
@@ -64,3 +66,11 @@ def test_wire_commands_and_requests(spark, tmp_path):
     assert abs(live.ts - dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)) < dt.timedelta(minutes=5)
     sent = files.keyed(make_commands(spark, [("r1", 1, "A", 2)])).first()
     assert sent.key == "1-A" and '"reservation_id":"r1"' in sent.value
+
+
+def test_avro_schema_of_the_wire_layout():
+    made = json.loads(files.avro_schema(schemas.COMMAND_WIRE, "ReservationCommand"))
+    assert made["name"] == "ReservationCommand"
+    assert {f["name"]: f["type"] for f in made["fields"]} == {
+        "reservation_id": "string", "event_id": "long", "section": "string", "seat_count": "int", "user_id": "string",
+        "timestamp": "long"}
