@@ -17,44 +17,56 @@ import pyarrow.compute as pc
 INIT, COMMAND, STATE = 0, 1, 2
 
 
+NO_LIMIT = 1 << 31
+
+
 class FreeRuns:
     """Free seats of one section as ascending runs ``[start, stop)``.
 
     A request takes the front of the lowest run that is long enough. Runs only
     ever shrink, so a run too short for ``n`` seats stays too short, and the
-    search for ``n`` resumes where the last one ended.
+    search for ``n`` resumes where the last one ended. For the same reason a
+    size that found no run never will: ``refused`` is the smallest such size.
     """
 
-    __slots__ = ("starts", "stops", "available", "epoch", "_resume")
+    __slots__ = ("starts", "stops", "available", "epoch", "refused", "_resume")
 
     def __init__(self) -> None:
         self.starts: list[int] = []
         self.stops: list[int] = []
         self.available: int | None = None
         self.epoch = 0
+        self.refused = 1
         self._resume: dict[int, int] = {}
 
     def reset(self, starts: list[int], stops: list[int], step: int) -> None:
         self.starts, self.stops = list(starts), list(stops)
         self.available = sum(stops) - sum(starts)
         self.epoch += step
+        self.refused = NO_LIMIT
         self._resume = {}
 
-    def take(self, n: int) -> int | None:
-        """First seat of the run given to a request for ``n`` seats, if any."""
-        if self.available is None or n <= 0 or self.available < n:
-            return None
-        starts, stops = self.starts, self.stops
-        at, end = self._resume.get(n, 0), len(starts)
-        while at < end and stops[at] - starts[at] < n:
-            at += 1
-        self._resume[n] = at
-        if at == end:
-            return None
-        first = starts[at]
-        starts[at] = first + n
-        self.available -= n
-        return first
+    def serve(self, sizes: list[int], at: int, firsts: list[int | None], taken: np.ndarray) -> None:
+        """Serve requests in turn, noting first seats and sizes from position ``at`` on."""
+        starts, stops, resume, refused = self.starts, self.stops, self._resume, self.refused
+        end, left = len(starts), self.available
+        for i, n in enumerate(sizes, at):
+            if not 0 < n < refused:
+                continue
+            run = resume.get(n, 0)
+            while run < end and stops[run] - starts[run] < n:
+                run += 1
+            if run == end:
+                refused = n
+                if n == 1:
+                    break
+                continue
+            resume[n] = run
+            firsts[i] = starts[run]
+            starts[run] += n
+            taken[i] = n
+            left -= n
+        self.refused, self.available = refused, left
 
     def live_runs(self) -> tuple[list[int], list[int]]:
         kept = [(a, b) for a, b in zip(self.starts, self.stops) if b > a]
@@ -69,15 +81,15 @@ FOLD_FIELDS = [
 ]
 
 
-def _same_as_previous(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
-    """For rows 1..n-1: are all keys equal to those of the row before?"""
+def _new_keys(batch: pa.RecordBatch, keys: list[str], follows: bool) -> np.ndarray:
+    """Where a row's keys differ from those of the row before it."""
     n = batch.num_rows
-    same = np.ones(max(n - 1, 0), dtype=bool)
+    same = np.ones(n - 1, dtype=bool)
     for key in keys:
         column = batch.column(key)
         equal = pc.equal(column.slice(1), column.slice(0, n - 1))
         same &= pc.fill_null(equal, False).to_numpy(zero_copy_only=False)
-    return same
+    return np.concatenate(([not follows], ~same))
 
 
 def section_fold(keys: list[str], emit_states: bool) -> Callable:
@@ -86,21 +98,20 @@ def section_fold(keys: list[str], emit_states: bool) -> Callable:
     Every input row comes back with its epoch, the first seat it was given and
     the seats left after it. With ``emit_states`` a STATE row with the free runs
     follows the last row of each key. Columns the fold does not need pass
-    through without leaving Arrow.
+    through without leaving Arrow, and rows are visited one by one only while
+    their request might still be served.
     """
 
-    def states_batch(schema: pa.Schema, finished: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist(finished, schema=schema)
-
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, current, schema = FreeRuns(), None, None
+        runs, schema = FreeRuns(), None
+        last_key: dict | None = None
         finished: list[dict] = []
 
-        def close() -> None:
-            if emit_states and runs.available is not None:
+        def close(key: dict) -> None:
+            if runs.available is not None:
                 starts, stops = runs.live_runs()
                 finished.append({
-                    **current, "kind": STATE, "epoch": runs.epoch, "available_count": runs.available,
+                    **key, "kind": STATE, "epoch": runs.epoch, "available_count": runs.available,
                     "run_starts": starts, "run_stops": stops,
                 })
 
@@ -111,31 +122,52 @@ def section_fold(keys: list[str], emit_states: bool) -> Callable:
             if schema is None:
                 schema = pa.schema([f for f in batch.schema if f.name != "step"] + FOLD_FIELDS)
             key_at = lambda i: {k: batch.column(k)[i].as_py() for k in keys}
-            new_key = np.concatenate(([current is None or key_at(0) != current],
-                                      ~_same_as_previous(batch, keys))).tolist()
-            kinds = batch.column("kind").to_pylist()
-            sizes = pc.fill_null(batch.column("seat_count"), 0).to_pylist()
-            starts, stops, steps = (batch.column(c) for c in ("run_starts", "run_stops", "step"))
-            epochs, firsts, left = [0] * n, [None] * n, [None] * n
-            for i in range(n):
-                if new_key[i]:
-                    if current is not None:
-                        close()
-                    runs, current = FreeRuns(), key_at(i)
-                if kinds[i] == INIT:
-                    runs.reset(starts[i].as_py(), stops[i].as_py(), steps[i].as_py())
-                else:
-                    firsts[i] = runs.take(sizes[i])
-                epochs[i], left[i] = runs.epoch, runs.available
+            new = _new_keys(batch, keys, follows=key_at(0) == last_key)
+            init = batch.column("kind").to_numpy(zero_copy_only=False) == INIT
+            opening = batch.filter(pa.array(init))
+            openings = zip(*(opening.column(c).to_pylist() for c in ("run_starts", "run_stops", "step")))
+            sizes = pc.fill_null(batch.column("seat_count"), 0).to_numpy(zero_copy_only=False).tolist()
+            firsts: list[int | None] = [None] * n
+            taken = np.zeros(n, dtype=np.int64)
+
+            # Between two set-ups or keys lies a segment: requests to one inventory.
+            breaks = new | init
+            breaks[0] = True
+            edges = np.flatnonzero(breaks)
+            opened, epochs = np.empty(len(edges), dtype=np.int64), np.empty(len(edges), dtype=np.int64)
+            bounds = zip(edges.tolist(), [*edges[1:].tolist(), n], new[edges].tolist(), init[edges].tolist())
+            for j, (at, stop, starts_key, is_init) in enumerate(bounds):
+                if starts_key:
+                    if emit_states and (at or last_key is not None):
+                        close(key_at(at - 1) if at else last_key)
+                    runs = FreeRuns()
+                if is_init:
+                    runs.reset(*next(openings))
+                opened[j] = -1 if runs.available is None else runs.available
+                epochs[j] = runs.epoch
+                if runs.refused > 1:
+                    first = at + is_init
+                    runs.serve(sizes[first:stop], first, firsts, taken)
+            last_key = key_at(n - 1)
+
+            # Seats left: what the segment opened with, less what was taken in it so far.
+            lengths = np.diff([*edges, n])
+            through = np.cumsum(taken)
+            before = np.repeat(through[edges] - taken[edges], lengths)
+            opened = np.repeat(opened, lengths)
+            added = [
+                pa.array(np.repeat(epochs, lengths), pa.int64()),
+                pa.array(firsts, pa.int32()),
+                pa.array(opened - (through - before), mask=opened < 0).cast(pa.int32()),
+            ]
             passed = [batch.column(f.name) for f in batch.schema if f.name != "step"]
-            added = [pa.array(v, f.type) for v, f in zip((epochs, firsts, left), FOLD_FIELDS)]
             yield pa.RecordBatch.from_arrays(passed + added, schema=schema)
             if finished:
-                yield states_batch(schema, finished)
-                finished = []
-        if current is not None:
-            close()
-            if finished:
-                yield states_batch(schema, finished)
+                yield pa.RecordBatch.from_pylist(finished, schema=schema)
+                finished.clear()
+        if emit_states and last_key is not None:
+            close(last_key)
+        if finished:
+            yield pa.RecordBatch.from_pylist(finished, schema=schema)
 
     return fold

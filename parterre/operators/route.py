@@ -10,12 +10,14 @@ from parterre.operators.tables import latest_by_key
 from parterre.schemas import REJECTED, SECTION
 from parterre.session import materialize
 
-STATUS_ORDER = ["status_ts", "kind", "reservation_id"]
-
 
 def latest_section_status(changelog: DataFrame) -> DataFrame:
-    """The availability table: the last status of each section."""
-    return latest_by_key(changelog, SECTION, STATUS_ORDER)
+    """The availability table: the last status of each section.
+
+    Of several at one time the last is that of the highest epoch with the fewest
+    seats left, since availability only falls within an epoch.
+    """
+    return latest_by_key(changelog, SECTION, ["status_ts", "epoch", -F.col("available_count")])
 
 
 def with_verdict(commands: DataFrame, status: DataFrame) -> DataFrame:

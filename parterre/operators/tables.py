@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest_by_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """One row per key: the one that is last in ``order``.
 
     An aggregate, not a window: each task keeps one row per key before the

@@ -140,11 +140,11 @@ def section_status_changelog(t: Tables) -> DataFrame:
 @query
 def latest_section_status(t: Tables) -> DataFrame:
     """Each status twice, the second a day later with one seat less; the later one stays."""
-    first = A.status_changelog(t.commands, t.inits).drop("epoch")
+    first = A.status_changelog(t.commands, t.inits)
     later = F.col("status_ts") + F.expr("interval 1 day")
     version = F.explode(F.array(F.lit(0), F.lit(1)))
     twice = first.withColumn("version", version).select(
-        *SECTION, "kind", "reservation_id", (F.col("available_count") - F.col("version")).alias("available_count"),
+        *SECTION, "epoch", (F.col("available_count") - F.col("version")).alias("available_count"),
         F.when(F.col("version") == 1, later).otherwise(F.col("status_ts")).alias("status_ts"))
     return RT.latest_section_status(twice).select(*SECTION, "available_count", "status_ts")
 
