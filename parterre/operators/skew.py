@@ -18,7 +18,7 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
 
     ``None`` when there are none, or when the whole input fits one task. The
     count reads the key columns only and combines before its shuffle. At most
-    rows / heavyKeyRows keys can qualify, which bounds the broadcasts below.
+    rows / heavyKeyRows keys can qualify.
     """
     spark = df.sparkSession
     if estimated_bytes(df) <= int_setting(spark, SINGLE_TASK_BYTES):
@@ -30,6 +30,10 @@ def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
 
 
 def split_heavy(df: DataFrame, keys: list[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``df`` as (ordinary rows, rows of heavy keys), without a shuffle."""
-    wanted = F.broadcast(heavy.select(*keys))
+    """``df`` as (ordinary rows, rows of heavy keys).
+
+    ``heavy`` is a written table, so Catalyst knows its size: it is broadcast and
+    nothing is shuffled, unless it is too large for that.
+    """
+    wanted = heavy.select(*keys)
     return df.join(wanted, keys, "left_anti"), df.join(wanted, keys, "left_semi")
