@@ -39,28 +39,25 @@ _LANE = [*SECTION, "lane"]
 
 def command_rows(commands: DataFrame) -> DataFrame:
     # Empty rather than null runs: null lists are slow to hand to Python.
-    none = F.array().cast(INT_ARRAY)
-    return commands.select(
-        *SECTION, "ts", "reservation_id", "seat_count", "user_id",
-        F.lit(COMMAND).alias("kind"), F.lit(None).cast("bigint").alias("step"),
-        none.alias("run_starts"), none.alias("run_stops"))
+    return commands.selectExpr(
+        *SECTION, "ts", "reservation_id", "seat_count", "user_id", f"{COMMAND} as kind", "cast(null as bigint) as step",
+        f"cast(array() as {INT_ARRAY}) as run_starts", f"cast(array() as {INT_ARRAY}) as run_stops")
 
 
 def init_rows(inits: DataFrame) -> DataFrame:
     """Set-up rows; each starts a new epoch of its section."""
-    return _inventory_rows(with_free_runs(inits), F.lit(1).cast("bigint"))
+    return _inventory_rows(with_free_runs(inits), "1L")
 
 
 def state_rows(states: DataFrame) -> DataFrame:
     """Carried states as set-up rows that continue their epoch."""
-    return _inventory_rows(states, F.col("epoch"))
+    return _inventory_rows(states, "epoch")
 
 
-def _inventory_rows(rows: DataFrame, step: Column) -> DataFrame:
-    text = F.lit(None).cast("string")
-    return rows.select(
-        *SECTION, "ts", text.alias("reservation_id"), F.lit(None).cast("int").alias("seat_count"),
-        text.alias("user_id"), F.lit(INIT).alias("kind"), step.alias("step"), "run_starts", "run_stops")
+def _inventory_rows(rows: DataFrame, step: str) -> DataFrame:
+    return rows.selectExpr(
+        *SECTION, "ts", "cast(null as string) as reservation_id", "cast(null as int) as seat_count",
+        "cast(null as string) as user_id", f"{INIT} as kind", f"{step} as step", "run_starts", "run_stops")
 
 
 def replay(
@@ -98,14 +95,22 @@ def _fold(timeline: DataFrame, keys: list[str], with_states: bool) -> DataFrame:
 
 
 def _by_key(timeline: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partitioned by ``keys``, into more parts than the session's default
-    when the input is too large for those. Adaptive execution merges small parts
-    but never splits one."""
+    """Every key whole in one partition.
+
+    The rows are partitioned by a hash of the keys, not the keys themselves: were
+    the input already partitioned by them, as after a join, Spark would drop this
+    shuffle as redundant, and adaptive execution, unaware that the fold needs
+    whole sections, might then split a skewed partition of that join.
+
+    An input too large for the session's default number of partitions gets more;
+    adaptive execution merges small ones but never splits these.
+    """
     spark = timeline.sparkSession
+    whole = F.xxhash64(*keys)
     wanted = -(-estimated_bytes(timeline) // int_setting(spark, FOLD_TASK_BYTES))
     if int(spark.conf.get("spark.sql.shuffle.partitions")) < wanted <= MOST_FOLD_TASKS:
-        return timeline.repartition(wanted, *keys)
-    return timeline.repartition(*keys)
+        return timeline.repartition(wanted, whole)
+    return timeline.repartition(whole)
 
 
 def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status: bool) -> DataFrame:
@@ -147,10 +152,9 @@ def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status
 
 def results_of(replayed: DataFrame, *extra: str) -> DataFrame:
     """The outcome of each command, with any ``extra`` columns."""
-    status = F.when(F.col("first_seat").isNotNull(), CONFIRMED).otherwise(REJECTED)
-    return replayed.where(F.col("kind") == COMMAND).select(
+    return replayed.where(f"kind = {COMMAND}").selectExpr(
         "reservation_id", *SECTION, "seat_count", "user_id", "epoch",
-        status.alias("status"), "first_seat", F.col("ts").alias("completed_ts"), *extra)
+        f"if(first_seat is not null, '{CONFIRMED}', '{REJECTED}') as status", "first_seat", "ts as completed_ts", *extra)
 
 
 def states_of(replayed: DataFrame, as_of: Column) -> DataFrame:

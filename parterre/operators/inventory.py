@@ -21,30 +21,24 @@ def total_seats(rows: Column, seats_per_row: Column) -> Column:
     return F.when((rows > 0) & (seats_per_row > 0), rows * seats_per_row).otherwise(F.lit(0)).cast("int")
 
 
+_SEAT_NO = "try_cast(substr(name, length(section) + 2) as int)"
+
+
 def with_free_runs(inits: DataFrame) -> DataFrame:
     """Add the free runs of each declared section as ``run_starts`` and ``run_stops``.
 
     A name in ``initial_reserved`` counts only when it is exactly the name of a
-    seat of the section; all others are ignored.
+    seat of the section; all others are ignored. The free runs are the gaps
+    between the fences 0, the taken numbers, and one past the last seat.
     """
-    tail = lambda name: F.substring(name, F.length("section") + 2, F.length(name)).try_cast("int")
-    is_seat = lambda name: (name == seat_name(F.col("section"), tail(name))) & tail(name).between(1, F.col("total"))
-    taken = F.array_sort(F.array_distinct(F.transform(F.filter("initial_reserved", is_seat), tail)))
-    fences = F.concat(F.array(F.lit(0)), F.col("taken"), F.array(F.col("total") + 1))
-    gaps = F.zip_with(
-        F.slice("fences", F.lit(1), F.size("taken") + 1),
-        F.slice("fences", F.lit(2), F.size("taken") + 1),
-        lambda left, right: F.struct((left + 1).alias("start"), right.alias("stop")),
-    )
-    free = F.filter(gaps, lambda run: run["stop"] > run["start"])
+    is_seat = f"name = concat(section, '-', {_SEAT_NO}) and {_SEAT_NO} between 1 and total"
     return (
-        inits.withColumn("total", total_seats(F.col("rows"), F.col("seats_per_row")))
-        .withColumn("taken", F.coalesce(taken, F.array().cast(INT_ARRAY)))
-        .withColumn("fences", fences)
-        .withColumn("free", free)
-        .withColumn("run_starts", F.col("free.start").cast(INT_ARRAY))
-        .withColumn("run_stops", F.col("free.stop").cast(INT_ARRAY))
-        .drop("total", "taken", "fences", "free")
+        inits.selectExpr("*", "cast(if(rows > 0 and seats_per_row > 0, rows * seats_per_row, 0) as int) as total")
+        .selectExpr("*", f"""coalesce(sort_array(array_distinct(
+            transform(filter(initial_reserved, name -> {is_seat}), name -> {_SEAT_NO}))), array()) as taken""")
+        .selectExpr("*", "filter(zip_with(concat(array(0), taken), concat(taken, array(total + 1)), "
+                         "(low, high) -> struct(low + 1 as start, high as stop)), gap -> gap.stop > gap.start) as free")
+        .selectExpr(*inits.columns, "free.start as run_starts", "free.stop as run_stops")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parterre import schemas
 from parterre.operators import allocate as A
+from parterre.operators import route as RT
 from parterre.operators.running import sequence_number
 from parterre.session import HEAVY_KEY_ROWS, SINGLE_TASK_BYTES
 from tests.conftest import START, make_commands, make_inits
@@ -88,3 +89,28 @@ def test_only_as_many_requests_as_seats_reach_the_fold(spark, tiny_tasks):
     out = A.allocate_seats(commands, inits)
     assert out.count() == 200
     assert out.where("status = 'CONFIRMED'").agg(F.sum("seat_count")).first()[0] == 4
+
+
+def test_the_fold_keeps_its_own_shuffle(spark):
+    """After a join on the section, adaptive execution may split what it thinks is
+    a skewed partition; the fold must still see every section whole."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200b",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    inits = make_inits(spark, [(1, s, 10, 10, []) for s in "ABCD"])
+    commands = make_commands(spark, [(f"r{i:03}", 1, "AAABCD"[i % 6], 1 + i % 3) for i in range(240)]).repartition(8)
+    wanted = rows(A.allocate_seats(commands, inits))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        status = inits.select("event_id", "section", F.lit(10**6).alias("available_count")).distinct()
+        kept = RT.accepted(RT.with_verdict(commands, status))
+        assert rows(A.allocate_seats(kept, inits.dropDuplicates(["event_id", "section"]))) == wanted
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
