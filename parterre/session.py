@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -24,23 +24,22 @@ def int_setting(spark: SparkSession, setting: tuple[str, int]) -> int:
     return int(spark.conf.get(name, str(default)))
 
 
-_local_dir: list[str] = []
-
-
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own, since
-    a machine-local path would not be visible to the executors of a cluster.
+    A local session without that setting gets a folder on its default file
+    system. On a cluster the setting is required, since nothing else is known
+    to be visible to all executors.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.match(r"local($|\[)", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="parterre-"))
-    return _local_dir[0]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"/tmp/parterre-{context.applicationId}")
+    return hadoop.FileSystem.get(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
