@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parterre.llm import decontam, licenses, quality, urls
+from parterre.llm import bpe_chunks, decontam, licenses, pii, quality, token_files, urls
 from parterre.llm.common import table
 
 
@@ -17,18 +17,43 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.url_filter(table(spark, folder, "pages"))
 
 
+def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = bpe_chunks.encode_documents(table(spark, folder, "documents"), tokenizer_path())
+    return bpe_chunks.decode_documents(encoded, tokenizer_path(), digest=True).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = token_files.write_token_files(table(spark, folder, "documents"), tokenizer_path(), end_id=0)
+    return token_files.read_token_files(files)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(table(spark, folder, "documents")).drop("distance")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scans, op2_url_filters, op8_benchmark_decontamination, op10_quality_rules)}
+    op1_license_scans, op2_url_filters, op5_pii, op6_bpe_encoding, op8_benchmark_decontamination, op9_token_files,
+    op10_quality_rules)}
 
 ORACLE = {
     "op8_benchmark_decontamination": r"""
