@@ -23,18 +23,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parterre.llm import text as text_module
-from parterre.llm import tokens as tokens_module
-from parterre.llm.common import row_key, store
+from parterre.llm.common import bitmap_of, in_bitmap, row_key, store, travels
 from parterre.llm.text import codes, grouped, mixed, span_hashes
 from parterre.llm.tokens import Encoder
 
-cloudpickle.register_pickle_by_value(text_module)
-cloudpickle.register_pickle_by_value(tokens_module)
+travels(__name__, "parterre.llm.common", "parterre.llm.text", "parterre.llm.tokens")
 
 #: Bytes that the rolling hash sees; one place in so many is a cut; shorter chunks are not shared; bits of the bitmap.
 ROLL, MEAN, LEAST, BITMAP = 24, 512, 96, 1 << 23
@@ -97,30 +93,11 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(_bit(once[1])), pa.array(once[1]), pa.array(once[2])], ["bit", "a", "b"])
 
 
-def _bitmap(shared: DataFrame) -> np.ndarray:
-    """Which bits shared chunks have: at most BITMAP of them, in rows of 4 KB."""
-    rows = shared.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    out = np.zeros(BITMAP + (1 << 15), bool)
-    for row in rows:  # bucket 1 begins with bit 1, and the lowest bit of a byte comes first
-        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little").astype(bool)
-        at = (row["bucket"] - 1) * (1 << 15) + 1
-        if row["bucket"] == 0:
-            out[0] |= bits[0]
-        else:
-            out[at: at + len(bits)] |= bits[: len(out) - at]
-    return np.packbits(out)
-
-
-def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-
-
 def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``ids``: 4-byte little-endian integers, one after the other."""
     counted = docs.select("text").mapInArrow(_chunks, "bit long, a long, b long").groupBy("bit", "a", "b").agg(F.count("*").alias("n"))
     shared = store(counted.where("n > 1").drop("n"), "bpe-shared")
-    bitmap = _bitmap(shared)
+    bitmap = bitmap_of(shared, BITMAP)
     # two columns, so that kept ones of any name stay apart
     rows = docs.select(F.struct(*keep).alias("kept"), "text", row_key(docs).alias("key"))
     kept_type = rows.schema["kept"].dataType.simpleString()
@@ -130,7 +107,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("
         for batch in batches:
             for _, data, offsets in grouped(batch.column(0)):
                 starts, stops, a, b = chunk_table(data, offsets)
-                hits = np.flatnonzero((stops - starts >= LEAST) & _has(bitmap, _bit(a)))
+                hits = np.flatnonzero((stops - starts >= LEAST) & in_bitmap(bitmap, _bit(a)))
                 fresh = [k for k in hits.tolist() if not (int(a[k]) in seen or seen.add(int(a[k])))]
                 if len(seen) > 500_000:
                     seen.clear()
@@ -161,7 +138,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("
                 hit = np.zeros(batch.num_rows, bool)
                 for at, data, offsets in grouped(batch.column(1)):
                     starts, stops, a, _ = chunk_table(data, offsets)
-                    hits = (stops - starts >= LEAST) & _has(bitmap, _bit(a))
+                    hits = (stops - starts >= LEAST) & in_bitmap(bitmap, _bit(a))
                     hit[at + np.searchsorted(offsets, starts[hits], "right") - 1] = True
                 yield batch.filter(pa.array(hit == with_hits))
         return rows.mapInArrow(rows_of, f"kept {kept_type}, text string, key long")
@@ -171,7 +148,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("
             keys = batch.column(1).to_numpy()
             for at, data, offsets in grouped(batch.column(0)):
                 starts, stops, a, b = chunk_table(data, offsets)
-                hits = np.flatnonzero((stops - starts >= LEAST) & _has(bitmap, _bit(a)))
+                hits = np.flatnonzero((stops - starts >= LEAST) & in_bitmap(bitmap, _bit(a)))
                 of = np.searchsorted(offsets, starts[hits], "right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[at + of]), pa.array(starts[hits] - offsets[of]), pa.array(a[hits]), pa.array(b[hits])],
@@ -192,7 +169,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("
     placed = rows.select("text", "key").mapInArrow(places, "key long, at long, a long, b long").distinct().join(table, ["a", "b"])
     stretches = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(
         (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last")).alias("stop"), "ids"))).alias("parts"))
-    reused = split(True).join(stretches, "key", "left").select("kept", "text", "parts")
+    reused = split(True).join(stretches.hint("merge"), "key", "left").select("kept", "text", "parts")
     out = f"kept {kept_type}, ids binary"
     return reused.mapInArrow(joined, out).unionByName(split(False).mapInArrow(alone, out)).select("kept.*", "ids")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parterre.llm import bpe_chunks, decontam, licenses, pii, quality, token_files, urls
+from parterre.llm import bpe_chunks, decontam, licenses, ngram_join, pii, quality, token_files, urls
 from parterre.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.url_filter(table(spark, folder, "pages"))
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.components(table(spark, folder, "documents"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.personal_data(table(spark, folder, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -52,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scans, op2_url_filters, op5_pii, op6_bpe_encoding, op8_benchmark_decontamination, op9_token_files,
+    op1_license_scans, op2_url_filters, op3_ngram_join, op5_pii, op6_bpe_encoding, op8_benchmark_decontamination, op9_token_files,
     op10_quality_rules)}
 
 ORACLE = {

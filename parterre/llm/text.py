@@ -29,6 +29,9 @@ class Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return Powers, ()  # travels to tasks empty
+
     def reach(self, n: int) -> None:
         if len(self.up) < n:
             size = 1 << int(n - 1).bit_length()

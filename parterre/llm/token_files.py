@@ -23,18 +23,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parterre.llm import text as text_module
-from parterre.llm import tokens as tokens_module
-from parterre.llm.common import store
-from parterre.llm.text import mixed
+from parterre.llm.common import store, travels
+from parterre.llm.text import grouped, mixed
 from parterre.llm.tokens import Encoder
 
-cloudpickle.register_pickle_by_value(text_module)
-cloudpickle.register_pickle_by_value(tokens_module)
+travels(__name__, "parterre.llm.common", "parterre.llm.text", "parterre.llm.tokens")
 
 #: Ids of a block, about; a longer document is a block of its own.
 BLOCK_IDS = 1 << 20
@@ -129,7 +126,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = 0, b
         previous = (None, -1)
         for batch in batches:
             doc_ids = batch.column(0).fill_null(NULL_KEY).to_numpy(zero_copy_only=False).astype(np.int64)
-            for at, data, offsets in text_module.grouped(batch.column(1)):
+            for at, data, offsets in grouped(batch.column(1)):
                 n = len(offsets) - 1
                 ids, sizes = encoder.encode_group(data, offsets)
                 if end_id is not None:
