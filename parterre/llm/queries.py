@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parterre.llm import bpe_chunks, decontam, licenses, ngram_join, pii, quality, token_files, urls
-from parterre.llm.common import table
+from parterre.llm import bpe_chunks, decontam, licenses, ngram_join, pii, quality, token_files, toxicity, urls
+from parterre.llm.common import fold_remainder, table
 
 
 def op1_license_scans(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.components(table(spark, folder, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select("doc_id", (fold_remainder(F.col("doc_id")) == 1).alias("held_out"), "score",
+                        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.personal_data(table(spark, folder, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -56,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scans, op2_url_filters, op3_ngram_join, op5_pii, op6_bpe_encoding, op8_benchmark_decontamination, op9_token_files,
+    op1_license_scans, op2_url_filters, op3_ngram_join, op4_toxicity, op5_pii, op6_bpe_encoding, op8_benchmark_decontamination, op9_token_files,
     op10_quality_rules)}
 
 ORACLE = {

@@ -96,3 +96,54 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+_LETTERS = np.zeros(256, bool)
+_LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
+_ASCII_LOWER = np.arange(256)
+_ASCII_LOWER[65:91] += 32
+LOWER_CODES = codes(256, seed=3)[_ASCII_LOWER]
+
+
+def letter_runs(data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, stops, row of the text) of runs of letters (all that is beyond ASCII counts as one), long ones in parts."""
+    if not len(data):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    inside = _LETTERS[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before = np.concatenate(([False], inside[:-1]))
+    after = np.concatenate((inside[1:], [False]))
+    starts = np.flatnonzero(inside & (~before | edge[:-1]))
+    stops = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    parts = -(-(stops - starts) // longest)
+    if len(parts) and parts.max() > 1:
+        starts = np.repeat(starts, parts) + longest * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        stops = np.minimum(starts + longest, np.repeat(stops, parts))
+    return starts, stops, np.searchsorted(offsets, starts, "right") - 1
+
+
+class WordMemo:
+    """Values of words, computed once for each distinct word: ``compute`` takes the words' bytes, A-Z lower-cased."""
+
+    def __init__(self, compute, width: int, most: int = 500_000) -> None:
+        self.compute, self.width, self.most = compute, width, most
+        self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        unique, one, back = np.unique(span_hashes(LOWER_CODES[data], starts, stops), return_index=True, return_inverse=True)
+        if len(self.known) + len(unique) > self.most:
+            self.known, self.values = self.known[:0], self.values[:0]
+        at = np.searchsorted(self.known, unique)
+        seen = at < len(self.known)
+        seen[seen] = self.known[at[seen]] == unique[seen]
+        new = np.flatnonzero(~seen)
+        if len(new):
+            raw = data.tobytes()
+            fresh = [raw[a:b].lower() for a, b in zip(starts[one[new]].tolist(), stops[one[new]].tolist())]
+            every = np.concatenate((self.known, unique[new]))
+            order = np.argsort(every, kind="stable")
+            self.known, self.values = every[order], np.concatenate((self.values, self.compute(fresh)))[order]
+            at = np.searchsorted(self.known, unique)
+        return self.values[at][back]
