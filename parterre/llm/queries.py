@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parterre.llm import bpe_chunks, decontam, licenses, ngram_join, pii, quality, token_files, toxicity, urls
+from parterre.llm import bpe_chunks, decontam, lang_id, licenses, ngram_join, pii, quality, token_files, toxicity, urls
 from parterre.llm.common import fold_remainder, table
 
 
@@ -46,6 +46,11 @@ def op6_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = lang_id.language_id(table(spark, folder, "documents"))
+    return found.select("doc_id", (fold_remainder(F.col("doc_id")) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items",
@@ -62,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scans, op2_url_filters, op3_ngram_join, op4_toxicity, op5_pii, op6_bpe_encoding, op8_benchmark_decontamination, op9_token_files,
+    op1_license_scans, op2_url_filters, op3_ngram_join, op4_toxicity, op5_pii, op6_bpe_encoding, op7_language_id, op8_benchmark_decontamination, op9_token_files,
     op10_quality_rules)}
 
 ORACLE = {

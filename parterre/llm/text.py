@@ -127,7 +127,7 @@ def letter_runs(data: np.ndarray, offsets: np.ndarray, longest: int) -> tuple[np
 class WordMemo:
     """Values of words, computed once for each distinct word: ``compute`` takes the words' bytes, A-Z lower-cased."""
 
-    def __init__(self, compute, width: int, most: int = 500_000) -> None:
+    def __init__(self, compute, width: int, most: int = 2_000_000) -> None:
         self.compute, self.width, self.most = compute, width, most
         self.known, self.values = np.zeros(0, np.uint64), np.zeros((0, width), np.float32)
 
