@@ -147,7 +147,7 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, confidence: float = C
     rank = lambda kind: F.array_position(F.array(*map(F.lit, KINDS)), kind).cast("int")
     ordered = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), rank(s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    keyed = docs.select(*keep, "text", row_key(docs).alias("key"))
+    keyed = docs.select(F.struct(*keep).alias("kept"), "text", row_key(docs).alias("key"))
     # the occurrences of a text hang on its digits and seeds alone; texts without any have none
     relevant = F.col("text").contains("@") | F.col("text").rlike("[0-9]")
     found = keyed.where(relevant).select("key", "text", base_spans(F.coalesce("text", F.lit(""))).alias("base"))
@@ -162,8 +162,8 @@ def personal_data(docs: DataFrame, support: int = SUPPORT, confidence: float = C
     per_doc = every.groupBy("key").agg(F.collect_list(F.struct("kind", "start", "end", "is_base")).alias("all")).select(
         "key", ordered(F.filter("all", lambda s: s["is_base"])).alias("base"), ordered(F.col("all")).alias("spans"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    return keyed.drop("text").join(per_doc, "key", "left").select(
-        *keep, F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+    return keyed.drop("text").join(per_doc.hint("merge"), "key", "left").select(
+        "kept.*", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def span_text(spans: Column) -> Column:

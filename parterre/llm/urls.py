@@ -71,7 +71,7 @@ def with_features(pages: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, train_rows: int = TRAIN_ROWS,
                trees: int = 12, depth: int = 3, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``keep`` columns with host, path, rule, verdict, and block_score (null where a rule decides)."""
-    judged = with_features(with_parts(pages.select(*keep, "url"))).withColumn("_r", rule_of(rules))
+    judged = with_features(with_parts(pages.select(F.struct(*keep).alias("_kept"), "url"))).withColumn("_r", rule_of(rules))
     labelled = judged.where("_r is not null").withColumn("label", (F.col("_r.verdict") == "block").cast("double"))
 
     # block rate of a suffix, drawn to the overall rate by 20 rows' weight
@@ -97,5 +97,5 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, tra
             fitted = model.fit(assemble.transform(train))
             scored = fitted.transform(assemble.transform(placed(judged))).withColumn("block_score", vector_to_array("probability")[1])
     by_model = F.when(F.col("block_score") >= 0.5, "block").otherwise("allow")
-    return scored.select(*keep, "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", by_model).alias("verdict"),
+    return scored.select("_kept.*", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", by_model).alias("verdict"),
                          F.when(F.col("_r").isNull(), F.col("block_score")).alias("block_score"))
