@@ -62,39 +62,41 @@ def _inventory_rows(rows: DataFrame, step: str) -> DataFrame:
 
 def replay(
     commands: DataFrame, inits: DataFrame, states: DataFrame | None = None,
-    *, with_states: bool = False, with_status: bool = False,
+    *, with_states: bool = False, with_status: bool = False, size: int | None = None,
 ) -> DataFrame:
     """Every set-up and command with its outcome, tagged by ``kind``.
 
     ``states`` are section states of an earlier replay to continue from.
     ``with_states`` adds the final free runs of each section as STATE rows;
-    ``with_status`` guarantees ``available_count`` on every row of a known
-    section (otherwise it may be null on some rejections).
+    ``with_status`` fills ``available_count`` on every row of a known section;
+    otherwise only STATE rows have it. ``size`` is the estimated size of the
+    commands if known from before a join.
     """
     timeline = command_rows(commands).unionByName(init_rows(inits))
     if states is not None:
         timeline = timeline.unionByName(state_rows(states))
-    heavy = heavy_keys(timeline, SECTION)
+    size = estimated_bytes(timeline) if size is None else size
+    heavy = heavy_keys(timeline, SECTION, size)
     if heavy is None:
-        return _fold_sections(timeline, with_states)
-    ordinary, large = split_heavy(timeline, SECTION, heavy)
-    spread = _replay_heavy(large, heavy_rows(heavy), with_states, with_status)
-    return _fold_sections(ordinary, with_states).unionByName(spread)
-
-
-def _fold_sections(timeline: DataFrame, with_states: bool) -> DataFrame:
-    return _fold(timeline, SECTION, with_states)
+        outcome = _fold(timeline, SECTION, with_states, size)
+    else:
+        ordinary, large = split_heavy(timeline, SECTION, heavy)
+        spread = _replay_heavy(large, heavy_rows(heavy), with_states, with_status)
+        outcome = _fold(ordinary, SECTION, with_states, size).unionByName(spread)
+    if with_status:
+        return outcome
+    return outcome.withColumn("available_count", F.when(F.col("kind") == STATE, F.col("available_count")))
 
 
-def _fold(timeline: DataFrame, keys: list[str], with_states: bool) -> DataFrame:
-    arranged = _by_key(timeline, keys).sortWithinPartitions(*keys, *ORDER)
+def _fold(timeline: DataFrame, keys: list[str], with_states: bool, size: int | None = None) -> DataFrame:
+    arranged = _by_key(timeline, keys, size).sortWithinPartitions(*keys, *ORDER)
     added = [T.StructField("epoch", T.LongType()), T.StructField("first_seat", T.IntegerType()),
              T.StructField("available_count", T.IntegerType())]
     kept = [T.StructField(f.name, f.dataType) for f in timeline.schema if f.name != "step"]
     return arranged.mapInArrow(section_fold(keys, with_states), T.StructType(kept + added))
 
 
-def _by_key(timeline: DataFrame, keys: list[str]) -> DataFrame:
+def _by_key(timeline: DataFrame, keys: list[str], size: int | None = None) -> DataFrame:
     """Every key whole in one partition.
 
     The rows are partitioned by a hash of the keys, not the keys themselves: were
@@ -102,15 +104,21 @@ def _by_key(timeline: DataFrame, keys: list[str]) -> DataFrame:
     shuffle as redundant, and adaptive execution, unaware that the fold needs
     whole sections, might then split a skewed partition of that join.
 
-    An input too large for the session's default number of partitions gets more;
-    adaptive execution merges small ones but never splits these.
+    An input too large for the session's default number of partitions gets more,
+    up to ``parterre.mostFoldTasks``. A number that is asked for stays as it is;
+    the default may be merged by adaptive execution.
     """
-    spark = timeline.sparkSession
+    wanted = fold_partitions(timeline, size)
     whole = F.xxhash64(*keys)
-    wanted = -(-estimated_bytes(timeline) // int_setting(spark, FOLD_TASK_BYTES))
-    if int(spark.conf.get("spark.sql.shuffle.partitions")) < wanted <= MOST_FOLD_TASKS:
-        return timeline.repartition(wanted, whole)
-    return timeline.repartition(whole)
+    return timeline.repartition(whole) if wanted is None else timeline.repartition(wanted, whole)
+
+
+def fold_partitions(timeline: DataFrame, size: int | None = None) -> int | None:
+    """How many partitions a fold asks for; None for the session's default."""
+    spark = timeline.sparkSession
+    size = estimated_bytes(timeline) if size is None else size
+    wanted = min(-(-(size or 0) // int_setting(spark, FOLD_TASK_BYTES)), int_setting(spark, MOST_FOLD_TASKS))
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 
 def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status: bool) -> DataFrame:

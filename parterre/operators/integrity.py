@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from parterre.functions.seats import seat_number
 from parterre.operators.allocate import seats_taken
-from parterre.operators.inventory import latest_inits, total_seats
-from parterre.schemas import AVAILABLE, CONFIRMED, REJECTED, RESERVED, SECTION
+from parterre.operators.inventory import free_count, latest_inits, total_seats, with_free_runs
+from parterre.schemas import CONFIRMED, REJECTED, SECTION
 
 
 def duplicate_seats(results: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def allocation_violations(results: DataFrame) -> DataFrame:
     seats = F.coalesce("allocated_seats", F.array().cast("array<string>"))
     numbers = F.transform(seats, seat_number)
     expected = F.transform(F.sequence(F.lit(1), F.size(seats)), lambda i: F.element_at(numbers, 1) + i - 1)
-    in_section = F.forall(seats, lambda s: s.startswith(F.concat("section", F.lit("-"))))
+    in_section = F.forall(seats, lambda s: s == F.concat_ws("-", "section", seat_number(s).cast("string")))
     consecutive = F.when(F.size(seats) > 0, numbers == expected).otherwise(F.lit(True))
     problem = (
         F.when(~F.col("status").isin(CONFIRMED, REJECTED), "unknown status")
@@ -41,21 +41,23 @@ def allocation_violations(results: DataFrame) -> DataFrame:
     return results.withColumn("problem", problem).where(F.col("problem").isNotNull())
 
 
-def inventory_balance(inits: DataFrame, seats: DataFrame, states: DataFrame) -> DataFrame:
+def inventory_balance(inits: DataFrame, results: DataFrame, states: DataFrame) -> DataFrame:
     """Per section: total, available and reserved seats, and the count the allocator kept.
 
-    ``balanced`` holds when the parts add up and both counts agree.
+    Counts the distinct seats that the results of a section's current set-up take;
+    earlier set-ups are over. ``balanced`` holds when those leave the kept count.
+    No seats are laid out: three tables with a row per section are joined.
     """
-    counted = seats.groupBy(*SECTION).agg(
-        F.count_if(F.col("status") == AVAILABLE).alias("available"),
-        F.count_if(F.col("status") == RESERVED).alias("reserved"))
-    declared = latest_inits(inits).select(
-        *SECTION, total_seats(F.col("rows"), F.col("seats_per_row")).cast("bigint").alias("total"))
-    kept = states.select(*SECTION, F.col("available_count").cast("bigint").alias("kept_available"))
-    joined = declared.join(counted, SECTION, "left").join(kept, SECTION, "left").na.fill(0, ["available", "reserved"])
-    balanced = (F.col("available") + F.col("reserved") == F.col("total")) & F.col("available").eqNullSafe(
-        F.col("kept_available"))
-    return joined.withColumn("balanced", balanced)
+    kept = states.select(*SECTION, "epoch", F.col("available_count").cast("bigint").alias("kept_available"))
+    sold = seats_taken(results).groupBy(*SECTION, "epoch").agg(F.countDistinct("seat_no").alias("sold"))
+    declared = with_free_runs(latest_inits(inits)).select(
+        *SECTION, total_seats(F.col("rows"), F.col("seats_per_row")).cast("bigint").alias("total"),
+        free_count().cast("bigint").alias("free"))
+    joined = declared.join(kept, SECTION, "left").join(sold, [*SECTION, "epoch"], "left").na.fill(0, ["sold"])
+    available = F.col("free") - F.col("sold")
+    return joined.select(
+        *SECTION, "total", available.alias("available"), (F.col("total") - available).alias("reserved"), "kept_available",
+        ((available >= 0) & available.eqNullSafe(F.col("kept_available"))).alias("balanced"))
 
 
 def unresolved_commands(commands: DataFrame, results: DataFrame) -> DataFrame:

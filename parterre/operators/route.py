@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parterre.operators.allocate import replay, results_of, states_of, status_of
+from parterre.operators.allocate import replay, results_of, states_of
+from parterre.operators.fold import INIT
+from parterre.operators.skew import estimated_bytes
 from parterre.operators.tables import latest_by_key
-from parterre.schemas import REJECTED, SECTION
+from parterre.schemas import REJECTED, SECTION, SECTION_INIT, SECTION_STATE
 from parterre.session import materialize
 
 
@@ -53,34 +55,52 @@ def prefilter(commands: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFr
     return accepted(judged), rejected(judged)
 
 
+# Before any set-up or command; a carried state enters the replay at this time.
+BEFORE_ALL = "timestamp_ntz'0001-01-01 00:00:00'"
+
+
+def route_batch(
+    commands: DataFrame, inits: DataFrame, states: DataFrame, *, shed: bool = True,
+) -> tuple[DataFrame, DataFrame | None]:
+    """(replayed rows, results turned away or None) of one batch, starting from ``states``.
+
+    The states also tell the availability that the batch is judged by. A section
+    set up anew in this batch may have more seats than that, so its commands are
+    left to the allocator.
+    """
+    size = estimated_bytes(commands)
+    turned_away = None
+    if shed:
+        settled = states.join(inits.select(*SECTION).distinct(), SECTION, "left_anti")
+        commands, turned_away = prefilter(commands, settled)
+    outcome = replay(commands, inits, states.withColumn("ts", F.expr(BEFORE_ALL)), with_states=True, with_status=True, size=size)
+    # A carried state enters as a set-up row; it is not a new status.
+    return outcome.where((F.col("kind") != INIT) | (F.col("ts") != F.expr(BEFORE_ALL))), turned_away
+
+
 class Route:
-    """Commands from arrival to completion, batch after batch.
+    """Commands and set-ups from arrival to completion, batch after batch.
 
-    Each batch sees the availability left by the batch before it. The outcome
-    of a batch is written once and read by its three consumers: completed
-    results, the availability table, and the states the next batch starts from.
+    Each batch sees the states left by the batch before it, and the set-ups that
+    arrive with it. The outcome of a batch is written once and read by its
+    consumers: completed results, the changelog, and the next batch.
     """
 
-    def __init__(self, inits: DataFrame) -> None:
-        self.inits = inits
+    def __init__(self) -> None:
         self.states: DataFrame | None = None
-        self.status: DataFrame | None = None
 
-    def run(self, commands: DataFrame) -> DataFrame:
+    def run(self, commands: DataFrame, inits: DataFrame | None = None) -> DataFrame:
         """Completed results of one batch, with ``prefiltered`` telling where they ended."""
-        turned_away = None
-        if self.status is not None:
-            commands, turned_away = prefilter(commands, self.status)
-        inits = self.inits if self.states is None else self.inits.where(F.lit(False))
-        outcome = materialize(
-            replay(commands, inits, self.states, with_states=True, with_status=True), "route-batch")
+        spark = commands.sparkSession
+        inits = spark.createDataFrame([], SECTION_INIT) if inits is None else inits
+        known = spark.createDataFrame([], SECTION_STATE) if self.states is None else self.states
+        outcome, turned_away = route_batch(commands, inits, known, shed=self.states is not None)
+        outcome = materialize(outcome, "route-batch")
         completed = results_of(outcome).withColumn("prefiltered", F.lit(False))
         if turned_away is not None:
             completed = completed.unionByName(turned_away.withColumn("prefiltered", F.lit(True)))
-        # Any time before the next batch will do: a state precedes the commands that follow it.
-        self.states = states_of(outcome, F.lit("1970-01-01").cast("timestamp_ntz"))
-        self.status = latest_section_status(status_of(outcome))
+        self.states = states_of(outcome, F.expr(BEFORE_ALL))
         return completed
 
 
-__all__ = ["Route", "accepted", "latest_section_status", "prefilter", "rejected", "with_verdict"]
+__all__ = ["Route", "accepted", "latest_section_status", "prefilter", "rejected", "route_batch", "with_verdict"]

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from parterre.session import HEAVY_KEY_ROWS, SINGLE_TASK_BYTES, int_setting, materialize
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate, the figure behind automatic broadcasts."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's own size estimate, the figure behind automatic broadcasts; None where it cannot be asked for.
+
+    A join multiplies the sizes of its sides unless one is known to be unique, so ask before joining.
+    """
+    plan = getattr(df, "_jdf", None)
+    return None if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame | None:
+def heavy_keys(df: DataFrame, keys: list[str], size: int | None = None) -> DataFrame | None:
     """The keys with more than ``parterre.heavyKeyRows`` rows, with their counts.
 
-    ``None`` when there are none, or when the whole input fits one task. The
+    ``None`` when there are none, or when the input is too small to hold one;
+    ``size`` is its estimated size if known from before a join. The
     count reads the key columns only and combines before its shuffle. At most
     rows / heavyKeyRows keys can qualify.
     """
     spark = df.sparkSession
-    if estimated_bytes(df) <= int_setting(spark, SINGLE_TASK_BYTES):
+    size = estimated_bytes(df) if size is None else size
+    if size is not None and size <= int_setting(spark, SINGLE_TASK_BYTES):
         return None
     limit = int_setting(spark, HEAVY_KEY_ROWS)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))

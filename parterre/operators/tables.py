@@ -11,6 +11,7 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[str | Column]) ->
 
     An aggregate, not a window: each task keeps one row per key before the
     shuffle, so a key with very many versions costs no more than any other.
+    Comparing whole rows makes it a sorted aggregate on both sides.
     """
     rest = [c for c in df.columns if c not in keys]
     newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("newest")

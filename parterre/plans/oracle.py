@@ -17,7 +17,7 @@ RESERVATION = """select event_id as id, event_id as ticket_id, user_id::varchar
   case event_type when 'purchase' then 'CONFIRMED' when 'error' then 'CANCELLED' else 'PENDING' end as status,
   ts as created_at from events"""
 LOG = """select event_id as request_id, floor(value * 3)::bigint as post_ms, floor(value * 7)::bigint as get_ms,
-  floor(value * 3)::bigint + floor(value * 7)::bigint as latency_ms, event_type <> 'error' as ok from events"""
+  floor(value * 3)::bigint + floor(value * 7)::bigint + event_id % 100 as latency_ms, event_type <> 'error' as ok from events"""
 AREAS = """select p_partkey as event_id, p_name as event_name, p_brand as artist, chr(64 + i::int) as area_id,
   (p_size % 7)::int as row_count, (p_size + i)::int as col_count
   from part, lateral (select unnest(range(1, p_size % 4 + 2)) as i)"""
@@ -27,14 +27,14 @@ TICKET_VIEW = f"""select t.id, t.event_id, e.name as event_name, t.seat_number,
   from ({TICKET}) t join ({EVENT}) e on e.id = t.event_id"""
 
 
-def fold(name: str, commands: str) -> str:
-    """CTEs replaying ``commands``: ``<name>`` has one row per set-up (rn 0) and command."""
+def fold(name: str, commands: str, sections: str = "true", seats: int = 24) -> str:
+    """CTEs replaying ``commands``: ``<name>`` has one row per set-up (rn 0) and command of the chosen sections."""
     return f"""{name}_c as (select *, row_number() over (partition by event_id, section order by ts, reservation_id) as rn
   from ({commands})),
 {name} as (
-  select distinct event_id, section, 0::bigint as rn, list_filter(range(1, 25), lambda x: x % 7 <> 0) as fr,
+  select distinct event_id, section, 0::bigint as rn, list_filter(range(1, {seats + 1}), lambda x: x % 7 <> 0) as fr,
     null::varchar as reservation_id, null::int as seat_count, null::varchar as user_id,
-    timestamp '2023-12-31 00:00:00' as ts, null::bigint as f from ({CMD})
+    timestamp '2023-12-31 00:00:00' as ts, null::bigint as f from ({CMD}) where {sections}
   union all
   select event_id, section, rn, case when f is null then fr else list_filter(fr, lambda x: x < f or x >= f + seat_count) end,
     reservation_id, seat_count, user_id, ts, f
@@ -75,6 +75,37 @@ def judged(snapshot: str) -> str:
 WITHOUT_SIGNUP = judged("select * from snap where section <> 'signup'")
 SECOND = fold("st2", f"select * from ({CMD}) where ts < {CUT} union all select * exclude (enough) from judged where enough")
 
+# Sections of even events are set up anew at the cut, with 12 seats; those of every fifth event have no first set-up.
+_OVER = f"(event_id % 2 = 0 and ts >= {CUT})"
+REINIT = "with recursive " + fold("st1", f"select * from ({CMD}) where event_id % 5 <> 0 and not {_OVER}", "event_id % 5 <> 0") + (
+    ", ") + fold("st2", f"select * from ({CMD}) where {_OVER}", "event_id % 2 = 0", 12) + f"""
+select {RESULT_COLUMNS} from st1 where rn > 0 union all select {RESULT_COLUMNS} from st2 where rn > 0
+union all select reservation_id, event_id, section, seat_count, user_id, 'REJECTED', null, ts
+  from ({CMD}) where event_id % 5 = 0 and not {_OVER}"""
+ASKED_EVENTS = "event_id in (select c_custkey * 3 from customer)"
+SEAT_LIST = "case when first_seat is null then [] else list_transform(range(first_seat, first_seat + seat_count), lambda n: section || '-' || n) end"
+
+
+def violations(rows: str) -> str:
+    """Rows are (reservation_id, section, seat_count, status, seats)."""
+    return f"""select reservation_id, problem from (select reservation_id, case
+    when status not in ('CONFIRMED', 'REJECTED') then 'unknown status'
+    when status = 'REJECTED' and len(seats) > 0 then 'seats on a rejection'
+    when status = 'CONFIRMED' and len(seats) <> seat_count then 'wrong number of seats'
+    when len(list_filter(seats, lambda s: s <> section || '-' || regexp_extract(s, '([0-9]+)$', 1))) > 0 then 'seat of another section'
+    when len(list_filter(seats, lambda s, i: regexp_extract(s, '([0-9]+)$', 1)::int
+      <> regexp_extract(seats[1], '([0-9]+)$', 1)::int + i - 1)) > 0 then 'seats not consecutive' end as problem
+  from ({rows})) where problem is not null"""
+
+
+def slo(get_most: int, least_rate: float) -> str:
+    return f"""select *, p95_post_ms < 500 as post_ok, p95_get_ms < {get_most} as get_ok, pass_rate > {least_rate} as checks_ok from (
+select count(*) as requests, count(*) filter (ok) as completed, avg(ok::int::double) as pass_rate,
+  avg(latency_ms) filter (ok) as avg_duration_ms, (max(latency_ms) filter (ok))::bigint as max_duration_ms,
+  quantile_cont(post_ms::double, 0.95) as p95_post_ms, quantile_cont(get_ms::double, 0.95) as p95_get_ms,
+  quantile_cont(latency_ms::double, 0.95) filter (ok) as p95_duration_ms from ({LOG}))"""
+
+
 ORACLE: dict[str, str] = {
     "src_commands": CMD,
     "src_section_init": f"""select event_id, section, rows_n as "rows", per_row as seats_per_row,
@@ -95,6 +126,8 @@ ORACLE: dict[str, str] = {
   coalesce(string_agg(distinct seat_number, ',' order by seat_number) filter (status <> 'AVAILABLE'), '') as initial_reserved
   from ({TICKET}) group by event_id, split_part(seat_number, '-', 1)""",
     "seat_allocation": f"{ONE}, {RESULTS} select * from res",
+    "seat_allocation_reinit": REINIT,
+    "reservation_routing_reinit": REINIT,
     "section_status_changelog": f"""{ONE} select {KEY}, event_id, section, reservation_id, len(fr)::int as available_count,
   ts as status_ts from st""",
     "latest_section_status": f"""{ONE} select event_id, section, (arg_max(len(fr), rn) - 1)::int as available_count,
@@ -107,7 +140,8 @@ ORACLE: dict[str, str] = {
     "first_fit_start": f"""{ALL} select c.event_id, c.section, c.seat_count, min(run_start)::int as first_seat
   from (select distinct event_id, section, seat_count from ({CMD})) c join runs r
     on r.event_id = c.event_id and r.section = c.section and r.run_length >= c.seat_count group by all""",
-    "prefilter_accepted": f"""{EARLY}, {WITHOUT_SIGNUP} select {KEY}, * exclude (enough) from judged where enough""",
+    "prefilter_accepted": f"""{EARLY}, {WITHOUT_SIGNUP} select {KEY}, * exclude (enough) from judged where enough
+union all select {KEY}, * from ({CMD}) where ts < {CUT}""",
     "prefilter_rejected": f"""{EARLY}, {WITHOUT_SIGNUP} select reservation_id, event_id, section, seat_count, user_id,
   'REJECTED' as status, 0::int as seats, ts as completed_ts from judged where not enough""",
     "reservation_routing": f"""{EARLY}, {judged("select * from snap")}, {SECOND}
@@ -129,8 +163,8 @@ union all select reservation_id, event_id, section, seat_count, user_id, 'REJECT
   from (select distinct c_custkey * 2 as asked_id from customer) left join ({EVENT_VIEW}) e on e.id = asked_id""",
     "ticket_by_id": f"""select asked_id, t.* exclude (id), t.id is not null as found
   from (select ticket_id * 2 as asked_id from ({RESERVATION})) left join ({TICKET_VIEW}) t on t.id = asked_id""",
-    "tickets_by_event": TICKET_VIEW,
-    "tickets_available": f"select * from ({TICKET_VIEW}) where status = 'AVAILABLE'",
+    "tickets_by_event": f"select * from ({TICKET_VIEW}) where {ASKED_EVENTS}",
+    "tickets_available": f"select * from ({TICKET_VIEW}) where status = 'AVAILABLE' and {ASKED_EVENTS}",
     "tickets_by_seats": f"""select t.* from ({TICKET}) t where exists (select 1 from ({CMD}) c
   where c.event_id = t.event_id and 'A-' || c.seat_count = t.seat_number)""",
     "reservation_by_ticket_user": f"""select r.* from ({RESERVATION}) r where exists (select 1 from ({CMD}) c
@@ -166,38 +200,49 @@ union all select reservation_id, event_id, section, seat_count, user_id, 'REJECT
     "outcome_counts": f"""{ONE}, {RESULTS} select count(*) filter (ok and status = 'CONFIRMED') as successful,
   count(*) filter (ok and status <> 'CONFIRMED') as failed, count(*) filter (not ok) as errors
   from res join ({LOG}) on request_id::varchar = reservation_id""",
-    "seats_per_section": f"""{ONE}, {RESULTS}, {TAKEN} select event_id, section, count(*) as seats,
+    "seats_per_section": f"""{ONE}, {RESULTS}, {TAKEN} select event_id, section, sum(n)::bigint as seats,
   (grouping(event_id) * 2 + grouping(section))::int as level
-  from (select distinct event_id, section, seat_no from taken) group by rollup (event_id, section)""",
-    "latency_percentiles": f"""with m as (select 'processing_ms' as measure, post_ms + get_ms as v from ({LOG})
-  union all select 'latency_ms', latency_ms from ({LOG}))
+  from (select event_id, section, count(distinct seat_no) as n from taken group by all
+    union all select distinct event_id, section, 0 from res) group by rollup (event_id, section)""",
+    "latency_percentiles": f"""with m as (select 'processing_ms' as measure, post_ms + get_ms as v from ({LOG}) where ok
+  union all select 'latency_ms', latency_ms from ({LOG}) where ok)
 """ + " union all ".join(
         f"select measure, {p}::double as point, quantile_cont(v::double, {p}) as milliseconds from m group by measure"
         for p in (0.5, 0.95, 0.99)),
-    "slo_report": f"""select *, p95_post_ms < 500 as post_ok, p95_get_ms < 5000 as get_ok, pass_rate > 0.99 as checks_ok from (
-select count(*) as requests, count(*) filter (ok) as completed, avg(ok::int::double) as pass_rate,
-  avg(latency_ms) filter (ok) as avg_duration_ms, (max(latency_ms) filter (ok))::bigint as max_duration_ms,
-  quantile_cont(post_ms::double, 0.95) as p95_post_ms, quantile_cont(get_ms::double, 0.95) as p95_get_ms,
-  quantile_cont(latency_ms::double, 0.95) filter (ok) as p95_duration_ms from ({LOG}))""",
+    "slo_report": slo(5000, 0.99),
+    "slo_report_large": slo(10000, 0.95),
     "duplicate_seats": f"""{ONE}, {RESULTS}, {TAKEN} select event_id, section, 1::bigint as epoch, seat_no, count(*) as times
   from taken group by all having count(*) > 1""",
     "duplicate_seats_planted": f"""{ONE}, {RESULTS} select event_id, section, epoch,
   unnest(range(first_seat, first_seat + seat_count))::int as seat_no, 2::bigint as times
   from (select * from res where first_seat is not null order by reservation_id::bigint limit 1)""",
-    "allocation_violations": f"""{ONE}, {RESULTS}, {TAKEN} select r.reservation_id, 'seats do not match' as problem
-  from res r left join (select reservation_id, count(*) as n, max(seat_no) - min(seat_no) + 1 as span from taken group by all) t
-    on t.reservation_id = r.reservation_id
-  where (r.status = 'CONFIRMED' and (t.n is distinct from r.seat_count or t.span is distinct from r.seat_count))
-    or (r.status = 'REJECTED' and t.n is not null)""",
+    "allocation_violations": f"{ONE}, {RESULTS} " + violations(f"select *, {SEAT_LIST} as seats from res"),
+    "allocation_violations_planted": f"{ONE}, {RESULTS} " + violations(f"""select reservation_id, section, seat_count,
+    case when n % 20 = 15 then 'LOST' else status end as status,
+    case when n % 5 = 0 and len(seats) = 0 then [section || '-1']
+      when n % 20 = 0 then seats[2:] when n % 20 = 5 then list_transform(seats, lambda s: 'B-' || s)
+      when n % 20 = 10 and len(seats) > 1 then list_reverse(seats) else seats end as seats
+    from (select *, reservation_id::bigint as n, {SEAT_LIST} as seats from res)"""),
     "inventory_balance": f"""{ALL} select event_id, section, total, available, reserved, kept_available,
   available + reserved = total and available = kept_available as balanced
   from (select event_id, section, count(*) as total, count(*) filter (status = 'AVAILABLE') as available,
     count(*) filter (status = 'RESERVED') as reserved from fin group by event_id, section)
   join (select event_id, section, arg_max(len(fr), rn)::bigint as kept_available from st group by event_id, section)
     using (event_id, section)""",
+    "inventory_balance_reinit": "with recursive " + fold("st1", f"select * from ({CMD}) where event_id % 2 <> 0", "event_id % 2 <> 0")
+    + ", " + fold("st2", f"select * from ({CMD}) where {_OVER}", "event_id % 2 = 0", 12) + """,
+    both_ as (select *, 24 as total, 21 as free from st1 union all select *, 12, 11 from st2),
+    each as (select event_id, section, total::bigint as total, arg_max(len(fr), rn)::bigint as kept_available,
+      free - coalesce(sum(seat_count) filter (f is not null and event_id % 9 <> 0), 0)::bigint as available
+      from both_ group by event_id, section, total, free)
+    select event_id, section, total, available, total - available as reserved, kept_available,
+      available = kept_available as balanced from each""",
     "unresolved_commands": f"""{ONE}, {RESULTS} select c.reservation_id, count(*)::bigint as asked, 0::bigint as answered
   from ({CMD}) c left join res r on r.reservation_id = c.reservation_id
   where r.status is null group by c.reservation_id""",
+    "unresolved_commands_planted": f"""select reservation_id, 1::bigint as asked, answered from (
+  select reservation_id, (case when n % 7 = 0 or n % 13 = 0 then 0 when n % 11 = 0 then 2 else 1 end)::bigint as answered
+  from (select reservation_id, reservation_id::bigint as n from ({CMD}))) where answered <> 1""",
 }
 
 # A stream ends where its batch twin does.

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from parterre.functions import seats as S
 from parterre.functions import time as TM
@@ -175,24 +176,25 @@ def first_fit_start(t: Tables) -> DataFrame:
 # --- routing ------------------------------------------------------------------------------------
 
 
-def _judged_second_batch(t: Tables) -> DataFrame:
-    """Commands after the cut against the status left by those before it, with
-    section ``signup`` not yet seen by the status table."""
+def _judged_batches(t: Tables) -> DataFrame:
+    """Commands before the cut, when no status is known yet, and those after it against the availability left by
+    the first ones, with section ``signup`` not yet seen by the status table."""
     early = t.commands.where(F.col("ts") < F.expr(CUT_TS))
     late = t.commands.where(F.col("ts") >= F.expr(CUT_TS))
-    status = RT.latest_section_status(A.status_changelog(early, t.inits))
-    return RT.with_verdict(late, status.where(F.col("section") != "signup"))
+    left = A.final_states(early, t.inits).where(F.col("section") != "signup")
+    unjudged = early.withColumns({"known_available": F.lit(None).cast("int"), "enough": F.lit(True)})
+    return unjudged.unionByName(RT.with_verdict(late, left))
 
 
 @query
 def prefilter_accepted(t: Tables) -> DataFrame:
-    kept = RT.accepted(_judged_second_batch(t))
+    kept = RT.accepted(_judged_batches(t))
     return kept.select(S.section_key().alias("section_key"), *kept.columns)
 
 
 @query
 def prefilter_rejected(t: Tables) -> DataFrame:
-    refused = A.with_seat_names(RT.rejected(_judged_second_batch(t)))
+    refused = A.with_seat_names(RT.rejected(_judged_batches(t)))
     return refused.select("reservation_id", *SECTION, "seat_count", "user_id", "status",
                           F.size("allocated_seats").alias("seats"), "completed_ts")
 
@@ -200,12 +202,42 @@ def prefilter_rejected(t: Tables) -> DataFrame:
 @query
 def reservation_routing(t: Tables) -> DataFrame:
     """Both batches end to end: pre-filter, allocate on the carried state, complete."""
-    route = RT.Route(t.inits)
-    first = route.run(t.commands.where(F.col("ts") < F.expr(CUT_TS)))
+    route = RT.Route()
+    first = route.run(t.commands.where(F.col("ts") < F.expr(CUT_TS)), t.inits)
     second = route.run(t.commands.where(F.col("ts") >= F.expr(CUT_TS)))
     return first.unionByName(second).drop("epoch")
 
 
+def _second_inits(t: Tables) -> DataFrame:
+    """At the cut, sections of even event numbers are set up anew, with two rows."""
+    return t.inits.where(F.col("event_id") % 2 == 0).withColumns({"rows": F.lit(2), "ts": F.expr(CUT_TS)})
+
+
+def _first_inits(t: Tables) -> DataFrame:
+    """All sections but those of every fifth event, which are never set up at first."""
+    return t.inits.where(F.col("event_id") % 5 != 0)
+
+
+@query
+def seat_allocation_reinit(t: Tables) -> DataFrame:
+    return A.allocate_seats(t.commands, _first_inits(t).unionByName(_second_inits(t))).drop("epoch")
+
+
+@query
+def reservation_routing_reinit(t: Tables) -> DataFrame:
+    """Two batches, the second with set-ups of its own; who was turned away where is left out."""
+    route = RT.Route()
+    first = route.run(t.commands.where(F.col("ts") < F.expr(CUT_TS)), _first_inits(t))
+    second = route.run(t.commands.where(F.col("ts") >= F.expr(CUT_TS)), _second_inits(t))
+    return first.unionByName(second).drop("epoch", "prefiltered")
+
+
+COMPLETED_FEED = StructType([
+    StructField("reservation_id", StringType()), StructField("event_id", LongType()), StructField("section", StringType()),
+    StructField("seat_count", IntegerType()), StructField("user_id", StringType()), StructField("status", StringType()),
+    StructField("allocated_seats", StringType()), StructField("completed_ts", TimestampNTZType())])
+
+
 def completed_feed(t: Tables) -> DataFrame:
     """Each completed result twice: first as pending, a second later as it ended."""
     ended = A.with_seat_names(_results(t))
@@ -226,12 +258,15 @@ def reservation_table(t: Tables) -> DataFrame:
 
 @query
 def reservation_lookup(t: Tables) -> DataFrame:
-    """Ask for every order key as a reservation id; many have no reservation."""
+    """Ask for every order key as a reservation id; many have no reservation, and every tenth was answered twice."""
     asked = t.raw("orders").select(F.col("o_orderkey").cast("string").alias("asked_id"))
-    table = A.with_seat_names(_results(t)).select(
+    answers = A.with_seat_names(_results(t)).select(
         "reservation_id", *SECTION, "seat_count", "user_id", "status",
         F.array_join("allocated_seats", ",").alias("allocated_seats"),
         TM.from_millis(TM.to_millis(F.col("completed_ts"))).alias("created_at"))
+    earlier = answers.where(F.col("reservation_id").cast("bigint") % 10 == 0).withColumns(
+        {"status": F.lit("PENDING"), "created_at": F.col("created_at") - F.expr("interval 1 second")})
+    table = T.latest_by_key(answers.unionByName(earlier), ["reservation_id"], ["created_at"])
     return T.lookup(asked, table, "reservation_id", "asked_id")
 
 
@@ -284,12 +319,18 @@ def ticket_by_id(t: Tables) -> DataFrame:
 
 @query
 def tickets_by_event(t: Tables) -> DataFrame:
-    return R.ticket_view(t.tickets, t.events)
+    """Tickets of the events that some customer asks for; many of these have none."""
+    return R.ticket_view(T.find_in(t.tickets, _asked_events(t), ["event_id"]), t.events)
+
+
+def _asked_events(t: Tables) -> DataFrame:
+    return t.raw("customer").select((F.col("c_custkey") * 3).alias("event_id"))
 
 
 @query
 def tickets_available(t: Tables) -> DataFrame:
-    return R.ticket_view(T.find_by(t.tickets, status=AVAILABLE), t.events)
+    available = T.find_by(t.tickets, status=AVAILABLE)
+    return R.ticket_view(T.find_in(available, _asked_events(t), ["event_id"]), t.events)
 
 
 @query
@@ -401,6 +442,11 @@ def slo_report(t: Tables) -> DataFrame:
     return G.slo_report(t.request_log)
 
 
+@query
+def slo_report_large(t: Tables) -> DataFrame:
+    return G.slo_report(t.request_log, G.THRESHOLDS["large"])
+
+
 # --- integrity ----------------------------------------------------------------------------------
 
 
@@ -424,11 +470,35 @@ def allocation_violations(t: Tables) -> DataFrame:
     return V.allocation_violations(A.with_seat_names(_outcomes(t))).select("reservation_id", "problem")
 
 
+@query
+def allocation_violations_planted(t: Tables) -> DataFrame:
+    """Every fifth result is spoiled in a way its id decides."""
+    named = A.with_seat_names(_outcomes(t))
+    number = F.col("reservation_id").cast("bigint")
+    seats, sold = F.col("allocated_seats"), F.size("allocated_seats") > 0
+    spoiled = (
+        F.when((number % 5 == 0) & ~sold, F.array(F.concat_ws("-", "section", F.lit("1"))))
+        .when((number % 20 == 0) & sold, F.slice(seats, 2, F.size(seats)))
+        .when((number % 20 == 5) & sold, F.transform(seats, lambda s: F.concat(F.lit("B-"), s)))
+        .when((number % 20 == 10) & (F.size(seats) > 1), F.reverse(seats))
+        .otherwise(seats))
+    status = F.when(number % 20 == 15, F.lit("LOST")).otherwise(F.col("status"))
+    return V.allocation_violations(named.withColumns({"allocated_seats": spoiled, "status": status})).select("reservation_id", "problem")
+
+
 @query
 def inventory_balance(t: Tables) -> DataFrame:
     outcome = materialize(A.replay(A.anonymous(t.commands), t.inits, with_states=True), "balance-source")
-    seats = I.seat_inventory_final(t.inits, A.seats_taken(A.results_of(outcome)))
-    return V.inventory_balance(t.inits, seats, A.states_of(outcome, F.expr(INIT_TS)))
+    return V.inventory_balance(t.inits, A.results_of(outcome), A.states_of(outcome, F.expr(INIT_TS)))
+
+
+@query
+def inventory_balance_reinit(t: Tables) -> DataFrame:
+    """With a second set-up of some sections, and the results of every ninth event missing: those don't balance."""
+    inits = t.inits.unionByName(_second_inits(t))
+    outcome = materialize(A.replay(A.anonymous(t.commands), inits, with_states=True), "balance-source")
+    results = A.results_of(outcome).where(F.col("event_id") % 9 != 0)
+    return V.inventory_balance(inits, results, A.states_of(outcome, F.expr(INIT_TS)))
 
 
 @query
@@ -436,6 +506,16 @@ def unresolved_commands(t: Tables) -> DataFrame:
     return V.unresolved_commands(t.commands, _outcomes(t))
 
 
+@query
+def unresolved_commands_planted(t: Tables) -> DataFrame:
+    """Every seventh answer is missing, every eleventh is there twice, every thirteenth is not final."""
+    number = F.col("reservation_id").cast("bigint")
+    times = F.when(number % 7 == 0, F.lit(0)).when(number % 11 == 0, F.lit(2)).otherwise(F.lit(1))
+    answers = _outcomes(t).withColumn("status", F.when(number % 13 == 0, F.lit("PENDING")).otherwise(F.col("status")))
+    once = answers.where(times > 0)
+    return V.unresolved_commands(t.commands, once.unionByName(once.where(times > 1)))
+
+
 # --- streams: the same results by way of files, micro-batches and checkpoints ---------------------
 
 
@@ -467,13 +547,13 @@ def _completed_in_two_runs(t: Tables, follower: LatestTable | ChangedEvents, fol
     feed = materialize(completed_feed(t), "completed-feed")
     for part in (F.col("status") == "PENDING", F.col("status") != "PENDING"):
         publish(feed.where(part), f"{folder}/in")
-        follower.run(read_log(t.spark, f"{folder}/in", feed.schema, stream=True))
+        follower.run(read_log(t.spark, f"{folder}/in", COMPLETED_FEED, stream=True))
 
 
 @query
 def stream_reservation_table(t: Tables) -> DataFrame:
     folder = fresh_path(t.spark, "stream-table")
-    table = LatestTable(t.spark, folder, completed_feed(t).schema, ["reservation_id"], ["completed_ts"])
+    table = LatestTable(t.spark, folder, COMPLETED_FEED, ["reservation_id"], ["completed_ts"])
     _completed_in_two_runs(t, table, folder)
     return table.read()
 

@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A key with more rows than this is spread over several tasks.
 HEAVY_KEY_ROWS = ("parterre.heavyKeyRows", 4_000_000)
-# Inputs Catalyst estimates below this fit one task whatever their keys are.
-SINGLE_TASK_BYTES = ("parterre.singleTaskBytes", 256 * 1024 * 1024)
-# Shuffled bytes one fold task is meant to take, and the most tasks planned for it.
-FOLD_TASK_BYTES = ("parterre.foldTaskBytes", 128 * 1024 * 1024)
-MOST_FOLD_TASKS = 200_000
+# Inputs that Catalyst estimates below this can have no heavy key: estimates are of compressed files, and a row takes
+# four bytes of them at least.
+SINGLE_TASK_BYTES = ("parterre.singleTaskBytes", 4 * HEAVY_KEY_ROWS[1])
+# Estimated bytes that one fold task is meant to take, and the most tasks planned for a fold; beyond, tasks grow.
+FOLD_TASK_BYTES = ("parterre.foldTaskBytes", 32 * 1024 * 1024)
+MOST_FOLD_TASKS = ("parterre.mostFoldTasks", 200_000)
 
 
 def int_setting(spark: SparkSession, setting: tuple[str, int]) -> int:

@@ -28,10 +28,18 @@ def read_log(
 
 
 def read_table(spark: SparkSession, name: str, schema: T.StructType, *, folder: str | None = None,
-               jdbc_url: str | None = None, **options: str) -> DataFrame:
-    """A relational table, from a parquet folder or over JDBC; filters reach either."""
+               jdbc_url: str | None = None, bounds: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A relational table, from a parquet folder or over JDBC; filters reach either.
+
+    JDBC needs ``bounds`` (a numeric column, its least and greatest value, and how
+    many parts to read it in), as a read without them is a single task.
+    """
     if jdbc_url:
-        return spark.read.format("jdbc").options(url=jdbc_url, dbtable=name, **options).load().to(schema)
+        if bounds is None:
+            raise ValueError("JDBC needs bounds, else one task reads the whole table")
+        column, low, high, parts = bounds
+        split = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+        return spark.read.format("jdbc").options(url=jdbc_url, dbtable=name, **split, **options).load().to(schema)
     return spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
 
 
@@ -45,7 +53,8 @@ def read_broker(spark: SparkSession, servers: str, topic: str, schema: T.StructT
 
 # A registry's wire format puts one magic byte and a four-byte id before each record.
 REGISTRY_HEADER_BYTES = 5
-_AVRO_TYPES = {"string": "string", "bigint": "long", "int": "int", "boolean": "boolean", "double": "double"}
+_AVRO_TYPES = {"string": "string", "bigint": "long", "int": "int", "boolean": "boolean", "double": "double",
+               "timestamp_ntz": {"type": "long", "logicalType": "local-timestamp-micros"}}
 
 
 def avro_schema(record: T.StructType, name: str) -> str:

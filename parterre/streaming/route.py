@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from parterre.operators import allocate as A
 from parterre.operators.fold import COMMAND, INIT, STATE
-from parterre.operators.route import prefilter
+from parterre.operators.route import route_batch
 from parterre.operators.tables import latest_by_key
 from parterre.schemas import SECTION
 from parterre.session import materialize, scratch
@@ -37,7 +37,6 @@ OUTCOME = T.StructType([
     T.StructField("run_stops", T.ArrayType(T.IntegerType())),
     T.StructField("prefiltered", T.BooleanType()),
 ])
-_START = "timestamp_ntz'0001-01-01 00:00:00'"
 
 
 def tagged(commands: DataFrame, inits: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ class StreamingRoute:
 
     def __init__(self, spark: SparkSession, folder: str, *, shed: bool = True, full_every: int = 20) -> None:
         self.spark, self.folder, self.shed, self.full_every = spark, folder, shed, full_every
-        self.table = BatchTable(spark, f"{folder}/outcome", OUTCOME)
+        self.table = BatchTable(spark, f"{folder}/outcome", OUTCOME, by="kind")
 
     def run(self, commands: DataFrame, inits: DataFrame) -> None:
         """Process what has arrived; a later call resumes from the checkpoint."""
@@ -79,16 +78,7 @@ class StreamingRoute:
         inits = arrived.where(F.col("kind") == INIT)
         known = self.states_before(batch)
         touched = known.join(arrived.select(*SECTION).distinct(), SECTION, "left_semi")
-        turned_away = None
-        if self.shed:
-            # A section set up anew in this batch may have more seats than its last
-            # status says, so its commands are left to the allocator.
-            settled = touched.join(inits.select(*SECTION).distinct(), SECTION, "left_anti")
-            commands, turned_away = prefilter(commands, settled)
-        outcome = A.replay(
-            commands, inits, touched.withColumn("ts", F.expr(_START)), with_states=True, with_status=True)
-        # A carried state entered the replay as a set-up row; it is not a new status.
-        outcome = outcome.where((F.col("kind") != INIT) | (F.col("ts") != F.expr(_START)))
+        outcome, turned_away = route_batch(commands, inits, touched, shed=self.shed)
         rows = outcome.withColumn("prefiltered", F.lit(False))
         if turned_away is not None:
             rows = rows.unionByName(

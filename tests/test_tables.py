@@ -56,14 +56,14 @@ def test_prefilter_does_not_change_outcomes(spark):
     rng = random.Random(3)
     inits = make_inits(spark, [(1, s, 3, 5, [f"{s}-4"]) for s in "AB"])
     commands = make_commands(spark, [(f"r{i:03}", 1, rng.choice("AB"), rng.randrange(1, 5)) for i in range(60)])
-    route = RT.Route(inits)
+    route = RT.Route()
     cuts = [0, 10, 25, 60]
     parts = [commands.where(f"cast(substr(reservation_id, 2) as int) >= {a} and cast(substr(reservation_id, 2) as int) < {b}")
              for a, b in zip(cuts, cuts[1:])]
     seen = {}
     early = 0
     for part in parts:
-        for r in route.run(part).collect():
+        for r in route.run(part, None if seen else inits).collect():
             seen[r.reservation_id] = (r.status, r.first_seat)
             early += r.prefiltered
     plain = {r.reservation_id: (r.status, r.first_seat) for r in A.allocate_seats(commands, inits).collect()}
