@@ -72,13 +72,15 @@ def phrase_candidates(items: DataFrame, postings: DataFrame, window: int = WINDO
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anchors: int = ANCHORS,
                   keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and, per document, n_words, n_hit, n_items, items (sorted ids) and contaminated."""
-    keyed = docs.select(*keep, "text", row_key(docs).alias("key"))
+    keyed = docs.select(F.struct(*keep).alias("kept"), "text", row_key(docs).alias("key"))
     items = store(item_table(benchmark), "decontam-items")
     postings = build_index(keyed.select("key", "text"), items)
     found = phrase_candidates(items, postings, window, anchors)
     per_doc = store(found.join(items, "item").groupBy("key").agg(
         F.collect_set(F.struct("diag", "starts", "item_id", F.col("words").alias("item_words"))).alias("found")), "decontam-found")
-    judged = keyed.join(per_doc, "key", "left").select(*keep, let(words(F.col("text")), _judge).alias("_j")).select(*keep, "_j.*")
+    # always by key: the found ones grow with the documents
+    judged = keyed.join(per_doc.hint("merge"), "key", "left").select("kept", let(words(F.col("text")), _judge).alias("_j")).select(
+        "kept.*", "_j.*")
     return judged.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
