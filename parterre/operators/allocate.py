@@ -105,7 +105,7 @@ def _by_key(timeline: DataFrame, keys: list[str], size: int | None = None) -> Da
     whole sections, might then split a skewed partition of that join.
 
     An input too large for the session's default number of partitions gets more,
-    up to ``parterre.mostFoldTasks``. A number that is asked for stays as it is;
+    up to ``parterre.mostFoldTasks``; one of unknown size gets the default. A number that is asked for stays as it is;
     the default may be merged by adaptive execution.
     """
     wanted = fold_partitions(timeline, size)

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from parterre.session import HEAVY_KEY_ROWS, SINGLE_TASK_BYTES, int_setting, materialize
 
 
+# Rows from outside Spark's sources are said to have the largest size there is, and joins multiply it.
+_UNKNOWN_BYTES = 1 << 62
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's own size estimate, the figure behind automatic broadcasts; None where it cannot be asked for.
+    """Catalyst's own size estimate, the figure behind automatic broadcasts; None where it has none.
 
     A join multiplies the sizes of its sides unless one is known to be unique, so ask before joining.
     """
     plan = getattr(df, "_jdf", None)
-    return None if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = None if plan is None else int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if size is None or size >= _UNKNOWN_BYTES else size
 
 
 def heavy_keys(df: DataFrame, keys: list[str], size: int | None = None) -> DataFrame | None:
