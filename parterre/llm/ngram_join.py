@@ -14,10 +14,13 @@ then by counts). Shingles in unusually many documents come last in the order, so
 shared passages don't gather their documents; the counts behind it are over all
 documents, in a sketch of fixed size, and any error in them costs time only.
 
-Pairs that survive the bound are verified on the full sets. A shingle with up to
+Pairs that survive meet the same bound once more on finer counts (a group for
+every four to eight shingles), and what is left is verified on the full sets. A shingle with up to
 ``LEAF`` sets gives all its surviving pairs. In a larger one, first each set is
-only paired with its nearest in the tree, which joins most of a group of copies;
-then sets of different components, and only those, are paired in blocks. So
+only paired with the first in a fixed order of those near it in the tree. The
+order is the same under every shingle, so a group of copies meets at few of its
+sets and gives few pairs; then sets of different components, and only those, are
+paired in blocks. So
 groups of copies cost in proportion to their size, and no link is lost that could
 join two components. Equal sets are one class throughout.
 
@@ -44,7 +47,9 @@ from parterre.llm.text import codes, grouped, mixed, span_hashes, words
 travels(__name__, "parterre.llm.common", "parterre.llm.text")
 
 WORDS, PERCENT = 5, 80
-GROUPS, LEAF, BLOCK = 8, 16, 512
+GROUPS, LEAF, BLOCK = 8, 8, 512
+#: Share of its size by which a set is near another, if the bound allows it.
+NEAR = 0.9
 #: Buckets of the sketch of document frequencies, and bits of the bitmap of wanted classes: fixed sizes.
 SKETCH, BITMAP = 1 << 18, 1 << 22
 
@@ -92,6 +97,25 @@ def point(shingles: np.ndarray) -> int:
     return int(np.minimum(-(-counts // unit), 255).astype(np.uint8).view(np.int64)[0])
 
 
+def fine_point(shingles: np.ndarray) -> bytes:
+    """Counts of as many groups as there are shingles to eight, up to the next power of two, in a byte each."""
+    groups = 1 << max(3, int(len(shingles) // 8).bit_length())
+    counts = np.bincount(((shingles >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def fine_bound(x: bytes, y: bytes, m: int, n: int) -> int:
+    """The most that sets of ``m`` and ``n`` can share by their fine points; 255 stands for any number."""
+    parts = []
+    for raw, size in ((x, m), (y, n)):
+        counts = np.frombuffer(raw, np.uint8).astype(np.int64)
+        parts.append(np.where(counts == 255, size, counts))
+    few = min(map(len, parts))
+    # the low bits are the group: halves fall together
+    x_few, y_few = (v.reshape(-1, few).sum(axis=0) for v in parts)
+    return int(np.minimum(x_few, y_few).sum())
+
+
 def unit_of(n):
     """Size of a coordinate's unit for a set of ``n``: a power of two, with an average count below 128 units."""
     return 1 << np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / (128 * GROUPS)))).astype(np.int64)
@@ -125,20 +149,34 @@ class CountTree:
         self.low = np.array([self.sizes[x].min() for x in self.leaves])
         self.high = np.array([self.sizes[x].max() for x in self.leaves])
 
-    def near(self, k: int) -> np.ndarray:
-        """Entries before ``k`` whose bound lets them reach the needed overlap with it; best first."""
+    def near(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Other entries whose bound lets them reach the needed overlap with ``k``, and the Jaccard that it allows."""
         n, own, p = self.sizes[k], self.at[k], self.percent
         open_ = (100 * self.high >= p * n) & (p * self.low <= 100 * n)
         least = needed(n, np.maximum(self.low, -(-p * n // 100)), p)
         open_ &= np.minimum(own, self.most).sum(axis=1) >= least
         if not open_.any():
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0)
         entries = np.concatenate([self.leaves[i] for i in np.flatnonzero(open_)])
         m = self.sizes[entries]
         bound = np.minimum(own, self.at[entries]).sum(axis=1)
-        fits = (bound >= needed(n, m, p)) & (100 * np.minimum(m, n) >= p * np.maximum(m, n)) & (entries < k)
-        entries, ratio = entries[fits], bound[fits] / (m[fits] + n - np.minimum(bound[fits], np.minimum(m[fits], n)))
-        return entries[np.argsort(-ratio, kind="stable")]
+        fits = (bound >= needed(n, m, p)) & (100 * np.minimum(m, n) >= p * np.maximum(m, n)) & (entries != k)
+        entries, m, bound = entries[fits], m[fits], np.minimum(bound[fits], np.minimum(m[fits], n))
+        return entries, bound / (m + n - bound)
+
+    def first_near(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of each entry and the first before it in ``order`` that is near, or else that its bound allows."""
+        pairs = []
+        for k in range(len(self.sizes)):
+            entries, ratio = self.near(k)
+            before = order[entries] < order[k]
+            entries, ratio = entries[before], ratio[before]
+            if (ratio >= NEAR).any():
+                entries = entries[ratio >= NEAR]
+            if len(entries):
+                pairs.append((k, entries[np.argmin(order[entries])]))
+        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+        return i, j
 
 
 POSTING = "slot long, a long, b long, point long"  # slot: 40 bits of the shingle, 24 bits of the set's size
@@ -202,7 +240,7 @@ def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
 
 
 def _search(percent: int):
-    """Candidate pairs of sorted postings: all of small runs, each set's nearest in large ones."""
+    """Candidate pairs of sorted postings: all of small runs, one for each set of large ones."""
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _runs(batches):
             slot, a, b, points = _distinct(columns)
@@ -217,57 +255,83 @@ def _search(percent: int):
                 for begin in range(begins[r], begins[r] + count[r], BLOCK):
                     # blocks overlap by one set, so that copies hang together from the first to the last
                     rows = np.arange(max(begins[r], begin - 1), min(begin + BLOCK, begins[r] + count[r]))
-                    tree = CountTree(sizes[rows], points[rows], percent)
-                    nearest = [(k, near[0]) for k in range(len(rows)) if len(near := tree.near(k))]
-                    if nearest:
-                        i, j = np.array(nearest).T
-                        found.append((rows[i], rows[j]))
+                    i, j = CountTree(sizes[rows], points[rows], percent).first_near(a[rows])
+                    found.append((rows[i], rows[j]))
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found))
                 yield _pair_batch(a, b, i, j)
     return search
 
 
-def _search_across(percent: int):
-    """Candidate pairs across components: rows are sorted by shingle and block pair, with a component in ``c`` and the block in ``d``."""
+class FineCounts:
+    """The fine points of a run's sets, to be compared at the fewer groups of a pair."""
+
+    def __init__(self, raw: np.ndarray, sizes: np.ndarray) -> None:
+        self.length = np.array([len(x) for x in raw])
+        self.at: dict[int, np.ndarray] = {}
+        for few in np.unique(self.length).tolist():
+            rows = np.flatnonzero((self.length == few) | (self.length == 2 * few))
+            table = np.zeros((len(raw), few), np.int32)
+            for k in rows.tolist():
+                counts = np.frombuffer(raw[k], np.uint8).astype(np.int32)
+                table[k] = np.where(counts == 255, sizes[k], counts).reshape(-1, few).sum(axis=0)
+            self.at[few] = table
+
+    def bounds(self, k: int, entries: np.ndarray) -> np.ndarray:
+        """What entry ``k`` can share with others of its own, half or twice the number of groups; more for any other."""
+        out = np.full(len(entries), 1 << 30)
+        few = np.minimum(self.length[entries], self.length[k])
+        for size in np.unique(few).tolist():
+            at = np.flatnonzero((few == size) & (np.maximum(self.length[entries], self.length[k]) <= 2 * size))
+            out[at] = np.minimum(self.at[size][k], self.at[size][entries[at]]).sum(axis=1)
+        return out
+
+
+def _across(columns: list[np.ndarray], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one cell between different components: all, or each set's best in each component."""
+    points, sizes, component, own, i_block, j_block, raw = columns[4:]
+    tree, fine, found = CountTree(sizes, points, percent), FineCounts(raw, sizes), []
+    for k in range(1, len(sizes)):
+        near, _ = tree.near(k)
+        near = near[(near < k) & (component[near] != component[k]) & ((i_block[k] == j_block[k]) | (own[near] != own[k]))]
+        bound = fine.bounds(k, near)
+        fits = bound >= needed(sizes[near], sizes[k], percent)
+        near, bound = near[fits], bound[fits]
+        if best and len(near) > 1:
+            order = np.lexsort((-bound / (sizes[near] + sizes[k]), component[near]))
+            near = near[order][np.concatenate(([True], np.diff(component[near][order]) != 0))]
+        if len(near):
+            found.append((np.full(len(near), k), near))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _search_across(percent: int, best: bool):
+    """Candidate pairs of rows that are sorted by shingle and block pair."""
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        def pairs(columns):
-            _, _, a, b, points, sizes, c, own, i_block, j_block = columns
-            if len(a) < 2:
-                return None
-            tree = CountTree(sizes, points, percent)
-            found = []
-            for k in range(1, len(a)):
-                near = tree.near(k)
-                near = near[(c[near] != c[k]) & ((i_block[k] == j_block[k]) | (own[near] != own[k]))]
-                if len(near):
-                    found.append((np.full(len(near), k), near))
-            return _pair_batch(a, b, *(np.concatenate(x) for x in zip(*found))) if found else None
-
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             if held is not None:
                 columns = [np.concatenate(pair) for pair in zip(held, columns)]
             if not len(columns[0]):
                 continue
-            key = np.stack([columns[0], columns[1]])
-            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            edges = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
             parts = [np.split(c, edges) for c in columns]
-            for k in range(len(edges)):
-                if (out := pairs([p[k] for p in parts])) is not None:
-                    yield out
-            held = [p[-1] for p in parts]
-        if held is not None and (out := pairs(held)) is not None:
-            yield out
+            for cell in list(zip(*parts))[:-1]:
+                yield _pair_batch(cell[2], cell[3], *_across(cell, percent, best))
+            held = [part[-1] for part in parts]
+        if held is not None:
+            yield _pair_batch(held[2], held[3], *_across(held, percent, best))
     return search
 
 
 def _profiles(n_words: int):
-    """(doc_id, n, a, b) of each row, and at a task's end (bucket, count) where its share of the sketch is far above the mean."""
+    """(doc_id, n, a, b, fine) of each row, and at a task's end (bucket, count) where its share of the sketch is far above the mean."""
     def profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
-        names = ["doc_id", "n", "a", "b", "bucket", "count"]
+        names = ["doc_id", "n", "a", "b", "fine", "bucket", "count"]
         for batch in batches:
             for at, data, offsets in grouped(batch.column(1)):
                 sets = shingle_sets(data, offsets, n_words)
@@ -279,10 +343,11 @@ def _profiles(n_words: int):
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([x for x, _ in signs], pa.int64()), pa.array([x for _, x in signs], pa.int64()), none, none], names)
+                     pa.array([x for x, _ in signs], pa.int64()), pa.array([x for _, x in signs], pa.int64()),
+                     pa.array([fine_point(s) for s in sets], pa.binary()), none, none], names)
         heavy = np.flatnonzero(sketch >= 16 + 4 * sketch.mean())
         none = pa.nulls(len(heavy), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(heavy), pa.array(sketch[heavy])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(heavy), pa.binary()), pa.array(heavy), pa.array(sketch[heavy])], names)
     return profiles
 
 
@@ -344,6 +409,22 @@ def _verified(percent: int):
     return verified
 
 
+def _refined(percent: int):
+    def refined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, m, n = (batch.column(k).to_pylist() for k in range(4, 8))
+            keep = [fine_bound(*row) >= needed(row[2], row[3], percent) for row in zip(x, y, m, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)], ["a1", "b1", "a2", "b2"]).filter(pa.array(keep, pa.bool_()))
+    return refined
+
+
+def refined_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the finer counts let reach the needed overlap; ``classes`` has (a, b, n, fine)."""
+    side = lambda k: classes.select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"f{k}"))
+    full = pairs.hint("merge").join(side(1).hint("merge"), ["a1", "b1"]).join(side(2).hint("merge"), ["a2", "b2"])
+    return store(full.select("a1", "b1", "a2", "b2", "f1", "f2", "n1", "n2").mapInArrow(_refined(percent), PAIR), "join-refined")
+
+
 def links_of(docs: DataFrame, pairs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """The pairs whose sets are similar enough."""
     ends = pairs.select(F.explode(F.array("a1", "a2")).alias("a"))
@@ -384,10 +465,27 @@ def connected(links: DataFrame) -> DataFrame:
             return names.select("x.a", "x.b", F.concat_ws(":", "c.a", "c.b").alias("c"))
 
 
+def pairs_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of sets of different components under one shingle that both bounds let through."""
+    token = F.shiftright("slot", 24)
+    placed = shared.join(names, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.concat_ws(":", "a", "b"))).withColumn("token", token)
+    open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where(
+        (F.col("n") > LEAF) & (F.col("c1") != F.col("c2"))).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
+    members = placed.join(open_, "token").withColumn("own", own).join(classes.select("a", "b", "fine").hint("merge"), ["a", "b"])
+    # every set goes to the pairs of its block with each block
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("cell"), "a", "b", "point",
+        F.col("slot").bitwiseAND(F.lit(_SIZE)).alias("size"), F.xxhash64("c").alias("c"), "own",
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fine")
+    return dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", "size").mapInArrow(
+        _search_across(percent, best), PAIR).distinct()
+
+
 def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows = docs.select("doc_id", "text")
-    profile = store(rows.mapInArrow(_profiles(n_words), "doc_id long, n long, a long, b long, bucket long, count long"), "join-profiles")
+    profile = store(rows.mapInArrow(_profiles(n_words), "doc_id long, n long, a long, b long, fine binary, bucket long, count long"), "join-profiles")
     heavy = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("n"))
     levels = np.zeros(SKETCH, np.uint8)
     for row in heavy.collect():  # at most SKETCH rows
@@ -397,28 +495,22 @@ def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
     shared = store(dealt.mapInArrow(_shared, POSTING), "join-shared")
     again = lambda df: df.repartition(F.shiftright("slot", 24)).sortWithinPartitions("slot", "a", "b")
     pairs = store(again(shared).mapInArrow(_search(percent), PAIR).distinct(), "join-pairs")
-    links = store(links_of(docs, pairs, n_words, percent), "join-links")
+    classes = profile.where("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
+    links = store(links_of(docs, refined_pairs(pairs, classes, percent), n_words, percent), "join-links")
     names = store(connected(links), "join-components")
 
-    # shingles with more sets than a leaf and with several components left
-    token = F.shiftright("slot", 24)
-    placed = shared.join(names, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.concat_ws(":", "a", "b")))
-    mixed_up = placed.groupBy(token.alias("token")).agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where(
-        (F.col("n") > LEAF) & (F.col("c1") != F.col("c2"))).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
-    open_ = placed.withColumn("token", token).join(mixed_up, "token").withColumn("own", own)
-    # block pairs: every set goes to the pairs of its block with each block
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("cell"), "a", "b", "point",
-        F.col("slot").bitwiseAND(F.lit(_SIZE)).alias("size"), F.xxhash64("c").alias("c"), "own",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).distinct()
-    across = store(dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", "size").mapInArrow(
-        _search_across(percent), PAIR).distinct().join(pairs, ["a1", "b1", "a2", "b2"], "left_anti"), "join-pairs")
-    if not across.isEmpty():
+    # shingles with more sets than a leaf and with several components left: first the best pair of a set and another
+    # component, which joins nearly all that can be joined, then every pair that is still between components
+    tried = pairs
+    for best in (True, False):
+        across = store(pairs_across(shared, names, classes, percent, best).join(tried, ["a1", "b1", "a2", "b2"], "left_anti"), "join-pairs")
+        if across.isEmpty():
+            continue
+        tried = tried.unionByName(across)
         links = store(links.unionByName(links_of(docs, across, n_words, percent)), "join-links")
         names = store(connected(links), "join-components")
 
-    own_rows = profile.where("bucket is null")
+    own_rows = profile.where("bucket is null").drop("fine")
     named = own_rows.join(names, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.concat_ws(":", "a", "b")))
     least = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "c", "left").select(
