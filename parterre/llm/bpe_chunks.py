@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parterre.llm.common import bitmap_of, in_bitmap, row_key, store, travels
-from parterre.llm.text import codes, grouped, mixed, span_hashes
-from parterre.llm.tokens import Encoder
+from parterre.llm.text import codes, grouped, mixed, sliced, span_hashes
+from parterre.llm.tokens import Decoder, Encoder
 
 travels(__name__, "parterre.llm.common", "parterre.llm.text", "parterre.llm.tokens")
 
@@ -117,7 +117,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("
 
     def encoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches, 2000):
             chunks = batch.column(2).to_pylist()
             spans = [safe_stretch(c) for c in chunks]
             ids, sizes = encoder.encode(pa.array([c[x:y].decode() for c, (x, y) in zip(chunks, spans)], pa.string()))
@@ -131,17 +131,18 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("
     once = texts.groupBy("a", "b").agg(F.first("chunk").alias("chunk")).join(shared.select("a", "b"), ["a", "b"])
     table = store(once.mapInArrow(encoded, "a long, b long, first int, last int, ids binary").where("last > 0"), "bpe-chunks")
 
-    def split(with_hits: bool):
-        """Documents that may hold shared chunks, or those that surely don't."""
-        def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = np.zeros(batch.num_rows, bool)
-                for at, data, offsets in grouped(batch.column(1)):
-                    starts, stops, a, _ = chunk_table(data, offsets)
-                    hits = (stops - starts >= LEAST) & in_bitmap(bitmap, _bit(a))
-                    hit[at + np.searchsorted(offsets, starts[hits], "right") - 1] = True
-                yield batch.filter(pa.array(hit == with_hits))
-        return rows.mapInArrow(rows_of, f"kept {kept_type}, text string, key long")
+    def chosen(batch: pa.RecordBatch, with_hits: bool) -> pa.RecordBatch:
+        """Rows whose text may hold shared chunks, or those that surely don't."""
+        hit = np.zeros(batch.num_rows, bool)
+        for at, data, offsets in grouped(batch.column(1)):
+            starts, stops, a, _ = chunk_table(data, offsets)
+            hits = (stops - starts >= LEAST) & in_bitmap(bitmap, _bit(a))
+            hit[at + np.searchsorted(offsets, starts[hits], "right") - 1] = True
+        return batch.filter(pa.array(hit == with_hits))
+
+    def sharing(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield chosen(batch, True)
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,22 +157,23 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("
 
     def alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
+            batch = chosen(batch, False)
             ids, sizes = encoder.encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), _cut(ids, sizes)], ["kept", "ids"])
 
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        for batch in batches:
+        encoder, decoder = Encoder(tokenizer), Decoder(tokenizer)
+        for batch in sliced(batches, 200):
             texts, parts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_assembled(encoder, texts, parts), pa.binary())], ["kept", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_assembled(encoder, decoder, texts, parts), pa.binary())], ["kept", "ids"])
 
     placed = rows.select("text", "key").mapInArrow(places, "key long, at long, a long, b long").distinct().join(table, ["a", "b"])
     stretches = placed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(
         (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last")).alias("stop"), "ids"))).alias("parts"))
-    reused = split(True).join(stretches.hint("merge"), "key", "left").select("kept", "text", "parts")
+    reused = rows.mapInArrow(sharing, f"kept {kept_type}, text string, key long").join(stretches.hint("merge"), "key", "left").select("kept", "text", "parts")
     out = f"kept {kept_type}, ids binary"
-    return reused.mapInArrow(joined, out).unionByName(split(False).mapInArrow(alone, out)).select("kept.*", "ids")
+    return reused.mapInArrow(joined, out).unionByName(rows.drop("key").mapInArrow(alone, out)).select("kept.*", "ids")
 
 
 def _cut(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -179,7 +181,7 @@ def _cut(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.array([raw[4 * (e - n): 4 * e] for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary())
 
 
-def _assembled(encoder: Encoder, texts: list[str | None], parts: list[list[dict] | None]) -> list[bytes]:
+def _assembled(encoder: Encoder, decoder: Decoder, texts: list[str | None], parts: list[list[dict] | None]) -> list[bytes]:
     """Ids of each text from its shared stretches and what lies between them, which is encoded here."""
     raws = [(t or "").encode() for t in texts]
     gaps = []
@@ -194,7 +196,7 @@ def _assembled(encoder: Encoder, texts: list[str | None], parts: list[list[dict]
         for p in own or ():
             pieces += (p["ids"], next(between))
         whole = b"".join(pieces)
-        if own and encoder.decode(np.frombuffer(whole, "<u4")) != raw:
+        if own and decoder.decode(np.frombuffer(whole, "<u4")) != raw:
             whole = np.array(encoder.ids_of([raw.decode()])[0], "<u4").tobytes()
         out.append(whole)
     return out
@@ -209,20 +211,15 @@ def decode_documents(encoded: DataFrame, tokenizer: str, digest: bool = False) -
     def decoded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        encoder = Encoder(tokenizer)
-        shown: list[str] = []
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids = [np.frombuffer(x or b"", "<u4") for x in part.column(1).to_pylist()]
-                texts = [encoder.decode(x).decode() for x in ids]
-                hashes = [None] * len(ids)
-                if digest:
-                    shown = shown or [str(k) for k in range(encoder.library.get_vocab_size() + 1)]
-                    hashes = [hashlib.sha256(",".join([shown[k] for k in x.tolist()]).encode()).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(texts, pa.string()), pa.array(hashes, pa.string())],
-                    ["kept", "n_tokens", "decoded", "ids_sha256"])
+        decoder = Decoder(tokenizer)
+        shown = [str(k) for k in range(decoder.size)] if digest else []
+        for part in sliced(batches, 200):
+            ids = [np.frombuffer(x or b"", "<u4") for x in part.column(1).to_pylist()]
+            texts = [decoder.decode(x).decode() for x in ids]
+            hashes = [hashlib.sha256(",".join([shown[k] for k in x.tolist()]).encode()).hexdigest() if digest else None for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(texts, pa.string()), pa.array(hashes, pa.string())],
+                ["kept", "n_tokens", "decoded", "ids_sha256"])
 
     out = rows.mapInArrow(decoded, f"kept {kept_type}, n_tokens long, decoded string, ids_sha256 string")
     return out.select("kept.*", "n_tokens", "decoded", *["ids_sha256"] * digest)

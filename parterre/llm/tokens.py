@@ -21,7 +21,7 @@ from parterre.llm.text import codes, gather, grouped, span_hashes
 LATIN = 0x250
 LETTER, DIGIT, SPACE, MARK, WHOLE = range(5)
 #: Words kept with their ids; beyond, the store starts anew.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 300_000
 
 
 def _classes() -> np.ndarray:
@@ -69,8 +69,28 @@ def vocabulary(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(tokens), np.uint8), np.concatenate(([0], np.cumsum(sizes)))
 
 
+class Decoder:
+    """Decodes ids; holds the vocabulary's bytes alone."""
+
+    def __init__(self, path: str) -> None:
+        with open(path) as f:
+            self._bytes = vocabulary(byte_tokens(json.load(f)))
+        self.size = len(self._bytes[1]) - 1
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes that the ids stand for. Bytes that are no UTF-8 become replacement characters, as the library has it."""
+        data, offsets = self._bytes
+        at = ids.astype(np.int64)
+        raw = gather(data, offsets[at], offsets[at + 1] - offsets[at]).tobytes()
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode(errors="replace").encode()
+        return raw
+
+
 class Encoder:
-    """Encodes and decodes batches; one for each task."""
+    """Encodes batches; one for each task."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -80,8 +100,7 @@ class Encoder:
         self.library.no_padding()
         with open(path) as f:
             told = json.load(f)
-        tokens = byte_tokens(told)
-        self._bytes, self._merge = vocabulary(tokens), word_merger(told, tokens)
+        self._merge = word_merger(told, byte_tokens(told))
         self._special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self._forget()
 
@@ -190,14 +209,3 @@ class Encoder:
         found = np.array(self._merge("\0".join(words) + "\0"), np.uint32)
         ends = np.flatnonzero(found == self._merge("\0")[0])
         return np.delete(found, ends), np.diff(ends, prepend=-1) - 1
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that the ids stand for. Bytes that are no UTF-8 become replacement characters, as the library has it."""
-        data, offsets = self._bytes
-        at = ids.astype(np.int64)
-        raw = gather(data, offsets[at], offsets[at + 1] - offsets[at]).tobytes()
-        try:
-            raw.decode()
-        except UnicodeDecodeError:
-            return raw.decode(errors="replace").encode()
-        return raw
