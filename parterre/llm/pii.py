@@ -122,19 +122,17 @@ def confident_patterns(occurrences: DataFrame, support: int = SUPPORT, confidenc
                        rounds: int = ROUNDS) -> DataFrame:
     """(side, words, shape, kind, score) after the last round."""
     cells = store(_pattern_rows(occurrences).groupBy("side", "words", "shape", "instance").agg(F.max("kind").alias("kind")), "pii-graph")
-    # a pattern without enough seeds in any shape can never become confident; a new instance needs the word beside a seed
-    seeded = cells.where("kind is not null").groupBy("side", "words").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= support)
-    cells = store(cells.join(store(seeded.drop("n"), "pii-words"), ["side", "words"]), "pii-graph")
     known = cells.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind"))
     patterns = None
     for _ in range(rounds):
-        marked = cells.drop("kind").join(known, "instance", "left")
-        by_kind = marked.where("kind is not null").groupBy("side", "words", "kind").agg(F.countDistinct("instance").alias("n_known"))
-        total = marked.groupBy("side", "words").agg(F.countDistinct("instance").alias("n_all"))
-        patterns = store(by_kind.join(total, ["side", "words"]).where(
-            (F.col("n_known") >= support) & (F.col("n_known") >= confidence * F.col("n_all"))).select(
+        # what is known by now counts, found or seed; contexts without enough of it are left out of this round only
+        by_kind = store(cells.drop("kind").join(known, "instance").groupBy("side", "words", "kind").agg(
+            F.countDistinct("instance").alias("n_known")).where(F.col("n_known") >= support), "pii-supported")
+        near = cells.drop("kind").join(by_kind.select("side", "words").distinct(), ["side", "words"])
+        total = near.groupBy("side", "words").agg(F.countDistinct("instance").alias("n_all"))
+        patterns = store(by_kind.join(total, ["side", "words"]).where(F.col("n_known") >= confidence * F.col("n_all")).select(
             "side", "words", "kind", (F.col("n_known") / F.col("n_all") * F.log2(F.col("n_known") + 1)).alias("score")), "pii-patterns")
-        votes = marked.where("kind is null").join(patterns.withColumnRenamed("kind", "voted"), ["side", "words"])
+        votes = cells.drop("kind").join(patterns.withColumnRenamed("kind", "voted"), ["side", "words"]).join(known, "instance", "left_anti")
         new = votes.groupBy("instance", "voted").agg(F.countDistinct("side", "words").alias("n"), F.sum("score").alias("score")).where(
             F.col("n") >= agree).groupBy("instance").agg(F.max_by("voted", F.struct("score", "voted")).alias("kind"))
         known = store(known.unionByName(new), "pii-known")
