@@ -5,7 +5,8 @@ transformed ratios form a vector; for each language and source the
 minimum-covariance-determinant estimate (center and scatter of the most compact
 three quarters) is found by concentration steps, each one grouped aggregate, and
 vectors too far from it in Mahalanobis distance are rejected. Groups under
-``min_rows`` are pooled with their language, and languages under it with all.
+``min_rows`` are judged by the estimate of all rows of their language, large
+sources included, and languages under it by that of all rows.
 
 Null text counts as empty. A document that fails the base rules is neither used
 for the estimates nor judged by them. Null languages and sources form groups of
@@ -114,16 +115,22 @@ def quality_rules(docs: DataFrame, core: float = CORE, steps: int = STEPS, cutof
         "f_symbols": share("n_symbols", "word_chars"), "f_lines": share("n_dup_lines", "n_lines"),
         "f_repeats": share("n_repeat_words", "n_words")}), "quality-counts")
 
-    # the group of a row: language and source, or what is large enough around it
+    # the group that judges a row: language and source, or what is large enough around it
     sizes = counts.where("not base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
     whole = F.sum("n").over(Window.partitionBy("lang"))
-    named = lambda *cols: F.to_json(F.struct(*cols))
+    # nulls are named, or a null source would be taken for its whole language
+    named = lambda *cols: F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
     groups = store(sizes.withColumn("n_lang", whole).select(
         F.col("lang").alias("g_lang"), F.col("source").alias("g_source"),
         F.when(F.col("n") >= min_rows, named("lang", "source"))
-        .when(F.col("n_lang") >= min_rows, named("lang")).otherwise("{}").alias("g")), "quality-groups")
+        .when(F.col("n_lang") >= min_rows, named("lang")).otherwise("{}").alias("g"),
+        F.array(named("lang", "source"), named("lang"), F.lit("{}")).alias("around")), "quality-groups")
+    # a row counts for each group around it that judges any row, its own or others'
+    feeds = store(groups.select("g_lang", "g_source", F.explode("around").alias("g")).join(
+        groups.select("g").distinct(), "g", "left_semi"), "quality-feeds")
+    groups = groups.drop("around")
     in_group = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    rows = counts.where("not base_failed").join(groups, in_group).select("g", *FEATURES)
+    rows = counts.where("not base_failed").join(feeds, in_group).select("g", *FEATURES)
 
     features = [F.col(x) for x in FEATURES]
     fit = store(_start(rows), "quality-fit")
