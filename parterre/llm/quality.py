@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from parterre.llm.common import NOT_SPACE, let, matches, store
 
 WINDOW = 8
-#: Share of a group that the estimate rests on; steps; distance squared at which a vector is rejected.
-CORE, STEPS, CUTOFF = 0.75, 3, 100.0
+#: Share of a group that the estimate rests on; steps; distance squared above which a vector is rejected: what one normal
+#: vector of five in a thousand exceeds (chi2 with 5).
+CORE, STEPS, CUTOFF = 0.75, 3, 20.515
 #: Makes the scatter of the core three quarters consistent for normal vectors of five: 0.75 / P(chi2 with 7 < 6.626).
 CONSISTENCY = 1.41
 #: The least standard deviation of each feature: log words, mean word length, and the square roots of the symbol,

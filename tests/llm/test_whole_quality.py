@@ -32,3 +32,13 @@ def test_null_source_is_not_its_whole_language(spark):
     signs = [(100 + k, plain(k, 60 + k % 50, "$$%"), "en", None) for k in range(60)]
     small = [(200 + k, plain(k, 80), "en", "u") for k in range(3)]
     assert not rejected(spark, rows + signs + small) & {i for i, *_ in rows + signs}
+
+
+def test_moderate_outliers(spark):
+    """A fifth of the characters are signs, three tenths of the lines repeat, or a text is many times as long: all far from their group."""
+    rows = [(k, plain(k, 60 + k % 50), "en", "s") for k in range(100)]
+    words = plain(900, 80).split()
+    signs = " ".join(w + "$" * round(len(w) / 4) for w in words)
+    lines = "\n".join([*(plain(910 + k, 12) for k in range(7)), *[plain(909, 4)] * 4])
+    odd = [(200, signs, "en", "s"), (201, lines, "en", "s"), (202, plain(950, 1200), "en", "s")]
+    assert rejected(spark, rows + odd) == {200, 201, 202}
