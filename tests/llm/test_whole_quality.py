@@ -19,7 +19,7 @@ def rejected(spark, rows):
 def test_small_sources_beside_large_ones(spark):
     """Junk is the norm of its own small source or language, but not of what stands around it."""
     rows = [(k, plain(k, 60 + k % 50), lang, source) for k, (lang, source) in enumerate(
-        (lang, source) for lang in ("en", None) for source in ("s", "t", None) for _ in range(40))]
+        (lang, source) for lang in ("en", "de") for source in ("s", "t") for _ in range(40))]
     junk = [(1000 + k, plain(k, 80, "$$%"), "en", "small") for k in range(3)] + [(1010, plain(9, 80, "$$%"), "en", "one")]
     junk += [(1020 + k, plain(k, 80, "$$%"), "xx", "s") for k in range(3)]
     fine = [(2000 + k, plain(500 + k, 80), "en", "small2") for k in range(3)] + [(2010, plain(510, 80), "xx", "t")]
