@@ -95,9 +95,10 @@ def test_planted_faults_are_reported(spark):
     assert sorted(r.seat_no for r in V.duplicate_seats(results.unionByName(copied)).collect()) == [3, 4, 5]
     assert V.duplicate_seats(results).count() == 0
     assert [r.reservation_id for r in V.unresolved_commands(commands, results.where("reservation_id = 'r1'")).collect()] == ["r2"]
-    balance = V.inventory_balance(inits, spark.createDataFrame([(1, "A", "AVAILABLE")], "event_id bigint, section string, status string"),
-                                  A.final_states(commands, inits)).first()
-    assert not balance.balanced
+    states = A.final_states(commands, inits)
+    assert V.inventory_balance(inits, results, states).first().balanced
+    lost = V.inventory_balance(inits, results.where("reservation_id = 'r1'"), states).first()
+    assert (lost.available, lost.kept_available, lost.balanced) == (4, 1, False)
 
 
 def test_exact_percentiles_across_bins(spark):
