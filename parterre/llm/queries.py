@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parterre.llm import bpe_chunks, decontam, lang_id, licenses, ngram_join, pii, quality, token_files, toxicity, urls
+from parterre.llm import bpe_chunks, decontam, filter_audit, lang_id, licenses, ngram_join, pii, quality, token_files, toxicity, urls
 from parterre.llm.common import fold_remainder, table
 
 
@@ -66,9 +66,13 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(table(spark, folder, "documents")).drop("distance")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_url_filters, op3_ngram_join, op4_toxicity, op5_pii, op6_bpe_encoding, op7_language_id, op8_benchmark_decontamination, op9_token_files,
-    op10_quality_rules)}
+    op10_quality_rules, op11_filter_audit)}
 
 ORACLE = {
     "op8_benchmark_decontamination": r"""
@@ -99,5 +103,44 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
   sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
 from d left join hit using (doc_id) left join its using (doc_id)
+""",
+    "op11_filter_audit": r"""
+with lab as (
+  select doc_id, max(coalesce(quality = 1, false)::int) as good, max(coalesce(toxic = 1, false)::int) as toxic
+  from labels where doc_id is not null group by 1),
+d as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
+    min(doc_id) over (partition by coalesce(text, '')) as first_id from documents),
+f as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    (len(ws) < 50)::int + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::int
+    + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int
+    + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > first_id, false)::int as mask
+  from d left join lab using (doc_id)),
+m as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by 1, 2),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as c, unnest([1, 2, 4, 8, 16]) as bit),
+orders as (
+  select a.c || b.c || c.c || d.c || e.c as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from l a, l b, l c, l d, l e where a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    and len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (
+  select filter_order, step, bits[step] as bit, coalesce(list_sum(bits[1:step - 1]), 0) as before
+  from orders, (select unnest(range(1, 6)) as step)),
+r as (
+  select part, filter_order, step, bit, n, good, toxic, (mask & bit) <> 0 as fails, (mask & before::bigint) <> 0 as gone, mask = bit as alone
+  from m, s),
+o as (
+  select part, filter_order, step, bit,
+    coalesce(sum(n) filter (not gone and not fails), 0)::bigint as kept,
+    coalesce(sum(n) filter (not gone and fails), 0)::bigint as removed,
+    coalesce(sum(n) filter (gone and fails), 0)::bigint as redundant,
+    coalesce(sum(n) filter (alone), 0)::bigint as unique_fails,
+    coalesce(sum(good) filter (not gone and fails), 0)::bigint as good_lost,
+    coalesce(sum(toxic) filter (not gone and fails), 0)::bigint as toxic_lost
+  from r group by 1, 2, 3, 4)
+select part, filter_order, step::int as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, bit))::bigint as shapley
+from o
 """,
 }
