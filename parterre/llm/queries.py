@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parterre.llm import bpe_chunks, decontam, filter_audit, lang_id, licenses, ngram_join, packing, pii, quality, token_files, toxicity, urls
+from parterre.llm import alignment, bpe_chunks, decontam, filter_audit, lang_id, licenses, ngram_join, packing, pii, quality, token_files, toxicity, urls
 from parterre.llm.common import fold_remainder, table
 
 
@@ -70,13 +70,19 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.interaction_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.aligned(table(spark, folder, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, folder, "documents"), tokenizer_path(), size=2048, end_id=0)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scans, op2_url_filters, op3_ngram_join, op4_toxicity, op5_pii, op6_bpe_encoding, op7_language_id, op8_benchmark_decontamination, op9_token_files,
-    op10_quality_rules, op11_filter_audit, op13_best_fit_packing)}
+    op10_quality_rules, op11_filter_audit, op12_tokenizer_alignment, op13_best_fit_packing)}
 
 ORACLE = {
     "op8_benchmark_decontamination": r"""

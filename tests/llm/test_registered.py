@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 def test_all_are_registered():
     names = set(entry_point.queries())
-    assert {f"op{n}" for n in range(1, 12)} | {"op13"} == {n.partition("_")[0] for n in names if n.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {n.partition("_")[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and set(queries.ORACLE) <= names
 
 
