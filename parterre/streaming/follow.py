@@ -7,38 +7,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parterre.operators.relational import events_with_changes
-from parterre.operators.tables import latest_by_key
-from parterre.streaming.runs import BatchTable, process_available
+from parterre.streaming.runs import process_available
+from parterre.streaming.sinks import Sinks
+from parterre.streaming.upsert import BucketedTable
 
 
 class LatestTable:
     """The latest row per key of a stream, queryable between batches.
 
-    Each batch adds its own latest rows; every ``full_every`` batches they are
-    merged with all earlier ones, so that a read covers a bounded number.
+    A batch merges its rows into the hash buckets of its keys and leaves the others alone.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keys: list[str], order: list[str],
-                 full_every: int = 20) -> None:
-        self.spark, self.folder, self.full_every = spark, folder, full_every
-        self.keys, self.order = keys, order
-        self.table = BatchTable(spark, f"{folder}/rows", schema)
+                 buckets: int = 64) -> None:
+        self.folder = folder
+        self.table = BucketedTable(spark, f"{folder}/rows", schema, keys, order, buckets)
 
     def run(self, stream: DataFrame) -> None:
-        process_available(stream, f"{self.folder}/checkpoint", self.handle)
-
-    def handle(self, arrived: DataFrame, batch: int) -> None:
-        if batch and batch % self.full_every == 0:
-            arrived = arrived.unionByName(self.table.read(batch - self.full_every, batch).drop("batch"))
-        self.table.write(latest_by_key(arrived, self.keys, self.order), batch)
+        process_available(stream, f"{self.folder}/checkpoint", self.table.upsert)
 
     def read(self) -> DataFrame:
-        return self.as_of(self.table.newest())
+        return self.table.read()
 
     def as_of(self, batch: int) -> DataFrame:
         """The table after ``batch``."""
-        rows = self.table.read(batch // self.full_every * self.full_every, batch + 1)
-        return latest_by_key(rows.drop("batch"), self.keys, self.order)
+        return self.table.as_of(batch)
 
 
 class ChangedEvents:
@@ -48,16 +41,16 @@ class ChangedEvents:
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.folder = folder
-        self.table = BatchTable(spark, f"{folder}/events", self.schema)
+        self.sinks = Sinks(spark, f"{folder}/changes", {"events": self.schema})
 
     def run(self, completed: DataFrame) -> None:
         process_available(completed, f"{self.folder}/checkpoint", self.handle)
 
     def handle(self, arrived: DataFrame, batch: int) -> None:
-        self.table.write(events_with_changes(arrived), batch)
+        self.sinks.write(events_with_changes(arrived), F.array(F.lit("events")), batch)
 
     def read(self) -> DataFrame:
-        return self.table.read()
+        return self.sinks.read("events")
 
 
 def status_feed(changelog: DataFrame, event_id: int) -> DataFrame:

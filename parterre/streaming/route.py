@@ -2,8 +2,8 @@
 
 Set-ups and commands arrive as one tagged stream. Every micro-batch is judged
 against the availability of the sections at its start, replayed from their
-states with the batch operators, and written once, as one table that holds
-results, statuses and states side by side. Because a micro-batch goes through
+states with the batch operators, and sent once to the sinks of requests, results,
+completions, statuses and states. Because a micro-batch goes through
 the batch replay, a hot section is spread over tasks here as well, and rows are
 taken in time order within a batch whatever order the files hold them in.
 """
@@ -14,30 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parterre.operators import allocate as A
-from parterre.operators.fold import COMMAND, INIT, STATE
+from parterre.operators.fold import COMMAND, INIT
 from parterre.operators.route import route_batch
-from parterre.operators.tables import latest_by_key
 from parterre.schemas import SECTION
 from parterre.session import materialize, scratch
-from parterre.streaming.runs import BatchTable, process_available
-
-OUTCOME = T.StructType([
-    T.StructField("kind", T.IntegerType()),
-    T.StructField("reservation_id", T.StringType()),
-    T.StructField("event_id", T.LongType()),
-    T.StructField("section", T.StringType()),
-    T.StructField("seat_count", T.IntegerType()),
-    T.StructField("user_id", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("epoch", T.LongType()),
-    T.StructField("first_seat", T.IntegerType()),
-    T.StructField("available_count", T.IntegerType()),
-    T.StructField("run_starts", T.ArrayType(T.IntegerType())),
-    T.StructField("run_stops", T.ArrayType(T.IntegerType())),
-    T.StructField("prefiltered", T.BooleanType()),
-])
-
+from parterre.streaming.runs import process_available
+from parterre.streaming.sinks import route_sinks, send_route
+from parterre.streaming.upsert import BucketedTable
 
 def tagged(commands: DataFrame, inits: DataFrame) -> DataFrame:
     """Both inputs as one stream."""
@@ -48,26 +31,20 @@ def tagged(commands: DataFrame, inits: DataFrame) -> DataFrame:
 class StreamingRoute:
     """State and output of one route below ``folder``.
 
-    ``full_every`` batches, the states of all sections are written instead of
-    only those touched, so that a batch reads a bounded number of earlier ones.
+    Outputs go to separate sinks with one commit a batch. The section states are kept in hash buckets; a batch reads and
+    writes those of its sections.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, shed: bool = True, full_every: int = 20) -> None:
-        self.spark, self.folder, self.shed, self.full_every = spark, folder, shed, full_every
-        self.table = BatchTable(spark, f"{folder}/outcome", OUTCOME, by="kind")
+    def __init__(self, spark: SparkSession, folder: str, *, shed: bool = True, buckets: int = 64) -> None:
+        self.spark, self.folder, self.shed = spark, folder, shed
+        self.sinks = route_sinks(spark, f"{folder}/sinks")
+        schema = T.StructType([*self.sinks.layouts["states"], T.StructField("batch", T.IntegerType())])
+        self.kept = BucketedTable(spark, f"{folder}/states", schema, SECTION, ["batch"], buckets)
 
     def run(self, commands: DataFrame, inits: DataFrame) -> None:
         """Process what has arrived; a later call resumes from the checkpoint."""
         process_available(tagged(commands, inits), f"{self.folder}/checkpoint", self.handle)
 
-    def states_before(self, batch: int) -> DataFrame:
-        """The state of each section after the batches before ``batch``."""
-        if batch == 0:
-            return self.spark.createDataFrame([], OUTCOME)
-        last_full = (batch - 1) // self.full_every * self.full_every
-        kept = self.table.read(last_full, batch).where(F.col("kind") == STATE)
-        return latest_by_key(kept, SECTION, ["batch"]).drop("batch")
-
     def handle(self, arrived: DataFrame, batch: int) -> None:
         with scratch(self.spark):
             # Read back in the main session: with sizes known and adaptive execution on.
@@ -76,26 +53,23 @@ class StreamingRoute:
     def _handle(self, arrived: DataFrame, batch: int) -> None:
         commands = arrived.where(F.col("kind") == COMMAND)
         inits = arrived.where(F.col("kind") == INIT)
-        known = self.states_before(batch)
-        touched = known.join(arrived.select(*SECTION).distinct(), SECTION, "left_semi")
-        outcome, turned_away = route_batch(commands, inits, touched, shed=self.shed)
+        known = materialize(self.kept.match(arrived, before=batch).drop("batch"), "known-states", self.spark)
+        outcome, turned_away = route_batch(commands, inits, known, shed=self.shed)
         rows = outcome.withColumn("prefiltered", F.lit(False))
         if turned_away is not None:
             rows = rows.unionByName(
                 turned_away.withColumnRenamed("completed_ts", "ts").drop("status").withColumns(
                     {"kind": F.lit(COMMAND), "prefiltered": F.lit(True)}), allowMissingColumns=True)
-        if batch % self.full_every == 0:
-            untouched = known.join(arrived.select(*SECTION).distinct(), SECTION, "left_anti")
-            rows = rows.unionByName(untouched)
-        self.table.write(rows, batch)
+        send_route(self.sinks, rows, batch)
+        # From what was sent: if this is a repetition, the states are those of the first time.
+        self.kept.upsert(self.sinks.read("states", first=batch, stop=batch + 1), batch)
 
     def completed(self) -> DataFrame:
         """Results of all batches: turned away at the door or decided by the allocator."""
-        return A.results_of(self.table.read(), "prefiltered")
+        return self.sinks.read("completed").drop("batch").withColumnRenamed("ts", "completed_ts")
 
     def changelog(self) -> DataFrame:
-        return A.status_of(self.table.read())
+        return self.sinks.read("status").drop("batch").withColumnRenamed("ts", "status_ts")
 
     def states(self) -> DataFrame:
-        return self.states_before(self.table.newest() + 1).select(
-            *SECTION, "epoch", "available_count", "run_starts", "run_stops")
+        return self.kept.read().drop("batch")

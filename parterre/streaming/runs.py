@@ -1,11 +1,10 @@
-"""Running a streaming query over what has arrived, and its per-batch tables."""
+"""Running a streaming query over what has arrived."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 
 
 def process_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
@@ -22,39 +21,3 @@ def process_available(stream: DataFrame, checkpoint: str, handle: Callable[[Data
         .start()
     )
     started.awaitTermination()
-
-
-class BatchTable:
-    """Rows by the batch that wrote them: ``<path>/batch=<n>``.
-
-    A batch that was written whole stays as it is when it is handed over again, so
-    that a stream reading the files does not meet its rows twice. ``by`` names a
-    column whose values get folders of their own; a filter on it skips the others.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, by: str | None = None) -> None:
-        self.spark, self.path, self.schema, self.by = spark, path, schema, by
-
-    def _matching(self, pattern: str) -> list[str]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{pattern}")
-        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
-        return [str(status.getPath().toString()) for status in found or []]
-
-    def write(self, rows: DataFrame, batch: int) -> None:
-        if self._matching(f"batch={batch}/_SUCCESS"):
-            return
-        writer = rows.select(*self.schema.fieldNames()).write.mode("overwrite")
-        (writer.partitionBy(self.by) if self.by else writer).parquet(f"{self.path}/batch={batch}")
-
-    def read(self, first: int | None = None, stop: int | None = None) -> DataFrame:
-        """All batches, or those in ``[first, stop)``, without listing the others."""
-        schema = T.StructType([*self.schema, T.StructField("batch", T.IntegerType())])
-        reader = self.spark.read.schema(schema)
-        if first is None:
-            return reader.parquet(self.path)
-        paths = [f"{self.path}/batch={n}" for n in range(first, stop)]
-        return reader.option("basePath", self.path).parquet(*paths)
-
-    def newest(self) -> int:
-        """The highest batch written, from the folder names alone; -1 before the first."""
-        return max((int(path.rpartition("batch=")[2]) for path in self._matching("batch=*")), default=-1)

@@ -2,7 +2,6 @@
 
 import datetime as dt
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +9,7 @@ from pyspark.sql import functions as F
 from parterre.operators import allocate as A
 from parterre.operators import integrity as V
 from parterre.operators import route as RT
-from parterre.streaming.route import OUTCOME, StreamingRoute, tagged
-from parterre.streaming.runs import BatchTable
+from parterre.streaming.route import StreamingRoute, tagged
 from tests.conftest import START, make_commands, make_inits
 
 
@@ -58,19 +56,15 @@ def test_a_seat_of_a_longer_section_name_is_a_violation(spark):
     assert [(r.reservation_id, r.problem) for r in V.allocation_violations(df).collect()] == [("r1", "seat of another section")]
 
 
-def test_a_batch_written_whole_is_left_alone(spark, tmp_path):
-    table = BatchTable(spark, str(tmp_path / "t"), spark.range(0).schema)
-    assert table.newest() == -1
-    table.write(spark.range(2), 0)
-    files = set((tmp_path / "t" / "batch=0").iterdir())
-    table.write(spark.range(2), 0)
-    assert set((tmp_path / "t" / "batch=0").iterdir()) == files and table.newest() == 0
-
-
-def test_states_before_any_batch_and_pruned_reads(spark, tmp_path):
-    route = StreamingRoute(spark, str(tmp_path / "route"))
+def test_states_before_any_batch_and_of_touched_buckets(spark, tmp_path):
+    """A section's state is read from its own bucket."""
+    route = StreamingRoute(spark, str(tmp_path / "route"), buckets=16)
     assert route.states().count() == 0
-    route.handle(tagged(make_commands(spark, [("r1", 1, "A", 2)]), make_inits(spark, [(1, "A", 1, 5, [])])), 0)
-    plan = route.states_before(1)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^\]]*kind#\d+ = 2", plan)
-    assert {f.name for f in OUTCOME} <= set(route.table.read().columns)
+    sections = [(e, "A", 1, 5, []) for e in range(8)]
+    route.handle(tagged(make_commands(spark, [("r1", 1, "A", 2)]), make_inits(spark, sections)), 0)
+    one = route.kept.find(1, "A")
+    assert one.count() == 1 and len(one.inputFiles()) == 1 and len(route.kept.read().inputFiles()) > 1
+    before = route.kept.commits.get(0)
+    route.handle(tagged(make_commands(spark, [("r2", 1, "A", 2, 9)]), make_inits(spark, sections).limit(0)), 1)
+    assert [b for b, n in route.kept.commits.get(1).items() if n == 1] == [b for b in before if f"bucket={b}/" in one.inputFiles()[0]]
+    assert route.states().where("event_id = 1").first().available_count == 1

@@ -9,7 +9,7 @@ from parterre.operators import allocate as A
 from parterre.schemas import COMMAND, SECTION_INIT
 from parterre.sources.files import publish, publish_stream, read_log
 from parterre.streaming.follow import ChangedEvents, LatestTable, status_feed
-from parterre.streaming.route import OUTCOME, StreamingRoute, tagged
+from parterre.streaming.route import StreamingRoute, tagged
 from tests.conftest import make_commands, make_inits
 
 
@@ -26,7 +26,7 @@ def test_any_cut_gives_the_batch_result(spark, tmp_path, shed):
     rng = random.Random(8)
     inits = make_inits(spark, [(1, s, 2, 6, [f"{s}-5"]) for s in "AB"] + [(1, "A", 1, 3, [], 30)])
     commands = make_commands(spark, [(f"r{i:03}", 1, rng.choice("ABX"), rng.randrange(1, 4)) for i in range(60)])
-    route = StreamingRoute(spark, str(tmp_path / "route"), shed=shed, full_every=2)
+    route = StreamingRoute(spark, str(tmp_path / "route"), shed=shed, buckets=2)
     cuts = [0, 7, 30, 31, 60]
     for step, (a, b) in enumerate(zip(cuts, cuts[1:])):
         publish(commands.where((number() >= a) & (number() < b)), str(tmp_path / "commands"))
@@ -55,7 +55,7 @@ def test_a_batch_handed_over_twice_counts_once(spark, tmp_path):
 
 def test_latest_table_and_changes(spark, tmp_path):
     schema = "reservation_id string, event_id bigint, status string, at int"
-    table = LatestTable(spark, str(tmp_path / "table"), spark.createDataFrame([], schema).schema, ["reservation_id"], ["at"], full_every=2)
+    table = LatestTable(spark, str(tmp_path / "table"), spark.createDataFrame([], schema).schema, ["reservation_id"], ["at"], buckets=2)
     changes = ChangedEvents(spark, str(tmp_path / "changes"))
     batches = [[("a", 1, "PENDING", 1), ("b", 2, "PENDING", 1)], [("a", 1, "confirmed", 2)],
                [("b", 2, "REJECTED", 2)], [("c", 3, "CONFIRMED", 1), ("a", 1, "LATE", 0)]]
@@ -75,7 +75,7 @@ def test_feed_of_one_event(spark, tmp_path):
     for batch in range(2):
         commands = make_commands(spark, [(f"r{batch}{e}", e, "A", 1, batch) for e in (1, 2)])
         route.handle(tagged(commands, inits if batch == 0 else inits.limit(0)), batch)
-        stream = A.status_of(read_log(spark, route.table.path, OUTCOME, stream=True))
+        stream = route.sinks.stream("status").withColumnRenamed("ts", "status_ts")
         publish_stream(status_feed(stream, 2), str(tmp_path / "feed"), str(tmp_path / "feed-checkpoint"))
     feed = spark.read.parquet(str(tmp_path / "feed")).orderBy("status_ts").collect()
     assert [(r.event_id, r.available_count) for r in feed] == [(2, 4), (2, 3), (2, 2)]
