@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parterre.functions.seats import grid_position
+from parterre.operators.asof import as_of_join
 from parterre.operators.tables import latest_by_key
 from parterre.schemas import CONFIRMED, RESERVED
 
@@ -47,3 +48,11 @@ def resolve_event_names(requests: DataFrame, registrations: DataFrame, order: li
     """
     current = latest_by_key(registrations, ["event_name"], order).select("event_name", "event_id")
     return requests.join(current, "event_name", "left")
+
+
+def resolve_event_names_as_of(requests: DataFrame, registrations: DataFrame, request_time: str = "ts") -> DataFrame:
+    """Requests with the id that was last registered under their event name when they were made; null where none was.
+
+    ``registrations`` has (event_name, event_id, registered_ts); of several at one time the highest id counts.
+    """
+    return as_of_join(requests, registrations, ["event_name"], request_time, "registered_ts", ["event_id"], ties=["event_id"])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parterre.functions.seats import same_text, section_of_seat
 from parterre.operators.tables import exists_flag
 from parterre.schemas import AVAILABLE, CONFIRMED, SECTION
+from parterre.session import materialize, scratch
 
 
 def event_view(events: DataFrame, venues: DataFrame) -> DataFrame:
@@ -86,7 +90,26 @@ def ticket_records(requests: DataFrame) -> DataFrame:
 
 
 def ingest(checked: DataFrame, table_path: str, refused_path: str) -> None:
-    """Append the records whose ``verdict`` is accepted, and set the others aside."""
+    """Append the records whose ``verdict`` is accepted, and set the others aside. The input is evaluated once."""
     good = F.col("verdict") == "accepted"
-    checked.where(good).drop("verdict").write.mode("append").parquet(table_path)
-    checked.where(~good).write.mode("append").parquet(refused_path)
+    with scratch(checked.sparkSession):
+        seen = materialize(checked, "ingest")
+        seen.where(good).drop("verdict").write.mode("append").parquet(table_path)
+        seen.where(~good).write.mode("append").parquet(refused_path)
+
+
+def ingest_batch(checked: DataFrame, folder: str, batch: str) -> None:
+    """Accepted and refused records of one batch, in one pass and repeatable.
+
+    One job writes both below ``batch=<batch>``, apart by partition. Ingesting a batch again replaces what it wrote before,
+    whatever became of it, so a retry leaves the tables as they are.
+    """
+    good = F.coalesce(F.col("verdict") == "accepted", F.lit(False))
+    checked.withColumn("accepted", good).write.mode("overwrite").partitionBy("accepted").parquet(f"{folder}/batch={quote(batch, safe='')}")
+
+
+def ingested(spark: SparkSession, folder: str, schema: T.StructType, accepted: bool = True) -> DataFrame:
+    """What was ingested below ``folder``: accepted records, or refused ones with their verdict. Only that part is read."""
+    held = T.StructType([*schema, T.StructField("verdict", T.StringType()), T.StructField("batch", T.StringType()), T.StructField("accepted", T.BooleanType())])
+    found = spark.read.schema(held).parquet(folder).where(F.col("accepted") == F.lit(accepted)).drop("accepted", "batch")
+    return found.drop("verdict") if accepted else found

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parterre.operators.allocate import replay, results_of, states_of
+from parterre.operators.asof import as_of_join
 from parterre.operators.fold import INIT
 from parterre.operators.skew import estimated_bytes
 from parterre.operators.tables import latest_by_key
@@ -37,6 +38,16 @@ def with_verdict(commands: DataFrame, status: DataFrame) -> DataFrame:
         *commands.columns, "known_available", "enough")
 
 
+def with_status_as_of(commands: DataFrame, changelog: DataFrame) -> DataFrame:
+    """Commands with the availability of their section as it stood just before them, and since when (``known_ts``).
+
+    ``changelog`` has (section, epoch, available_count, status_ts) and may hold the commands' own effects, which come after them.
+    """
+    known = changelog.select(*SECTION, "epoch", F.col("available_count").alias("known_available"), F.col("status_ts").alias("known_ts"))
+    return as_of_join(commands, known, SECTION, "ts", "known_ts", ["known_available", "known_ts"], before=True,
+                      ties=["epoch", -F.col("known_available")])
+
+
 def accepted(judged: DataFrame) -> DataFrame:
     return judged.where(F.col("enough")).drop("enough", "known_available")
 
@@ -103,4 +114,4 @@ class Route:
         return completed
 
 
-__all__ = ["Route", "accepted", "latest_section_status", "prefilter", "rejected", "route_batch", "with_verdict"]
+__all__ = ["Route", "accepted", "latest_section_status", "prefilter", "rejected", "route_batch", "with_status_as_of", "with_verdict"]

@@ -140,6 +140,21 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: Mapping
     return plain(ordinary).unionByName(drop_slices(running_over_slices(sliced, keys, order, sums)))
 
 
+def running_lasts(df: DataFrame, keys: list[str], order: list[str], lasts: Mapping[str, Column]) -> DataFrame:
+    """The last non-null value from the start of each key's rows, in ``order``, to the current row; null before the first."""
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({n: F.last(c, ignorenulls=True).over(window) for n, c in lasts.items()})
+
+    heavy = heavy_keys(df, keys)
+    if heavy is None:
+        return plain(df)
+    ordinary, large = split_heavy(df, keys, heavy)
+    sliced = slice_ordered(large, keys, order, heavy_rows(heavy))
+    return plain(ordinary).unionByName(drop_slices(running_over_slices(sliced, keys, order, lasts=lasts)))
+
+
 def sequence_number(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """``row_number`` over (keys, order) as a bigint."""
     return running_sums(df, keys, order, {name: F.lit(1).cast("bigint")})

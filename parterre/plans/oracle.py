@@ -144,6 +144,10 @@ ORACLE: dict[str, str] = {
 union all select {KEY}, * from ({CMD}) where ts < {CUT}""",
     "prefilter_rejected": f"""{EARLY}, {WITHOUT_SIGNUP} select reservation_id, event_id, section, seat_count, user_id,
   'REJECTED' as status, 0::int as seats, ts as completed_ts from judged where not enough""",
+    "commands_with_status_as_of": f"""{ONE}, stood as (select event_id, section, ts as known_ts, arg_max(len(fr), rn)::int as known_available
+    from st group by event_id, section, ts)
+select c.reservation_id, c.event_id, c.section, c.seat_count, c.ts, s.known_available, s.known_ts
+  from ({CMD}) c asof left join stood s on c.event_id = s.event_id and c.section = s.section and c.ts > s.known_ts""",
     "reservation_routing": f"""{EARLY}, {judged("select * from snap")}, {SECOND}
 select {RESULT_COLUMNS}, false as prefiltered from st2 where rn > 0
 union all select reservation_id, event_id, section, seat_count, user_id, 'REJECTED', null, ts, true from judged where not enough""",
@@ -197,6 +201,12 @@ union all select reservation_id, event_id, section, seat_count, user_id, 'REJECT
       case when c.reservation_id::bigint % 10 = 0 then 'never registered' else p_name end as event_name
     from ({CMD}) c left join part on p_partkey = c.event_id) q
   left join (select p_name as event_name, max(p_partkey) as event_id from part group by p_name) n on n.event_name = q.event_name""",
+    "compat_resolve_event_as_of": f"""with reg as (select split_part(p_name, ' ', 1) as event_name, max(p_partkey) as event_id,
+    timestamp '2023-12-31 00:00:00' + to_days((p_partkey % 40)::int) as registered_ts from part group by 1, 3),
+q as (select c.reservation_id, c.section, c.seat_count, c.ts, split_part(p_name, ' ', 1) as event_name
+  from ({CMD}) c left join part on p_partkey = c.event_id)
+select q.*, r.event_id, r.event_id is not null as accepted
+  from q asof left join reg r on q.event_name = r.event_name and q.ts >= r.registered_ts""",
     "outcome_counts": f"""{ONE}, {RESULTS} select count(*) filter (ok and status = 'CONFIRMED') as successful,
   count(*) filter (ok and status <> 'CONFIRMED') as failed, count(*) filter (not ok) as errors
   from res join ({LOG}) on request_id::varchar = reservation_id""",
@@ -248,7 +258,9 @@ union all select reservation_id, event_id, section, seat_count, user_id, 'REJECT
 # A stream ends where its batch twin does.
 for _stream, _twin in {
     "stream_seat_allocation": "seat_allocation",
+    "stream_seat_allocation_stateful": "seat_allocation",
     "stream_prefilter": "reservation_routing",
+    "ingest_tickets_twice": "ingest_tickets",
     "stream_reservation_table": "reservation_table",
     "stream_events_with_changes": "events_with_changes",
 }.items():

@@ -29,6 +29,7 @@ from parterre.sources.files import publish, read_log
 from parterre.sources.fixtures import CUT_TS, INIT_TS, Tables
 from parterre.streaming.follow import ChangedEvents, LatestTable
 from parterre.streaming.route import StreamingRoute
+from parterre.streaming.stateful import StatefulRoute
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 
@@ -199,6 +200,13 @@ def prefilter_rejected(t: Tables) -> DataFrame:
                           F.size("allocated_seats").alias("seats"), "completed_ts")
 
 
+@query
+def commands_with_status_as_of(t: Tables) -> DataFrame:
+    """Each command with the seats its section had left just before it."""
+    changes = A.status_changelog(t.commands, t.inits)
+    return RT.with_status_as_of(t.commands.drop("user_id"), changes)
+
+
 @query
 def reservation_routing(t: Tables) -> DataFrame:
     """Both batches end to end: pre-filter, allocate on the carried state, complete."""
@@ -383,6 +391,19 @@ def ingest_tickets(t: Tables) -> DataFrame:
 # --- load client vocabulary ---------------------------------------------------------------------
 
 
+@query
+def ingest_tickets_twice(t: Tables) -> DataFrame:
+    """The verdicts of :func:`ingest_tickets` read back after two batches, each ingested twice."""
+    folder = fresh_path(t.spark, "ingest")
+    checked = ingest_tickets(t)
+    for batch, rows in {"even": checked.where("id % 2 = 0"), "odd": checked.where("id % 2 = 1")}.items():
+        for _ in range(2):
+            R.ingest_batch(rows, folder, batch)
+    schema = StructType([f for f in checked.schema if f.name != "verdict"])
+    taken = R.ingested(t.spark, folder, schema).withColumn("verdict", F.lit("accepted"))
+    return taken.unionByName(R.ingested(t.spark, folder, schema, accepted=False))
+
+
 @query
 def compat_sections(t: Tables) -> DataFrame:
     sections = C.sections_of_areas(F.col("areas"))
@@ -418,6 +439,18 @@ def compat_resolve_event(t: Tables) -> DataFrame:
         "accepted", F.col("event_id").isNotNull())
 
 
+@query
+def compat_resolve_event_as_of(t: Tables) -> DataFrame:
+    """Requests by name, at their time; an event registers its name on the day its number gives, names may be taken over."""
+    word = lambda name: F.element_at(F.split(name, " "), 1)
+    registered = t.events.select(
+        word("name").alias("event_name"), F.col("id").alias("event_id"),
+        (F.expr(INIT_TS) + F.make_dt_interval((F.col("id") % 40).cast("int"))).alias("registered_ts"))
+    named = t.commands.join(t.events.select(F.col("id").alias("event_id"), word("name").alias("event_name")), "event_id", "left").select(
+        "reservation_id", "section", "seat_count", "event_name", "ts")
+    return C.resolve_event_names_as_of(named, registered).withColumn("accepted", F.col("event_id").isNotNull())
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 
@@ -537,6 +570,25 @@ def stream_seat_allocation(t: Tables) -> DataFrame:
     return _stream_route(t, shed=False).completed().drop("prefiltered")
 
 
+def _stateful_route(t: Tables, shed: bool) -> StatefulRoute:
+    """As :func:`_stream_route`, with the states in Spark's state store; the sections' first states are given, not streamed."""
+    folder = fresh_path(t.spark, "stateful-route")
+    nothing = t.commands.where(F.lit(False))
+    route = StatefulRoute(t.spark, folder, shed=shed, initial=A.final_states(nothing, t.inits))
+    cut = F.expr(CUT_TS)
+    publish(t.inits.limit(0), f"{folder}/in/inits")
+    for part in (F.col("ts") < cut, F.col("ts") >= cut):
+        publish(t.commands.where(part), f"{folder}/in/commands")
+        route.run(read_log(t.spark, f"{folder}/in/commands", COMMAND, stream=True),
+                  read_log(t.spark, f"{folder}/in/inits", SECTION_INIT, stream=True))
+    return route
+
+
+@query
+def stream_seat_allocation_stateful(t: Tables) -> DataFrame:
+    return _stateful_route(t, shed=False).completed().drop("prefiltered")
+
+
 @query
 def stream_prefilter(t: Tables) -> DataFrame:
     """Where each command was decided, with the pre-filter in front of the allocator."""
