@@ -32,6 +32,7 @@ import json
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parterre.llm.common import store, travels
-from parterre.llm.text import codes, grouped, sliced, span_hashes
-from parterre.llm.tokens import byte_tokens
+from parterre.llm.text import codes, gather, grouped, sliced, span_hashes
+from parterre.llm.tokens import Encoder, byte_tokens, vocabulary
 
 travels(__name__, "parterre.llm.common", "parterre.llm.text", "parterre.llm.tokens")
 
@@ -50,11 +51,11 @@ RANGE_BYTES = 1 << 16
 #: Ranges end near stretches' ends; a stretch longer than this is not cut at all.
 CONTEXT_BYTES = 1 << 13
 #: Text of a bundle, about.
-BUNDLE_BYTES = 1 << 21
+BUNDLE_BYTES = 1 << 20
 #: Fragments joined by one task at a time.
 FAN_IN = 16
 #: Stretches kept with their groups; beyond, the store starts anew.
-MOST_STRETCHES = 200_000
+MOST_STRETCHES = 120_000
 
 _CODES = codes(256, seed=17)
 _NO_IDS = np.zeros(0, np.int64)
@@ -158,18 +159,14 @@ class Tokenizers:
 
     def __init__(self, path_a: str, path_b: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.a = Encoder(path_a)
+        self.a.library.encode_special_tokens = True
         with open(path_a) as f:
             self.bytes_a = byte_tokens(json.load(f))
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [self._piece(k) for k in range(self.b.get_piece_size())]
-        self.sizes_a = [len(t) for t in self.bytes_a]
-        self.sizes_b = [len(t) for t in self.bytes_b]
+        self.vocabularies = vocabulary(self.bytes_a), vocabulary(self.bytes_b)
 
     def _piece(self, k: int) -> bytes:
         shown = self.b.id_to_piece(k)
@@ -177,20 +174,21 @@ class Tokenizers:
             return bytes([int(shown[3:5], 16)])
         return shown.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """(ids of A, ids of B) of each text, which begins with the blank that B adds itself; None where bytes differ."""
-        found_a = self.a.encode_batch(texts, add_special_tokens=False)
-        found_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        out = []
-        for text, a, b in zip(texts, found_a, found_b):
-            raw, a = text.encode(), a.ids
-            same = b"".join([self.bytes_a[k] for k in a]) == raw and b"".join([self.bytes_b[k] for k in b]) == raw
-            out.append((a, b) if same else None)
-        return out
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(all ids, how many each) by A and by B, of texts that begin with the blank which B adds itself."""
+        a, counts = self.a.encode_group(data, offsets)
+        raw, ends = data.tobytes(), offsets.tolist()
+        lists = self.b.encode([raw[x + 1: y].decode() for x, y in zip(ends, ends[1:])], num_threads=1)
+        return [(a.astype(np.int64), counts), (np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists)))]
 
-    def sized(self, pair: tuple[list[int], list[int]]) -> tuple[list, list]:
-        """Tokens as (id, size in bytes)."""
-        return [(k, self.sizes_a[k]) for k in pair[0]], [(k, self.sizes_b[k]) for k in pair[1]]
+    def encode(self, text: str) -> tuple[list, list] | None:
+        """Tokens of A and B as (id, size in bytes); None where their bytes are not those of the text."""
+        raw = text.encode()
+        (a, _), (b, _) = self.ids(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        a, b = a.tolist(), b.tolist()
+        if any(b"".join(known[k] for k in ids) != raw for ids, known in ((a, self.bytes_a), (b, self.bytes_b))):
+            return None
+        return [(k, len(self.bytes_a[k])) for k in a], [(k, len(self.bytes_b[k])) for k in b]
 
 
 def fragment_of(a: list, b: list, low: int = 0, high: int | None = None, closing: Callable[[list, list], None] = lambda a, b: None) -> Fragment:
@@ -217,28 +215,53 @@ def fragment_of(a: list, b: list, low: int = 0, high: int | None = None, closing
     return Fragment(prefix, closed, (a[first[0]: stop[0]], b[first[1]: stop[1]]), **n, n_groups=len(closed), n_links=n_links)
 
 
+class Growing:
+    """Arrays one after the other in one buffer."""
+
+    def __init__(self, kind: type, width: int | None = None) -> None:
+        self._buffer, self.size = np.zeros((64, width) if width else 64, kind), 0
+
+    def append(self, values: np.ndarray) -> None:
+        stop = self.size + len(values)
+        if stop > len(self._buffer):
+            grown = np.zeros((2 * stop, *self._buffer.shape[1:]), self._buffer.dtype)
+            grown[: self.size] = self._buffer[: self.size]
+            self._buffer = grown
+        self._buffer[self.size: stop] = values
+        self.size = stop
+
+    def values(self) -> np.ndarray:
+        return self._buffer[: self.size]
+
+
+#: What follows a written id: another of its side, the other side, the next group.
+_AFTER = ",|;"
+
+
 class Stretches:
     """The groups and links of stretches met so far, by number; also single groups that are linked elsewhere."""
 
     def __init__(self, tokenizers: Tokenizers | None = None) -> None:
         self.tokenizers = tokenizers
+        if tokenizers is not None:
+            most = max(len(tokenizers.bytes_a), len(tokenizers.bytes_b))
+            self._texts, self._text_at = vocabulary([f"{k}{c}".encode() for k in range(most) for c in _AFTER])
         self.forget()
 
     def forget(self) -> None:
         self._known, self._number = np.zeros(0, np.uint64), _NO_IDS
-        self.written: list[str] = []
-        self._links: list[list[int]] = []
-        self._counts = np.zeros((0, 5), np.int64)  # tokens of A and B, groups, links, and 1 for what has no tokens
-        self._new: list[tuple[int, int, int, int, int]] = []
+        self._items, self._links = Growing(np.int32), Growing(np.int64)
+        # per number: tokens of A and B, groups, links, 1 for what has no tokens, where its items and its links begin
+        self._about = Growing(np.int64, 7)
 
     def __len__(self) -> int:
-        return len(self.written)
+        return self._about.size
 
-    def add(self, links_: list[int], written: str = "", n_a: int = 0, n_b: int = 0, n_groups: int = 0, invalid: bool = False) -> int:
-        self.written.append(written)
-        self._links.append(links_)
-        self._new.append((n_a, n_b, n_groups, len(links_), invalid))
-        return len(self.written) - 1
+    def add(self, links_: list[int]) -> int:
+        """A number for the links of a single group; its tokens are counted elsewhere."""
+        self._about.append(np.array([[0, 0, 0, len(links_), 0, self._items.size, self._links.size]]))
+        self._links.append(np.array(links_, np.int64))
+        return len(self) - 1
 
     def numbers(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The number of each stretch; new ones are encoded."""
@@ -248,33 +271,93 @@ class Stretches:
         seen[seen] = self._known[at[seen]] == unique[seen]
         new = np.flatnonzero(~seen)
         if len(new):
-            raw = data.tobytes()
-            fresh = [raw[x:y].decode() for x, y in zip(starts[one[new]].tolist(), stops[one[new]].tolist())]
-            numbers = np.array([self._encoded(pair) for pair in self.tokenizers.encode(fresh)], np.int64)
+            numbers = len(self) + np.arange(len(new))
+            self._encode(data, starts[one[new]], stops[one[new]])
             every = np.concatenate((self._known, unique[new]))
             order = np.argsort(every, kind="stable")
             self._known, self._number = every[order], np.concatenate((self._number, numbers))[order]
             at = np.searchsorted(self._known, unique)
         return self._number[at][back]
 
-    def _encoded(self, pair: tuple[list[int], list[int]] | None) -> int:
-        if pair is None:
-            return self.add([], invalid=True)
-        a, b = pair
-        sizes_a, sizes_b = self.tokenizers.sizes_a, self.tokenizers.sizes_b
-        written, n_groups, found = closed_groups(a, b, [sizes_a[k] for k in a], [sizes_b[k] for k in b])
-        return self.add(found, written, len(a), len(b), n_groups)
-
-    def counts(self) -> np.ndarray:
-        if self._new:
-            self._counts = np.concatenate((self._counts, np.array(self._new, np.int64)))
-            self._new = []
-        return self._counts
+    def _encode(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        """Add the stretches, all at once: as if they were one text, whose tokens end together at each stretch's end."""
+        sizes = stops - starts
+        ids, counts = zip(*self.tokenizers.ids(gather(data, starts, sizes), np.append(0, np.cumsum(sizes))))
+        token_sizes = [offsets[i + 1] - offsets[i] for i, (_, offsets) in zip(ids, self.tokenizers.vocabularies)]
+        good = np.ones(len(starts), bool)
+        for side in (0, 1):
+            good &= _sums(token_sizes[side], counts[side]) == sizes
+        row = np.repeat(np.arange(len(starts)), np.where(good, sizes, 0))
+        want = gather(data, starts[good], sizes[good])
+        for side, (known, offsets) in enumerate(self.tokenizers.vocabularies):
+            kept = np.repeat(good, counts[side])
+            other = gather(known, offsets[ids[side][kept]], token_sizes[side][kept]) != want
+            if other.any():
+                wrong = np.unique(row[other])
+                good[wrong] = False
+                return self._encode_rest(data, starts, stops, good)
+        self._add(good, sizes, ids, counts, token_sizes)
+
+    def _encode_rest(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, good: np.ndarray) -> None:
+        """The stretches one by one, where the bytes of some differ though they are as many."""
+        for k, (x, y) in enumerate(zip(starts.tolist(), stops.tolist())):
+            if good[k]:
+                self._encode(data, starts[k: k + 1], stops[k: k + 1])
+            else:
+                self._about.append(np.array([[0, 0, 0, 0, 1, self._items.size, self._links.size]]))
+
+    def _add(self, good: np.ndarray, sizes: np.ndarray, ids: list, counts: list, token_sizes: list) -> None:
+        kept = [np.repeat(good, n) for n in counts]
+        a, b = (i[k] for i, k in zip(ids, kept))
+        n_a, n_b = (np.where(good, n, 0) for n in counts)
+        end_a, end_b = (np.cumsum(t[k]) for t, k in zip(token_sizes, kept))
+        last_a, last_b = _meet(end_a, end_b), _meet(end_b, end_a)  # the last tokens of groups
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        many_a, many_b = np.bincount(group_a, minlength=1), np.bincount(group_b, minlength=1)
+        items = np.empty(len(a) + len(b), np.int32)
+        items[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = a * len(_AFTER) + last_a
+        items[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = b * len(_AFTER) + 2 * last_b
+        # each overlapping pair shares one stretch of bytes between ends of either side
+        ends = np.union1d(end_a, end_b)
+        pairs = a[np.searchsorted(end_a, ends)] << 32 | b[np.searchsorted(end_b, ends)]
+        n_links = np.diff(np.searchsorted(ends, np.cumsum(np.where(good, sizes, 0)), "right"), prepend=0)
+        begins = lambda n, at: at + np.cumsum(n) - n
+        self._about.append(np.stack((
+            n_a, n_b, _sums(last_a.astype(np.int64), n_a), n_links, ~good, begins(n_a + n_b, self._items.size), begins(n_links, self._links.size)), axis=1))
+        self._items.append(items)
+        self._links.append(pairs)
+
+    def counts(self, numbers: np.ndarray) -> np.ndarray:
+        """For each number: tokens of A and B, groups, links, and 1 for what has no tokens."""
+        return self._about.values()[numbers, :5]
+
+    def written(self, numbers: np.ndarray, parts: np.ndarray) -> Iterator[memoryview]:
+        """The groups of each part (so many numbers), as they are hashed."""
+        about = self._about.values()[numbers]
+        n = about[:, 0] + about[:, 1]
+        items = gather(self._items.values(), about[:, 5], n)
+        sizes = self._text_at[items + 1] - self._text_at[items]
+        shown = memoryview(gather(self._texts, self._text_at[items], sizes))
+        ends = np.cumsum(_sums(_sums(sizes, n), parts))
+        for begin, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist()):
+            yield shown[begin: max(begin, end - 1)]
 
     def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(links of all the numbers one after the other, how many each has)."""
-        lists = [self._links[k] for k in numbers.tolist()]
-        return np.array([x for y in lists for x in y], np.int64), np.array([len(y) for y in lists], np.int64)
+        about = self._about.values()[numbers]
+        return gather(self._links.values(), about[:, 6], about[:, 3]), about[:, 3]
+
+
+def _meet(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the ends are among the others'."""
+    return others[np.minimum(np.searchsorted(others, ends), len(others) - 1)] == ends if len(others) else np.zeros(len(ends), bool)
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums over runs of so many values."""
+    through = np.concatenate(([0], np.cumsum(values)))
+    ends = np.cumsum(sizes)
+    return through[ends] - through[ends - sizes]
 
 
 BUNDLE = ("bundle long, key long, doc_ids array<long>, parts array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
@@ -317,8 +400,8 @@ class Bundles:
             self.stretches.forget()
 
 
-def _digest(written: str, tokens: int) -> str:
-    return hashlib.sha256(written.encode()).hexdigest() if tokens else ""
+def _digest(written: bytes | memoryview) -> str:
+    return hashlib.sha256(written).hexdigest() if len(written) else ""
 
 
 def _short_documents(path_a: str, path_b: str) -> Callable:
@@ -330,14 +413,14 @@ def _short_documents(path_a: str, path_b: str) -> Callable:
             for at, data, offsets in grouped(batch.column(1), BUNDLE_BYTES // 4):
                 starts = stretch_starts(data, offsets)
                 numbers = stretches.numbers(data, starts, np.append(starts[1:], len(data)))
-                counts = stretches.counts()
-                usable = np.concatenate(([0], np.cumsum(counts[numbers, 4])))
-                bounds = np.searchsorted(starts, offsets).tolist()
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    mine = numbers[a:b] if usable[a] == usable[b] else _NO_IDS
-                    sums = counts[mine, :4].sum(axis=0).tolist()
-                    written = ";".join([stretches.written[x] for x in mine.tolist()])
-                    bundles.add(doc_ids[at + k], 0, sums, _digest(written, sums[0]), mine)
+                counts = stretches.counts(numbers)
+                parts = np.diff(np.searchsorted(starts, offsets))
+                valid = _sums(counts[:, 4], parts) == 0
+                numbers, parts = numbers[np.repeat(valid, parts)], np.where(valid, parts, 0)
+                sums = np.stack([_sums(counts[np.repeat(valid, np.diff(np.searchsorted(starts, offsets))), c], parts) for c in range(4)], axis=1).tolist()
+                ends = np.cumsum(parts).tolist()
+                for k, (written, end, n) in enumerate(zip(stretches.written(numbers, parts), ends, parts.tolist())):
+                    bundles.add(doc_ids[at + k], 0, sums[k], _digest(written), numbers[end - n: end])
                 held += len(data)
                 if held >= BUNDLE_BYTES:
                     yield from bundles.flush()
@@ -384,21 +467,21 @@ def range_fragment(stretches: Stretches, text: str, low: int, high: int) -> tupl
     starts = stretch_starts(data, np.array([0, len(data)]))
     stops = np.append(starts[1:], len(data))
     numbers = stretches.numbers(data, starts, stops)
-    counts = stretches.counts()[numbers]
+    counts = stretches.counts(numbers)
     if counts[:, 4].any():
         return None, _NO_IDS
     whole = (starts >= low) & (stops <= high)
-    inside, extra = np.flatnonzero(whole), []
+    inside, extra = numbers[whole], []
     close = lambda a, b: extra.append(stretches.add(links(a, b)))
-    n = counts[inside].sum(axis=0).tolist()
-    middle = Fragment(closed=[stretches.written[k] for k in numbers[inside].tolist()], n_a=n[0], n_b=n[1], n_groups=n[2], n_links=n[3])
+    n = counts[whole].sum(axis=0).tolist()
+    (written,) = stretches.written(inside, np.array([len(inside)]))
+    parts = [None, Fragment(closed=[written.tobytes().decode()], n_a=n[0], n_b=n[1], n_groups=n[2], n_links=n[3]) if len(inside) else None, None]
     raw = data.tobytes()
-    parts = [None, middle if len(inside) else None, None]
     for k in np.flatnonzero(~whole & (stops > low) & (starts < high)).tolist():
-        (pair,) = stretches.tokenizers.encode([raw[starts[k]: stops[k]].decode()])
-        cut = fragment_of(*stretches.tokenizers.sized(pair), low=max(0, low - int(starts[k])), high=high - int(starts[k]), closing=close)
+        tokens = stretches.tokenizers.encode(raw[starts[k]: stops[k]].decode())
+        cut = fragment_of(*tokens, low=max(0, low - int(starts[k])), high=high - int(starts[k]), closing=close)
         parts[0 if starts[k] < low else 2] = cut
-    return reduce(lambda x, y: x.join(y, close), [p for p in parts if p is not None]), np.append(numbers[inside], extra).astype(np.int64)
+    return reduce(lambda x, y: x.join(y, close), [p for p in parts if p is not None]), np.append(inside, extra).astype(np.int64)
 
 
 def _range_fragments(path_a: str, path_b: str) -> Callable:
@@ -456,7 +539,7 @@ def _whole_results(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         f = Fragment.of_json(batch.column("fragment")[0].as_py())
         yield pa.RecordBatch.from_pylist([{
             "key": batch.column("key")[0].as_py(), "doc_id": batch.column("doc_id")[0].as_py(), "n_a": f.n_a, "n_b": f.n_b,
-            "n_groups": f.n_groups, "n_links": f.n_links, "groups_sha256": _digest(";".join(f.closed), f.n_a)}], _RESULT_SCHEMA)
+            "n_groups": f.n_groups, "n_links": f.n_links, "groups_sha256": _digest(";".join(f.closed).encode())}], _RESULT_SCHEMA)
 
 
 def _fragments(bundles: DataFrame) -> DataFrame:
@@ -510,12 +593,6 @@ def _scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"])
 
 
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    through = np.concatenate(([0], np.cumsum(values)))
-    ends = np.cumsum(sizes)
-    return through[ends] - through[ends - sizes]
-
-
 def pair_counts(bundles: DataFrame) -> DataFrame:
     """(pair, a, b, total, best): links of each id pair in all documents, and whether no pair with its B id has more."""
     links_ = bundles.select(F.explode(F.arrays_zip("pairs", "times")).alias("l")).select("l.pairs", "l.times")
