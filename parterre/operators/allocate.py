@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from parterre.functions.seats import seat_names
 from parterre.operators import fold as fold_module
-from parterre.operators.fold import COMMAND, INIT, STATE, section_fold
+from parterre.operators.fold import COMMAND, CONSUMED, INIT, STATE, section_fold
 from parterre.operators.inventory import INT_ARRAY, free_count, run_lengths, with_free_runs
 from parterre.operators.running import drop_slices, first_in_slices, heavy_rows, running_over_slices, slice_ordered
 from parterre.operators.skew import estimated_bytes, heavy_keys, split_heavy
@@ -51,13 +51,13 @@ def init_rows(inits: DataFrame) -> DataFrame:
 
 def state_rows(states: DataFrame) -> DataFrame:
     """Carried states as set-up rows that continue their epoch."""
-    return _inventory_rows(states, "epoch")
+    return _inventory_rows(states, "epoch", *(["door"] if "door" in states.columns else []))
 
 
-def _inventory_rows(rows: DataFrame, step: str) -> DataFrame:
+def _inventory_rows(rows: DataFrame, step: str, *more: str) -> DataFrame:
     return rows.selectExpr(
         *SECTION, "ts", "cast(null as string) as reservation_id", "cast(null as int) as seat_count",
-        "cast(null as string) as user_id", f"{INIT} as kind", f"{step} as step", "run_starts", "run_stops")
+        "cast(null as string) as user_id", f"{INIT} as kind", f"{step} as step", "run_starts", "run_stops", *more)
 
 
 def replay(
@@ -70,11 +70,12 @@ def replay(
     ``with_states`` adds the final free runs of each section as STATE rows;
     ``with_status`` fills ``available_count`` on every row of a known section;
     otherwise only STATE rows have it. ``size`` is the estimated size of the
-    commands if known from before a join.
+    commands if known from before a join. Where ``states`` have a ``door``, the
+    outcome has ``prefiltered``: whether more seats were asked for than that.
     """
     timeline = command_rows(commands).unionByName(init_rows(inits))
     if states is not None:
-        timeline = timeline.unionByName(state_rows(states))
+        timeline = timeline.unionByName(state_rows(states), allowMissingColumns=True)
     size = estimated_bytes(timeline) if size is None else size
     heavy = heavy_keys(timeline, SECTION, size)
     if heavy is None:
@@ -92,7 +93,9 @@ def _fold(timeline: DataFrame, keys: list[str], with_states: bool, size: int | N
     arranged = _by_key(timeline, keys, size).sortWithinPartitions(*keys, *ORDER)
     added = [T.StructField("epoch", T.LongType()), T.StructField("first_seat", T.IntegerType()),
              T.StructField("available_count", T.IntegerType())]
-    kept = [T.StructField(f.name, f.dataType) for f in timeline.schema if f.name != "step"]
+    if "door" in timeline.columns:
+        added.append(T.StructField("prefiltered", T.BooleanType()))
+    kept = [T.StructField(f.name, f.dataType) for f in timeline.schema if f.name not in CONSUMED]
     return arranged.mapInArrow(section_fold(keys, with_states), T.StructType(kept + added))
 
 
@@ -124,11 +127,13 @@ def fold_partitions(timeline: DataFrame, size: int | None = None) -> int | None:
 def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status: bool) -> DataFrame:
     sliced = slice_ordered(timeline, SECTION, ORDER, rows)
     opening = F.col("kind") == INIT
+    guarded = "door" in timeline.columns
     epochs = running_over_slices(
         sliced, SECTION, ORDER,
         sums={"lane": F.when(opening, F.col("step")).otherwise(F.lit(0))},
         lasts={"free": F.when(opening, free_count()),
-               "longest": F.when(opening, F.coalesce(F.array_max(run_lengths()), F.lit(0)))},
+               "longest": F.when(opening, F.coalesce(F.array_max(run_lengths()), F.lit(0))),
+               **({"door": F.when(opening, F.col("door"))} if guarded else {})},
         sparse=True)
 
     size = F.coalesce("seat_count", F.lit(0))
@@ -141,9 +146,10 @@ def _replay_heavy(timeline: DataFrame, rows: int, with_states: bool, with_status
     contenders = first.drop(*helpers).unionByName(epochs.where(opening).drop("free", "longest"))
     # Each lane opens with its own set-up row, which makes its step the lane number.
     folded = _fold(contenders.withColumn("step", F.col("lane")), _LANE, with_states)
-    refused = rest.drop(*helpers, "step").select(
+    early = [F.coalesce(F.col("seat_count") > F.col("door"), F.lit(False)).alias("prefiltered")] if guarded else []
+    refused = rest.drop(*helpers).select(
         "*", F.col("lane").alias("epoch"), F.lit(None).cast("int").alias("first_seat"),
-        F.lit(None).cast("int").alias("available_count"))
+        F.lit(None).cast("int").alias("available_count"), *early).drop(*CONSUMED)
     outcome = folded.unionByName(refused)
     if with_status:
         outcome = materialize(outcome.withColumn("step", F.lit(None).cast("bigint")), "outcomes")

@@ -73,12 +73,16 @@ class FreeRuns:
         return [a for a, _ in kept], [b for _, b in kept]
 
 
-# What the fold adds to its input, in output order.
+# What the fold adds to its input, in output order; the last one where the input has a door.
 FOLD_FIELDS = [
     pa.field("epoch", pa.int64()),
     pa.field("first_seat", pa.int32()),
     pa.field("available_count", pa.int32()),
 ]
+EARLY_FIELD = pa.field("prefiltered", pa.bool_())
+# Columns of the input that end in the fold.
+CONSUMED = ("step", "door")
+NO_DOOR = 1 << 40
 
 
 def _new_keys(batch: pa.RecordBatch, keys: list[str], follows: bool) -> np.ndarray:
@@ -100,11 +104,16 @@ def section_fold(keys: list[str], emit_states: bool) -> Callable:
     follows the last row of each key. Columns the fold does not need pass
     through without leaving Arrow, and rows are visited one by one only while
     their request might still be served.
+
+    A set-up row may carry a ``door``: requests for more seats than that are
+    marked ``prefiltered``. They find none either way, as a door is never less
+    than what is free.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, schema = FreeRuns(), None
         last_key: dict | None = None
+        door = NO_DOOR
         finished: list[dict] = []
 
         def close(key: dict) -> None:
@@ -112,7 +121,7 @@ def section_fold(keys: list[str], emit_states: bool) -> Callable:
                 starts, stops = runs.live_runs()
                 finished.append({
                     **key, "kind": STATE, "epoch": runs.epoch, "available_count": runs.available,
-                    "run_starts": starts, "run_stops": stops,
+                    "run_starts": starts, "run_stops": stops, "prefiltered": False,
                 })
 
         for batch in batches:
@@ -120,13 +129,17 @@ def section_fold(keys: list[str], emit_states: bool) -> Callable:
             if n == 0:
                 continue
             if schema is None:
-                schema = pa.schema([f for f in batch.schema if f.name != "step"] + FOLD_FIELDS)
+                guarded = "door" in batch.schema.names
+                schema = pa.schema([f for f in batch.schema if f.name not in CONSUMED] + FOLD_FIELDS + [EARLY_FIELD] * guarded)
             key_at = lambda i: {k: batch.column(k)[i].as_py() for k in keys}
             new = _new_keys(batch, keys, follows=key_at(0) == last_key)
             init = batch.column("kind").to_numpy(zero_copy_only=False) == INIT
             opening = batch.filter(pa.array(init))
             openings = zip(*(opening.column(c).to_pylist() for c in ("run_starts", "run_stops", "step")))
-            sizes = pc.fill_null(batch.column("seat_count"), 0).to_numpy(zero_copy_only=False).tolist()
+            if guarded:
+                doors = iter(pc.fill_null(opening.column("door").cast(pa.int64()), NO_DOOR).to_pylist())
+            asked = pc.fill_null(batch.column("seat_count"), 0).to_numpy(zero_copy_only=False)
+            sizes = asked.tolist()
             firsts: list[int | None] = [None] * n
             taken = np.zeros(n, dtype=np.int64)
 
@@ -134,15 +147,17 @@ def section_fold(keys: list[str], emit_states: bool) -> Callable:
             breaks = new | init
             breaks[0] = True
             edges = np.flatnonzero(breaks)
-            opened, epochs = np.empty(len(edges), dtype=np.int64), np.empty(len(edges), dtype=np.int64)
+            opened, epochs, limits = (np.empty(len(edges), dtype=np.int64) for _ in range(3))
             bounds = zip(edges.tolist(), [*edges[1:].tolist(), n], new[edges].tolist(), init[edges].tolist())
             for j, (at, stop, starts_key, is_init) in enumerate(bounds):
                 if starts_key:
                     if emit_states and (at or last_key is not None):
                         close(key_at(at - 1) if at else last_key)
-                    runs = FreeRuns()
+                    runs, door = FreeRuns(), NO_DOOR
                 if is_init:
                     runs.reset(*next(openings))
+                    door = next(doors) if guarded else NO_DOOR
+                limits[j] = door
                 opened[j] = -1 if runs.available is None else runs.available
                 epochs[j] = runs.epoch
                 if runs.refused > 1:
@@ -160,7 +175,9 @@ def section_fold(keys: list[str], emit_states: bool) -> Callable:
                 pa.array(firsts, pa.int32()),
                 pa.array(opened - (through - before), mask=opened < 0).cast(pa.int32()),
             ]
-            passed = [batch.column(f.name) for f in batch.schema if f.name != "step"]
+            if guarded:
+                added.append(pa.array((asked > np.repeat(limits, lengths)) & ~init))
+            passed = [batch.column(f.name) for f in batch.schema if f.name not in CONSUMED]
             yield pa.RecordBatch.from_arrays(passed + added, schema=schema)
             if finished:
                 yield pa.RecordBatch.from_pylist(finished, schema=schema)

@@ -9,7 +9,7 @@ from parterre.operators.allocate import replay, results_of, states_of
 from parterre.operators.asof import as_of_join
 from parterre.operators.fold import INIT
 from parterre.operators.skew import estimated_bytes
-from parterre.operators.tables import latest_by_key
+from parterre.operators.tables import exists_flag, latest_by_key
 from parterre.schemas import REJECTED, SECTION, SECTION_INIT, SECTION_STATE
 from parterre.session import materialize
 
@@ -70,23 +70,25 @@ def prefilter(commands: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFr
 BEFORE_ALL = "timestamp_ntz'0001-01-01 00:00:00'"
 
 
-def route_batch(
-    commands: DataFrame, inits: DataFrame, states: DataFrame, *, shed: bool = True,
-) -> tuple[DataFrame, DataFrame | None]:
-    """(replayed rows, results turned away or None) of one batch, starting from ``states``.
+def route_batch(commands: DataFrame, inits: DataFrame, states: DataFrame, *, shed: bool = True) -> DataFrame:
+    """The replayed rows of one batch, starting from ``states``, with ``prefiltered`` where they were turned away at the door.
 
-    The states also tell the availability that the batch is judged by. A section
-    set up anew in this batch may have more seats than that, so its commands are
-    left to the allocator.
+    The states also tell the availability that the batch is judged by, and they meet the commands only once: the fold, which
+    has both of a section in one place, compares each request with what its section had at the start. A section set up anew
+    in this batch may have more seats than that, so its commands are all judged by the allocator. Rows turned away have
+    neither epoch nor availability, as no allocator has seen them.
     """
-    size = estimated_bytes(commands)
-    turned_away = None
+    carried = states.withColumn("ts", F.expr(BEFORE_ALL))
     if shed:
-        settled = states.join(inits.select(*SECTION).distinct(), SECTION, "left_anti")
-        commands, turned_away = prefilter(commands, settled)
-    outcome = replay(commands, inits, states.withColumn("ts", F.expr(BEFORE_ALL)), with_states=True, with_status=True, size=size)
+        anew = exists_flag(carried, inits, {c: c for c in SECTION}, "set_up_anew")
+        carried = anew.withColumn("door", F.when(~F.col("set_up_anew"), F.col("available_count"))).drop("set_up_anew")
+    outcome = replay(commands, inits, carried, with_states=True, with_status=True, size=estimated_bytes(commands))
+    if not shed:
+        outcome = outcome.withColumn("prefiltered", F.lit(False))
+    seen = ~F.coalesce("prefiltered", F.lit(False))
     # A carried state enters as a set-up row; it is not a new status.
-    return outcome.where((F.col("kind") != INIT) | (F.col("ts") != F.expr(BEFORE_ALL))), turned_away
+    return outcome.where((F.col("kind") != INIT) | (F.col("ts") != F.expr(BEFORE_ALL))).withColumns(
+        {c: F.when(seen, F.col(c)) for c in ("epoch", "available_count")})
 
 
 class Route:
@@ -105,13 +107,9 @@ class Route:
         spark = commands.sparkSession
         inits = spark.createDataFrame([], SECTION_INIT) if inits is None else inits
         known = spark.createDataFrame([], SECTION_STATE) if self.states is None else self.states
-        outcome, turned_away = route_batch(commands, inits, known, shed=self.states is not None)
-        outcome = materialize(outcome, "route-batch")
-        completed = results_of(outcome).withColumn("prefiltered", F.lit(False))
-        if turned_away is not None:
-            completed = completed.unionByName(turned_away.withColumn("prefiltered", F.lit(True)))
+        outcome = materialize(route_batch(commands, inits, known, shed=self.states is not None), "route-batch")
         self.states = states_of(outcome, F.expr(BEFORE_ALL))
-        return completed
+        return results_of(outcome, "prefiltered")
 
 
 __all__ = ["Route", "accepted", "latest_section_status", "prefilter", "rejected", "route_batch", "with_status_as_of", "with_verdict"]

@@ -54,13 +54,7 @@ class StreamingRoute:
         commands = arrived.where(F.col("kind") == COMMAND)
         inits = arrived.where(F.col("kind") == INIT)
         known = materialize(self.kept.match(arrived, before=batch).drop("batch"), "known-states", self.spark)
-        outcome, turned_away = route_batch(commands, inits, known, shed=self.shed)
-        rows = outcome.withColumn("prefiltered", F.lit(False))
-        if turned_away is not None:
-            rows = rows.unionByName(
-                turned_away.withColumnRenamed("completed_ts", "ts").drop("status").withColumns(
-                    {"kind": F.lit(COMMAND), "prefiltered": F.lit(True)}), allowMissingColumns=True)
-        send_route(self.sinks, rows, batch)
+        send_route(self.sinks, route_batch(commands, inits, known, shed=self.shed), batch)
         # From what was sent: if this is a repetition, the states are those of the first time.
         self.kept.upsert(self.sinks.read("states", first=batch, stop=batch + 1), batch)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parterre.operators import allocate as A
 from parterre.operators import integrity as V
 from parterre.operators import route as RT
+from parterre.operators.route import route_batch
 from parterre.streaming.route import StreamingRoute, tagged
 from tests.conftest import START, make_commands, make_inits
 
@@ -68,3 +69,24 @@ def test_states_before_any_batch_and_of_touched_buckets(spark, tmp_path):
     route.handle(tagged(make_commands(spark, [("r2", 1, "A", 2, 9)]), make_inits(spark, sections).limit(0)), 1)
     assert [b for b, n in route.kept.commits.get(1).items() if n == 1] == [b for b in before if f"bucket={b}/" in one.inputFiles()[0]]
     assert route.states().where("event_id = 1").first().available_count == 1
+
+
+def test_commands_are_exchanged_once(spark, tmp_path):
+    """With no broadcast at all, commands reach the fold by one exchange; the states meet them there."""
+    make_commands(spark, [("r1", 1, "A", 2)]).write.parquet(str(tmp_path / "commands"))
+    inits = make_inits(spark, [(1, "A", 1, 5, [])])
+    states = A.final_states(make_commands(spark, []), inits).drop("ts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        outcome = route_batch(spark.read.parquet(str(tmp_path / "commands")), inits.limit(0), states)
+        lines = outcome._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)|"))
+    at = next(k for k, line in enumerate(lines) if "FileScan parquet" in line and "reservation_id" in line)
+    above, level = [], depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < level:
+            level = depth(line)
+            above.append(line)
+    assert sum("Exchange" in line for line in above) == 1 and not any("Join" in line for line in above)
