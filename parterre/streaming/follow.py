@@ -19,7 +19,7 @@ class LatestTable:
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType, keys: list[str], order: list[str],
-                 buckets: int = 64) -> None:
+                 buckets: int = 16) -> None:
         self.folder = folder
         self.table = BucketedTable(spark, f"{folder}/rows", schema, keys, order, buckets)
 

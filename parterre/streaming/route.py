@@ -35,7 +35,7 @@ class StreamingRoute:
     writes those of its sections.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, *, shed: bool = True, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, folder: str, *, shed: bool = True, buckets: int = 16) -> None:
         self.spark, self.folder, self.shed = spark, folder, shed
         self.sinks = route_sinks(spark, f"{folder}/sinks")
         schema = T.StructType([*self.sinks.layouts["states"], T.StructField("batch", T.IntegerType())])
@@ -53,10 +53,10 @@ class StreamingRoute:
     def _handle(self, arrived: DataFrame, batch: int) -> None:
         commands = arrived.where(F.col("kind") == COMMAND)
         inits = arrived.where(F.col("kind") == INIT)
-        known = materialize(self.kept.match(arrived, before=batch).drop("batch"), "known-states", self.spark)
+        known = self.kept.match(arrived, before=batch).drop("batch")
         send_route(self.sinks, route_batch(commands, inits, known, shed=self.shed), batch)
         # From what was sent: if this is a repetition, the states are those of the first time.
-        self.kept.upsert(self.sinks.read("states", first=batch, stop=batch + 1), batch)
+        self.kept.upsert(self.sinks.read("states", first=batch, stop=batch + 1), batch, stored=True)
 
     def completed(self) -> DataFrame:
         """Results of all batches: turned away at the door or decided by the allocator."""

@@ -19,9 +19,8 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,6 +34,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT = ("kind int, reservation_id string, event_id long, section string, seat_count int, user_id string, ts timestamp_ntz, "
           "epoch long, first_seat int, available_count int, prefiltered boolean")
+_OUTPUT_ROW = Row(*(c.split()[0] for c in OUTPUT.split(", ")))
 _RUNS = "epoch long, starts array<int>, stops array<int>"
 _REQUEST = "ts timestamp_ntz, reservation_id string, seat_count int, user_id string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,11 +72,10 @@ class SeatProcessor(StatefulProcessor):
         self.late = handle.getListState("late", _REQUEST)
         self.later = handle.getListState("later", _REQUEST)
 
-    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
-        row = initial.iloc[0]
-        self.runs.update((int(row["epoch"]), [int(x) for x in row["run_starts"]], [int(x) for x in row["run_stops"]]))
+    def handleInitialState(self, key, initial: Row, timers) -> None:
+        self.runs.update((initial.epoch, initial.run_starts, initial.run_stops))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:
         runs = FreeRuns()
         if self.runs.exists():
             epoch, starts, stops = self.runs.get()
@@ -99,16 +98,15 @@ class SeatProcessor(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _gathered(self, rows: Iterator[pd.DataFrame], free: int) -> tuple[list[Request], list[tuple], bool]:
+    def _gathered(self, rows: Iterator[Row], free: int) -> tuple[list[Request], list[tuple], bool]:
         held: list[Request] = []
         inits: list[tuple] = []
         limit, spilled = self.most_rows, False
-        for frame in rows:
-            opening = frame["kind"].to_numpy() == INIT
-            for row in frame[opening].itertuples():
-                inits.append((row.ts, int(row.step), [int(x) for x in row.run_starts], [int(x) for x in row.run_stops]))
-            asked = frame[~opening]
-            held += zip(asked["ts"], asked["reservation_id"], asked["seat_count"].astype(int).tolist(), asked["user_id"])
+        for row in rows:
+            if row.kind == INIT:
+                inits.append((row.ts, row.step, row.run_starts, row.run_stops))
+                continue
+            held.append((row.ts, row.reservation_id, row.seat_count, row.user_id))
             if len(held) > limit:
                 held, others = first_of_each_size(held, [free], [])
                 self._spill(self.late, others)
@@ -119,21 +117,21 @@ class SeatProcessor(StatefulProcessor):
     @staticmethod
     def _spill(spill, requests: list[Request]) -> None:
         for at in range(0, len(requests), _CHUNK):
-            spill.appendList([(r[0].to_pydatetime(), *r[1:]) for r in requests[at: at + _CHUNK]])
+            spill.appendList(requests[at: at + _CHUNK])
 
     def _gone_through(self, held: list[Request], inits: list[tuple], free: int) -> list[Request]:
         """Which of the held and spilled requests may be served, now that the set-ups are known; the others go to ``later``."""
         opened, free_of = [i[0] for i in inits], [free, *(sum(i[3]) - sum(i[2]) for i in inits)]
         limit = 0
         for request in self.late.get():
-            held.append((pd.Timestamp(request[0]), *request[1:]))
+            held.append(tuple(request))
             if len(held) > max(limit, self.most_rows):
                 held, others = first_of_each_size(held, free_of, opened)
                 self._spill(self.later, others)
                 limit = 2 * len(held)
         return held
 
-    def _served(self, key, runs: FreeRuns, requests: list[Request], inits: list[tuple], turned_away: int | None) -> Iterator[pd.DataFrame]:
+    def _served(self, key, runs: FreeRuns, requests: list[Request], inits: list[tuple], turned_away: int | None) -> Iterator[Row]:
         """Set-ups and requests in turn; notes what was left when, for those that are refused without a turn."""
         self._times, self._left = [], [(runs.epoch, runs.available)]
         at = 0
@@ -142,13 +140,13 @@ class SeatProcessor(StatefulProcessor):
                 ts, step, starts, stops = inits[number - 1]
                 runs.reset(starts, stops, step)
                 self._note(ts, runs)
-                yield self._frame(key, INIT, [(ts, None, None, None)], [runs.epoch], [None], [runs.available], False)
+                yield from self._rows(key, INIT, [(ts, None, None, None)], [runs.epoch], [None], [runs.available], False)
             stop = len(requests) if number == len(inits) else next(
                 (k for k in range(at, len(requests)) if requests[k][0] >= inits[number][0]), len(requests))
             segment = requests[at:stop]
             early = [r for r in segment if turned_away is not None and r[2] > turned_away]
             if early:
-                yield self._frame(key, COMMAND, early, [None] * len(early), [None] * len(early), [None] * len(early), True)
+                yield from self._rows(key, COMMAND, early, [None] * len(early), [None] * len(early), [None] * len(early), True)
                 segment = [r for r in segment if r[2] <= turned_away]
             first: list[int | None] = [None] * len(segment)
             taken = np.zeros(len(segment), np.int64)
@@ -160,7 +158,7 @@ class SeatProcessor(StatefulProcessor):
                 self._times.append(segment[k])
                 self._left.append((runs.epoch, left[k]))
             if segment:
-                yield self._frame(key, COMMAND, segment, [runs.epoch] * len(segment), first, left, False)
+                yield from self._rows(key, COMMAND, segment, [runs.epoch] * len(segment), first, left, False)
             at = stop
         self._turned_away = turned_away
 
@@ -168,33 +166,29 @@ class SeatProcessor(StatefulProcessor):
         self._times.append((ts,))
         self._left.append((runs.epoch, runs.available))
 
-    def _refused(self, key, spill) -> Iterator[pd.DataFrame]:
+    def _refused(self, key, spill) -> Iterator[Row]:
         chunk: list[Request] = []
         for request in spill.get():
-            chunk.append((pd.Timestamp(request[0]), *request[1:]))
+            chunk.append(tuple(request))
             if len(chunk) == _CHUNK:
                 yield from self._refusals(key, chunk)
                 chunk = []
         yield from self._refusals(key, chunk)
 
-    def _refusals(self, key, chunk: list[Request]) -> Iterator[pd.DataFrame]:
+    def _refusals(self, key, chunk: list[Request]) -> Iterator[Row]:
         bar = self._turned_away
         early = [r for r in chunk if bar is not None and r[2] > bar]
         rest = [r for r in chunk if bar is None or r[2] <= bar]
         if early:
-            yield self._frame(key, COMMAND, early, [None] * len(early), [None] * len(early), [None] * len(early), True)
+            yield from self._rows(key, COMMAND, early, [None] * len(early), [None] * len(early), [None] * len(early), True)
         if rest:
             epochs, left = zip(*[self._left[bisect_right(self._times, r)] for r in rest])
-            yield self._frame(key, COMMAND, rest, list(epochs), [None] * len(rest), list(left), False)
+            yield from self._rows(key, COMMAND, rest, list(epochs), [None] * len(rest), list(left), False)
 
     @staticmethod
-    def _frame(key, kind: int, requests: list[Request], epochs: list, first: list, left: list, prefiltered: bool) -> pd.DataFrame:
-        ts, ids, sizes, users = map(list, zip(*requests))
-        n = len(ts)
-        return pd.DataFrame({
-            "kind": pd.array([kind] * n, "Int32"), "reservation_id": ids, "event_id": pd.array([key[0]] * n, "Int64"), "section": [key[1]] * n,
-            "seat_count": pd.array(sizes, "Int32"), "user_id": users, "ts": pd.to_datetime(pd.Series(ts)), "epoch": pd.array(epochs, "Int64"),
-            "first_seat": pd.array(first, "Int32"), "available_count": pd.array(left, "Int32"), "prefiltered": [prefiltered] * n})
+    def _rows(key, kind: int, requests: list[Request], epochs: list, first: list, left: list, prefiltered: bool) -> Iterator[Row]:
+        for (ts, reservation_id, seat_count, user_id), epoch, seat, available in zip(requests, epochs, first, left):
+            yield _OUTPUT_ROW(kind, reservation_id, key[0], key[1], seat_count, user_id, ts, epoch, seat, available, prefiltered)
 
 
 class StatefulRoute:
@@ -217,7 +211,7 @@ class StatefulRoute:
         previous = self.spark.conf.get(_PROVIDER, None)
         self.spark.conf.set(_PROVIDER, ROCKSDB)
         try:
-            outcome = timeline.groupBy(*SECTION).transformWithStateInPandas(self.processor, OUTPUT, "Append", "None", begin)
+            outcome = timeline.groupBy(*SECTION).transformWithState(self.processor, OUTPUT, "Append", "None", begin)
             process_available(outcome, self.checkpoint, self.handle)
         finally:
             self.spark.conf.unset(_PROVIDER) if previous is None else self.spark.conf.set(_PROVIDER, previous)

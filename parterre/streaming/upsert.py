@@ -35,13 +35,17 @@ class BucketedTable:
         typed = [v.cast(self.schema[k].dataType) for k, v in zip(self.keys, values)] or [F.col(k) for k in self.keys]
         return F.pmod(F.xxhash64(*typed), F.lit(self.buckets)).cast("int")
 
-    def upsert(self, rows: DataFrame, batch: int) -> None:
-        """Merge ``rows`` as batch number ``batch``; a committed batch is left as it is."""
+    def upsert(self, rows: DataFrame, batch: int, stored: bool = False) -> None:
+        """Merge ``rows`` as batch number ``batch``; a committed batch is left as it is.
+
+        The rows are gone through twice, so they are written first unless they are ``stored`` already.
+        """
         if self.commits.has(batch):
             return
         with scratch(self.spark):
-            arrived = latest_by_key(rows.select(*self.schema.fieldNames()), self.keys, self.order)
-            arrived = materialize(arrived.withColumn(BUCKET, self.bucket()), "upsert", self.spark)
+            arrived = rows.select(*self.schema.fieldNames()).withColumn(BUCKET, self.bucket())
+            if not stored:
+                arrived = materialize(latest_by_key(arrived, [BUCKET, *self.keys], self.order), "upsert", self.spark)
             touched = [r[0] for r in arrived.select(BUCKET).distinct().collect()]  # at most ``buckets``
             before = self._manifest(self.commits.newest(before=batch))
             earlier = self._read({b: before[b] for b in touched if b in before})
