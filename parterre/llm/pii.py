@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and contexts bootstrapped from what they find.
 
 The fixed patterns give the seed entities. An occurrence is a seed or another
-token with a digit in it, together with the words beside it and the shape of the
-token (letters a or A, digits 9, runs joined). A pattern is a kind, a
-neighbouring word on one side and a shape class; in each round the graph of
+token with a digit in it, together with the words beside it (of a very long word
+the 40 characters nearest). A pattern is a kind and the neighbouring word on one
+side, or those on both; in each round the graph of
 patterns and instances is scored: a pattern by the share of its instances that
 are known (times the logarithm of their number), an instance by its best
 patterns. Instances that enough confident patterns agree on become known, and
@@ -12,7 +12,10 @@ counts over the occurrences, which hold no text.
 
 Spans are (kind, start, end) in code points, end exclusive. Null text counts as
 empty. Patterns are judged on distinct instances, so repeated documents add
-nothing; equal texts get equal spans. Only id and text are read.
+nothing; equal texts get equal spans, whatever their id, and rows that repeat an
+id are judged each. A text is held whole in one task; patterns are linear in its length,
+and each token with a digit costs one more pass over it for the words beside it. Only the ``keep`` columns and the text are read, so others may
+have any name. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ PATTERNS = {
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TOKEN = rf"{NOT_SPACE}*[0-9]{NOT_SPACE}*"
+#: A whole token with a digit in it: begun at its first character only, and never tried twice.
+TOKEN = rf"(?<!{NOT_SPACE})[^0-9\x20\x09-\x0D]*+[0-9]{NOT_SPACE}*+"
 #: Fewest known instances of a pattern, its least share of known ones, fewest confident patterns of a new instance, rounds.
 SUPPORT, CONFIDENCE, AGREE, ROUNDS = 5, 0.6, 2, 3
 
@@ -57,17 +61,36 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+#: Matches whose places are added up one after the other; of more, so many at a time.
+_STEP = 1000
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """Matches with their places: (found, start). What lies between them gives the distances."""
+    """Matches with their places: (found, start). What lies between them gives the distances.
+
+    An array that grows match by match is copied each time, so the matches are taken in blocks whose starts are known beforehand.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern), lambda x: F.length(x))
-    return let(F.struct(found.alias("f"), between.alias("b")), lambda v: F.aggregate(
-        F.sequence(F.lit(0), F.size(v["f"]) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<found:string,start:int>>").alias("out")),
-        lambda a, i: F.struct(
-            (a["at"] + F.get(v["b"], i) + F.length(F.get(v["f"], i))).alias("at"),
-            F.concat(a["out"], F.array(F.struct(F.get(v["f"], i).alias("found"), (a["at"] + F.get(v["b"], i)).alias("start")))).alias("out")),
-        lambda a: a["out"]))
+    nothing = F.array().cast("array<struct<found:string,start:int>>")
+    total = lambda values: F.aggregate(values, F.lit(0), lambda n, x: n + x)
+
+    def placed(v, offset, k):
+        last = F.least(F.size(v["f"]), (k + 1) * _STEP) - 1
+        return F.aggregate(
+            F.sequence(k * _STEP, last), F.struct(offset.alias("at"), nothing.alias("out")),
+            lambda a, i: F.struct(
+                (a["at"] + F.get(v["b"], i) + F.length(F.get(v["f"], i))).alias("at"),
+                F.concat(a["out"], F.array(F.struct(F.get(v["f"], i).alias("found"), (a["at"] + F.get(v["b"], i)).alias("start")))).alias("out")),
+            lambda a: a["out"])
+
+    def blocks(v):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v["f"]) - 1) / _STEP).cast("int"))
+        sizes = F.transform(numbers, lambda k: total(F.slice(v["b"], k * _STEP + 1, F.lit(_STEP))) + total(
+            F.transform(F.slice(v["f"], k * _STEP + 1, F.lit(_STEP)), lambda x: F.length(x))))
+        return let(sizes, lambda s: F.flatten(F.transform(numbers, lambda k: placed(v, total(F.slice(s, F.lit(1), k)), k))))
+
+    return let(F.struct(found.alias("f"), between.alias("b")), blocks)
 
 
 def _places(text: Column, pattern: str, needs: str) -> Column:
@@ -86,26 +109,21 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of_kind, KINDS))
 
 
-def _shape(token: Column) -> Column:
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
-    return F.substring(shape, 1, 12)
-
-
 def _occurrences(found: DataFrame) -> DataFrame:
-    """(key, kind or null, start, end, instance, left, right, shape) of base spans and other tokens with digits."""
+    """(key, kind or null, start, end, instance, left, right) of base spans and other tokens with digits."""
     text = F.coalesce("text", F.lit(""))
     base = F.col("base")
     tokens = F.transform(_places(text, TOKEN, "[0-9]"), lambda m: F.struct(
         F.lit(None).cast("string").alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["found"])).alias("end")))
     free = F.filter(tokens, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    placed = found.select("key", text.alias("text"), F.explode(F.concat(base, free)).alias("s"))
-    span = F.expr("substring(text, s.start + 1, s.end - s.start)")
-    before = F.expr("substring(text, greatest(s.start - 39, 1), s.start - greatest(s.start - 40, 0))")
-    after = F.expr("substring(text, s.end + 1, 40)")
-    return placed.select(
-        "key", "s.*", span.alias("instance"),
-        ascii_lower(F.regexp_extract(before, rf"({NOT_SPACE}+){SPACE}*$", 1)).alias("left"),
-        ascii_lower(F.regexp_extract(after, rf"^{SPACE}*({NOT_SPACE}+)", 1)).alias("right")).withColumn("shape", _shape(F.col("instance")))
+    # the words beside a span are taken before the spans become rows, which would each carry the whole text
+    beside = lambda s: F.struct(
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+        F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("instance"),
+        ascii_lower(F.regexp_extract(F.substring(text, F.greatest(s["start"] - 39, F.lit(1)), s["start"] - F.greatest(s["start"] - 40, F.lit(0))),
+                                     rf"({NOT_SPACE}+){SPACE}*$", 1)).alias("left"),
+        ascii_lower(F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(40)), rf"^{SPACE}*({NOT_SPACE}+)", 1)).alias("right"))
+    return found.select("key", F.explode(F.transform(F.concat(base, free), beside)).alias("s")).select("key", "s.*")
 
 
 def _pattern_rows(occurrences: DataFrame) -> DataFrame:
@@ -120,8 +138,8 @@ def _pattern_rows(occurrences: DataFrame) -> DataFrame:
 
 def confident_patterns(occurrences: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, agree: int = AGREE,
                        rounds: int = ROUNDS) -> DataFrame:
-    """(side, words, shape, kind, score) after the last round."""
-    cells = store(_pattern_rows(occurrences).groupBy("side", "words", "shape", "instance").agg(F.max("kind").alias("kind")), "pii-graph")
+    """(side, words, kind, score) after the last round."""
+    cells = store(_pattern_rows(occurrences).groupBy("side", "words", "instance").agg(F.max("kind").alias("kind")), "pii-graph")
     known = cells.where("kind is not null").groupBy("instance").agg(F.max("kind").alias("kind"))
     patterns = None
     for _ in range(rounds):
