@@ -106,6 +106,18 @@ select count(*) as requests, count(*) filter (ok) as completed, avg(ok::int::dou
   quantile_cont(latency_ms::double, 0.95) filter (ok) as p95_duration_ms from ({LOG}))"""
 
 
+TIMED = """select event_id as request_id, ts, floor(value * 3)::bigint + floor(value * 7)::bigint as processing_ms,
+  floor(value * 3)::bigint + floor(value * 7)::bigint + event_id % 100 as latency_ms, event_type <> 'error' as ok from events"""
+
+
+def alerts(closed: str) -> str:
+    return f"""with w as (select date_trunc('hour', ts)::timestamp as window_start, date_trunc('hour', ts)::timestamp + interval 1 hour as window_end,
+    count(*) as requests, count(*) filter (not ok) as timeouts, avg(latency_ms) as mean_ms from ({TIMED}) group by 1, 2),
+  c as (select * from w where {closed})
+select *, 'HighTimeoutRate' as alert, 'critical' as severity from c where timeouts > 0.05 * requests
+union all select *, 'Slowdown', 'warning' from c where mean_ms > 50"""
+
+
 ORACLE: dict[str, str] = {
     "src_commands": CMD,
     "src_section_init": f"""select event_id, section, rows_n as "rows", per_row as seats_per_row,
@@ -219,6 +231,20 @@ select q.*, r.event_id, r.event_id is not null as accepted
 """ + " union all ".join(
         f"select measure, {p}::double as point, quantile_cont(v::double, {p}) as milliseconds from m group by measure"
         for p in (0.5, 0.95, 0.99)),
+    "latency_percentiles_approx": f"""select measure, point, count(*) as n, true as within_bound
+  from (select unnest(['processing_ms', 'latency_ms']) as measure from ({TIMED}) where ok),
+    (select unnest([0.5, 0.95, 0.99])::double as point) group by all""",
+    "request_alerts": alerts("true"),
+    "stream_alerts": alerts("window_end <= (select max(ts) from events) - interval 10 minute"),
+    "user_dedup": f"""with recursive q as (select *, row_number() over (partition by user_id order by ts, reservation_id) as rn from ({CMD})),
+f as (
+  select *, ts as last_ts, true as accepted, reservation_id as answered_by from q where rn = 1
+  union all
+  select q.*, case when q.ts >= f.last_ts + interval 1 hour then q.ts else f.last_ts end, q.ts >= f.last_ts + interval 1 hour,
+    case when q.ts >= f.last_ts + interval 1 hour then q.reservation_id else f.answered_by end
+  from f join q on q.user_id = f.user_id and q.rn = f.rn + 1)
+select * exclude (rn, last_ts) from f""",
+    "reservation_history": f"""{ONE}, {RESULTS} select * exclude (epoch), completed_ts::date < date '2024-01-11' as archived from res""",
     "slo_report": slo(5000, 0.99),
     "slo_report_large": slo(10000, 0.95),
     "duplicate_seats": f"""{ONE}, {RESULTS}, {TAKEN} select event_id, section, 1::bigint as epoch, seat_no, count(*) as times
@@ -260,6 +286,7 @@ for _stream, _twin in {
     "stream_seat_allocation": "seat_allocation",
     "stream_seat_allocation_stateful": "seat_allocation",
     "stream_prefilter": "reservation_routing",
+    "stream_user_dedup": "user_dedup",
     "ingest_tickets_twice": "ingest_tickets",
     "stream_reservation_table": "reservation_table",
     "stream_events_with_changes": "events_with_changes",

@@ -6,6 +6,7 @@ columns have the names and types of the SQL in :mod:`parterre.plans.oracle`.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,17 +17,22 @@ from parterre.functions import seats as S
 from parterre.functions import time as TM
 from parterre.operators import allocate as A
 from parterre.operators import compat as C
+from parterre.operators import dedup as D
 from parterre.operators import integrity as V
 from parterre.operators import inventory as I
 from parterre.operators import relational as R
 from parterre.operators import reports as G
 from parterre.operators import route as RT
+from parterre.operators import sketches as K
 from parterre.operators import tables as T
 from parterre.operators.running import sequence_number
 from parterre.schemas import AVAILABLE, COMMAND, SECTION, SECTION_INIT, TICKET_STATUSES
 from parterre.session import fresh_path, materialize
 from parterre.sources.files import publish, read_log
 from parterre.sources.fixtures import CUT_TS, INIT_TS, Tables
+from parterre.sources.history import History
+from parterre.streaming import alerts as AL
+from parterre.streaming.dedup import RepeatedRequests
 from parterre.streaming.follow import ChangedEvents, LatestTable
 from parterre.streaming.route import StreamingRoute
 from parterre.streaming.stateful import StatefulRoute
@@ -480,6 +486,22 @@ def slo_report_large(t: Tables) -> DataFrame:
     return G.slo_report(t.request_log, G.THRESHOLDS["large"])
 
 
+@query
+def latency_percentiles_approx(t: Tables) -> DataFrame:
+    """Percentiles from hourly sketches: are the ranks of what they return within the bound, by an exact count?"""
+    log = t.timed_log.where("ok")
+    measures = {c: F.col(c) for c in ("processing_ms", "latency_ms")}
+    sketches = materialize(K.hourly_sketches(log, measures), "hourly-sketches")
+    found = materialize(K.merged_percentiles(sketches, [0.5, 0.95, 0.99]), "approximate")
+    values = log.unpivot(["request_id"], list(measures), "measure", "value").select("measure", "value")
+    return K.rank_errors(values, found).select("measure", "point", "n", (F.col("rank_error") <= K.RANK_ERROR).alias("within_bound"))
+
+
+@query
+def request_alerts(t: Tables) -> DataFrame:
+    return AL.alert_windows(t.timed_log, "1 hour")
+
+
 # --- integrity ----------------------------------------------------------------------------------
 
 
@@ -549,6 +571,25 @@ def unresolved_commands_planted(t: Tables) -> DataFrame:
     return V.unresolved_commands(t.commands, once.unionByName(once.where(times > 1)))
 
 
+@query
+def user_dedup(t: Tables) -> DataFrame:
+    """One request a user within an hour; the others are answered by it."""
+    return D.repeated_requests(t.commands, ["user_id"])
+
+
+@query
+def reservation_history(t: Tables) -> DataFrame:
+    """Results appended in two batches, the first one twice; days 90 days old are in the archive."""
+    results = materialize(A.allocate_seats(t.commands, t.inits).drop("epoch"), "history-source")
+    history = History(t.spark, fresh_path(t.spark, "history"), results.schema)
+    early = F.col("completed_ts") < F.expr(CUT_TS)
+    history.append(results.where(early), "first")
+    history.archive(dt.date(2024, 4, 10))
+    for batch, rows in {"first": early, "second": ~early}.items():
+        history.append(results.where(rows), batch)
+    return history.read()
+
+
 # --- streams: the same results by way of files, micro-batches and checkpoints ---------------------
 
 
@@ -595,6 +636,29 @@ def stream_prefilter(t: Tables) -> DataFrame:
     return _stream_route(t, shed=True).completed().drop("epoch")
 
 
+@query
+def stream_user_dedup(t: Tables) -> DataFrame:
+    folder = fresh_path(t.spark, "stream-dedup")
+    stream = RepeatedRequests(t.spark, folder, ["user_id"])
+    cut = F.expr(CUT_TS)
+    for part in (F.col("ts") < cut, F.col("ts") >= cut):
+        publish(t.commands.where(part), f"{folder}/in")
+        stream.run(read_log(t.spark, f"{folder}/in", COMMAND, stream=True))
+    return stream.read()
+
+
+@query
+def stream_alerts(t: Tables) -> DataFrame:
+    """Alerts of the hours that the watermark has passed."""
+    folder = fresh_path(t.spark, "stream-alerts")
+    alerts = AL.Alerts(t.spark, folder, "1 hour")
+    log, cut = t.timed_log, F.expr(CUT_TS)
+    for part in (F.col("ts") < cut, F.col("ts") >= cut):
+        publish(log.where(part), f"{folder}/in")
+        alerts.run(read_log(t.spark, f"{folder}/in", log.schema, stream=True))
+    return alerts.read()
+
+
 def _completed_in_two_runs(t: Tables, follower: LatestTable | ChangedEvents, folder: str) -> None:
     feed = materialize(completed_feed(t), "completed-feed")
     for part in (F.col("status") == "PENDING", F.col("status") != "PENDING"):

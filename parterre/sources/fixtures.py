@@ -86,6 +86,15 @@ class Tables:
             F.col("event_id").alias("request_id"), post.alias("post_ms"), get.alias("get_ms"),
             (post + get + F.col("event_id") % 100).alias("latency_ms"), (F.col("event_type") != "error").alias("ok"))
 
+    @property
+    def timed_log(self) -> DataFrame:
+        """The request log with the time of each request."""
+        post = F.floor(F.col("value") * 3).cast("bigint")
+        get = F.floor(F.col("value") * 7).cast("bigint")
+        return self.raw("events").select(
+            F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), (post + get).alias("processing_ms"),
+            (post + get + F.col("event_id") % 100).alias("latency_ms"), (F.col("event_type") != "error").alias("ok"))
+
     @property
     def event_requests(self) -> DataFrame:
         """Event creation requests in the load client's shape, areas nested.

@@ -13,6 +13,7 @@ the section new seats; then the list is gone through once more, by set-up.
 
 from __future__ import annotations
 
+import contextlib
 import sys
 from bisect import bisect_right
 from collections import Counter
@@ -191,6 +192,17 @@ class SeatProcessor(StatefulProcessor):
             yield _OUTPUT_ROW(kind, reservation_id, key[0], key[1], seat_count, user_id, ts, epoch, seat, available, prefiltered)
 
 
+@contextlib.contextmanager
+def on_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, on disk beside the executors and in the checkpoint."""
+    previous = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if previous is None else spark.conf.set(_PROVIDER, previous)
+
+
 class StatefulRoute:
     """The route with its state in Spark's state store, sending to separate sinks below ``folder``.
 
@@ -208,13 +220,9 @@ class StatefulRoute:
         """Process what has arrived; a later call resumes from the checkpoint."""
         timeline = A.command_rows(commands).unionByName(A.init_rows(inits))
         begin = None if self.initial is None else self.initial.select(*SECTION, "epoch", "run_starts", "run_stops").groupBy(*SECTION)
-        previous = self.spark.conf.get(_PROVIDER, None)
-        self.spark.conf.set(_PROVIDER, ROCKSDB)
-        try:
+        with on_rocksdb(self.spark):
             outcome = timeline.groupBy(*SECTION).transformWithState(self.processor, OUTPUT, "Append", "None", begin)
             process_available(outcome, self.checkpoint, self.handle)
-        finally:
-            self.spark.conf.unset(_PROVIDER) if previous is None else self.spark.conf.set(_PROVIDER, previous)
 
     def handle(self, outcome: DataFrame, batch: int) -> None:
         send_route(self.sinks, outcome, batch)
