@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parterre.operators.allocate import seats_taken
-from parterre.schemas import CONFIRMED, SECTION
+from parterre.schemas import CONFIRMED, REJECTED, SECTION
 from parterre.session import materialize
 
 
@@ -86,11 +86,6 @@ def latency_percentiles(log: DataFrame) -> DataFrame:
     return exact_percentiles(timed, ["processing_ms", "latency_ms"], [0.5, 0.95, 0.99])
 
 
-def approximate_percentiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], accuracy: int = 10_000) -> DataFrame:
-    """Percentiles from a sketch: nearest observed values, in one pass."""
-    return df.agg(*[F.percentile_approx(c, list(points), accuracy).alias(c) for c in columns])
-
-
 # The thresholds of the load tests, as (P95 of POST in ms, P95 of GET in ms, least rate of checks passed).
 THRESHOLDS = {"sustained": (500, 5_000, 0.99), "large": (500, 10_000, 0.95)}
 
@@ -120,3 +115,29 @@ def slo_report(log: DataFrame, thresholds: tuple[int, int, float] = THRESHOLDS["
         "*", (F.col("p95_post_ms") < post_most).alias("post_ok"),
         (F.col("p95_get_ms") < get_most).alias("get_ok"),
         (F.col("pass_rate") > least_rate).alias("checks_ok"))
+
+
+def request_checks(log: DataFrame) -> DataFrame:
+    """How many checks each request ran, and how many of them passed.
+
+    ``log`` has (request_id, post_status, get_status, status). A request is asked for its outcome only if it was taken
+    (202), and its outcome is looked at only if it came (200); so a request runs one to three checks.
+    """
+    taken = F.coalesce(F.col("post_status") == 202, F.lit(False))
+    answered = taken & F.coalesce(F.col("get_status") == 200, F.lit(False))
+    resolved = answered & F.coalesce(F.col("status").isin(CONFIRMED, REJECTED), F.lit(False))
+    number = lambda *flags: sum((f.cast("int") for f in flags), F.lit(0))
+    return log.select("request_id", taken.alias("taken"), answered.alias("answered"), resolved.alias("resolved"),
+                      number(F.lit(True), taken, answered).alias("checks"), number(taken, answered, resolved).alias("passed"))
+
+
+def check_report(log: DataFrame, least_rate: float = THRESHOLDS["sustained"][2]) -> DataFrame:
+    """Checks run and passed over all requests, the rate of each check among those that ran it, and whether enough passed."""
+    rate = lambda part, whole: F.when(whole > 0, part / whole)
+    row = request_checks(log).agg(
+        F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum("checks"), F.lit(0)).alias("checks"), F.coalesce(F.sum("passed"), F.lit(0)).alias("passed"),
+        F.count_if("taken").alias("taken"), F.count_if("answered").alias("completed"), F.count_if("resolved").alias("resolved"))
+    return row.select(
+        "requests", "checks", "passed", "completed", rate(F.col("passed"), F.col("checks")).alias("pass_rate"),
+        rate(F.col("taken"), F.col("requests")).alias("post_rate"), rate(F.col("completed"), F.col("taken")).alias("get_rate"),
+        rate(F.col("resolved"), F.col("completed")).alias("resolved_rate")).withColumn("checks_ok", F.col("pass_rate") > least_rate)

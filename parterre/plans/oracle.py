@@ -122,6 +122,9 @@ ORACLE: dict[str, str] = {
     "src_commands": CMD,
     "src_section_init": f"""select event_id, section, rows_n as "rows", per_row as seats_per_row,
   section || '-7,' || section || '-14,' || section || '-21' as initial_reserved, ts from ({INITS})""",
+    "wire_completions": f"""{ONE}, {RESULTS}, {NAMED} select reservation_id as "reservationId", event_id as "eventId", user_id as "userId", status,
+  section, seat_count as "seatCount", allocated_seats as "allocatedSeats", epoch_us(completed_ts) // 1000 as "timestamp" from named""",
+    "wire_states": f"{ALL} select * from runs",
     "section_key": f"select reservation_id, {KEY} from ({CMD})",
     "command_sequence": f"""select reservation_id, event_id, section,
   row_number() over (partition by event_id, section order by ts, reservation_id) as seq from ({CMD})""",
@@ -234,6 +237,12 @@ select q.*, r.event_id, r.event_id is not null as accepted
     "latency_percentiles_approx": f"""select measure, point, count(*) as n, true as within_bound
   from (select unnest(['processing_ms', 'latency_ms']) as measure from ({TIMED}) where ok),
     (select unnest([0.5, 0.95, 0.99])::double as point) group by all""",
+    "check_report": """select *, pass_rate > 0.99 as checks_ok from (
+select count(*) as requests, sum(1 + taken + answered)::bigint as checks, sum(taken + answered + resolved)::bigint as passed, sum(answered)::bigint as completed,
+  sum(taken + answered + resolved) / sum(1 + taken + answered) as pass_rate, sum(taken) / count(*) as post_rate, sum(answered) / sum(taken) as get_rate,
+  sum(resolved) / sum(answered) as resolved_rate
+from (select (not (event_type = 'error' and event_id % 2 = 0))::int as taken, (event_type <> 'error')::int as answered,
+  (event_type <> 'error' and event_id % 50 <> 0)::int as resolved from events))""",
     "request_alerts": alerts("true"),
     "stream_alerts": alerts("window_end <= (select max(ts) from events) - interval 10 minute"),
     "user_dedup": f"""with recursive q as (select *, row_number() over (partition by user_id order by ts, reservation_id) as rn from ({CMD})),

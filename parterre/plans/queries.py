@@ -29,6 +29,7 @@ from parterre.operators.running import sequence_number
 from parterre.schemas import AVAILABLE, COMMAND, SECTION, SECTION_INIT, TICKET_STATUSES
 from parterre.session import fresh_path, materialize
 from parterre.sources.files import publish, read_log
+from parterre.sources import wire as W
 from parterre.sources.fixtures import CUT_TS, INIT_TS, Tables
 from parterre.sources.history import History
 from parterre.streaming import alerts as AL
@@ -62,6 +63,22 @@ def src_section_init(t: Tables) -> DataFrame:
     return t.inits.withColumn("initial_reserved", F.array_join("initial_reserved", ","))
 
 
+@query
+def wire_completions(t: Tables) -> DataFrame:
+    """Completions as they travel, after a round trip through JSON."""
+    values = W.encoded(W.to_completions(A.allocate_seats(t.commands, t.inits)), F.col("reservationId"))
+    return W.decoded(values, "ReservationCompletedEvent").withColumn("allocatedSeats", F.array_join("allocatedSeats", ","))
+
+
+@query
+def wire_states(t: Tables) -> DataFrame:
+    """Free runs of each section, after its state has travelled as a status for each seat."""
+    states = A.final_states(t.commands, t.inits).join(t.inits.select(*SECTION, (F.col("rows") * F.col("seats_per_row")).alias("seats")), SECTION)
+    values = W.encoded(W.to_states(states, F.col("seats")), F.concat_ws("-", "eventId", "section"))
+    back = W.from_states(W.decoded(values, "SectionSeatState"))
+    return I.free_runs_of_state(back)
+
+
 @query
 def section_key(t: Tables) -> DataFrame:
     return t.commands.select("reservation_id", S.section_key().alias("section_key"))
@@ -497,6 +514,11 @@ def latency_percentiles_approx(t: Tables) -> DataFrame:
     return K.rank_errors(values, found).select("measure", "point", "n", (F.col("rank_error") <= K.RANK_ERROR).alias("within_bound"))
 
 
+@query
+def check_report(t: Tables) -> DataFrame:
+    return G.check_report(t.checked_log)
+
+
 @query
 def request_alerts(t: Tables) -> DataFrame:
     return AL.alert_windows(t.timed_log, "1 hour")

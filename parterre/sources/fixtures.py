@@ -95,6 +95,15 @@ class Tables:
             F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), (post + get).alias("processing_ms"),
             (post + get + F.col("event_id") % 100).alias("latency_ms"), (F.col("event_type") != "error").alias("ok"))
 
+    @property
+    def checked_log(self) -> DataFrame:
+        """What each request's two calls returned: errors of even ids are refused, others not answered; every fiftieth stays open."""
+        failed, number = F.col("event_type") == "error", F.col("event_id")
+        return self.raw("events").select(
+            number.alias("request_id"), F.when(failed & (number % 2 == 0), F.lit(503)).otherwise(F.lit(202)).alias("post_status"),
+            F.when(failed, F.lit(504)).otherwise(F.lit(200)).alias("get_status"),
+            F.when(number % 50 == 0, F.lit("PENDING")).when(number % 3 == 0, F.lit("REJECTED")).otherwise(F.lit("CONFIRMED")).alias("status"))
+
     @property
     def event_requests(self) -> DataFrame:
         """Event creation requests in the load client's shape, areas nested.
