@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parterre.session import HEAVY_KEY_ROWS, SINGLE_TASK_BYTES, int_setting, materialize
+from parterre.session import HEAVY_KEY_ROWS, int_setting, materialize, single_task_bytes
 
 
 # Rows from outside Spark's sources are said to have the largest size there is, and joins multiply it.
@@ -32,7 +32,7 @@ def heavy_keys(df: DataFrame, keys: list[str], size: int | None = None) -> DataF
     """
     spark = df.sparkSession
     size = estimated_bytes(df) if size is None else size
-    if size is not None and size <= int_setting(spark, SINGLE_TASK_BYTES):
+    if size is not None and size <= single_task_bytes(spark):
         return None
     limit = int_setting(spark, HEAVY_KEY_ROWS)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("key_rows"))

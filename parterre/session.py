@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 # A key with more rows than this is spread over several tasks.
 HEAVY_KEY_ROWS = ("parterre.heavyKeyRows", 4_000_000)
 # Inputs that Catalyst estimates below this can have no heavy key: estimates are of compressed files, and a row takes
-# four bytes of them at least.
+# four bytes of them at least. Unless it is set, it follows the rows of a heavy key.
 SINGLE_TASK_BYTES = ("parterre.singleTaskBytes", 4 * HEAVY_KEY_ROWS[1])
 # Estimated bytes that one fold task is meant to take, and the most tasks planned for a fold; beyond, tasks grow.
 FOLD_TASK_BYTES = ("parterre.foldTaskBytes", 32 * 1024 * 1024)
@@ -25,6 +25,11 @@ def int_setting(spark: SparkSession, setting: tuple[str, int]) -> int:
     return int(spark.conf.get(name, str(default)))
 
 
+def single_task_bytes(spark: SparkSession) -> int:
+    name, _ = SINGLE_TASK_BYTES
+    return int(spark.conf.get(name, str(4 * int_setting(spark, HEAVY_KEY_ROWS))))
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for written intermediates: ``spark.checkpoint.dir``.
 
