@@ -93,7 +93,7 @@ def signature(shingles: np.ndarray) -> tuple[int, int]:
 def point(shingles: np.ndarray) -> int:
     """Counts of the groups in a byte each, rounded up to units that let the largest fit."""
     counts = np.bincount((shingles & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    unit = unit_of(len(shingles))
+    unit = unit_of(min(len(shingles), _SIZE))  # the size that a posting tells
     return int(np.minimum(-(-counts // unit), 255).astype(np.uint8).view(np.int64)[0])
 
 
@@ -124,7 +124,8 @@ def unit_of(n):
 def coordinates(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Upper bounds of the counts; the highest code stands for any number."""
     raw = points.astype(np.int64).view(np.uint8).reshape(-1, GROUPS).astype(np.int64)
-    return np.where(raw == 255, sizes[:, None], raw * unit_of(sizes)[:, None])
+    # a posting's size is cut at the most it can tell, which makes the bounds wider but never wrong
+    return np.where(raw == 255, np.where(sizes >= _SIZE, 1 << 40, sizes)[:, None], raw * unit_of(sizes)[:, None])
 
 
 def needed(m, n, percent: int):

@@ -3,9 +3,10 @@
 import re
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from parterre.llm import licenses, pii
+from parterre.llm import licenses, ngram_join, pii
 
 
 def plain_dice(a, b):
@@ -50,3 +51,14 @@ def test_licenses_against_plain_dice(spark):
         parts += [s for b in re.split(r"\n[ \t\r]*\n", text) for s in re.split(r"(?<=[.!?;])[ \t-\r]+", b)]
         best = max(plain_dice(p, t) for p in parts for forms in licenses.TEMPLATES.values() for t in forms)
         assert (r.best_dice or 0.0) == (best if best >= licenses.DICE else 0.0) and (r.best_dice or 0.0) <= 1.0
+
+
+def test_bounds_of_enormous_sets():
+    """Sets of more shingles than a posting can tell: a set still reaches the overlap with itself."""
+    rng = np.random.default_rng(1)
+    for n in (ngram_join._SIZE - 1, ngram_join._SIZE + 5, 20_000_000):
+        shingles = rng.integers(0, 2**63, n, np.uint64)
+        told = np.array([min(n, ngram_join._SIZE)])
+        at = ngram_join.coordinates(np.array([ngram_join.point(shingles)]), told)
+        true = np.bincount((shingles & np.uint64(ngram_join.GROUPS - 1)).astype(np.int64), minlength=ngram_join.GROUPS)
+        assert (at[0] >= true).all() and at.sum() >= ngram_join.needed(n, n, 80)
