@@ -573,7 +573,7 @@ def _scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 1):
         row = {c: batch.column(c)[0] for c in batch.schema.names}
         values = lambda name: row[name].values.to_numpy(zero_copy_only=False)
-        size = len(row["pairs"])
+        size = row["n_pairs"].as_py()
         totals, best = np.zeros(size, np.int64), np.zeros(size, np.int64)
         if row["found"].is_valid and size:
             found = row["found"].values
@@ -613,7 +613,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, range_bytes: int = RANGE_
     counts = pair_counts(bundles).select("pair", "total", F.col("best").cast("int").alias("best"))
     asked = bundles.select("bundle", F.posexplode("pairs").alias("at", "pair"))
     back = asked.join(counts, "pair").groupBy("bundle").agg(F.collect_list(F.struct("at", "total", "best")).alias("found"))
-    scored = bundles.drop("times", "parts").join(back, "bundle", "left").drop("bundle").mapInArrow(
+    # the pairs themselves stay where they are: a bundle knows them by their places
+    scored = bundles.withColumn("n_pairs", F.size("pairs")).drop("times", "parts", "pairs").join(back, "bundle", "left").drop("bundle").mapInArrow(
         _scored, "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long")
     scored = store(scored, "align-scored")
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
