@@ -13,8 +13,9 @@ Which chunks are shared is counted over all documents. A bitmap of ``BITMAP``
 bits, fixed in size, tells the tasks which chunks may be; a false hit costs a
 look-up and nothing else. Documents without shared chunks are not shuffled.
 
-Null and empty texts have no ids. Repeated rows get a row each. Only the id and
-the text are read, and other columns named in ``keep``.
+Null and empty texts have no ids. Repeated rows get a row each. A text is held
+whole in one task. Only the id and the text are read, and other columns named in ``keep``, which
+may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Words are runs of letters and digits, A-Z lower-cased. A window is ``window``
 consecutive words of an item; a shorter item is one window. Null and wordless
 texts have no words: such documents get zeros, such items match nothing. Items
 that repeat an id count as one; an item without an id marks words but is not
-counted. Repeated documents get a row each. Only the needed columns are read.
+counted. Repeated documents get a row each. A text is taken apart within one
+task; its postings are dealt out by term and start. Only the needed columns are read, so others may have
+any name. An empty table of documents gives no rows, an empty benchmark zeros.
 """
 
 from __future__ import annotations

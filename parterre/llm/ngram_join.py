@@ -29,7 +29,8 @@ doc_id that links lead to. Documents with fewer words than a shingle have one
 shingle, the whole; those without words have none and stay alone. Null text has
 no words; a null doc_id is passed over in the minimum (null if there is no
 other). Rows that repeat an id are documents of their own. Shingles are compared
-by 64-bit hashes.
+by 64-bit hashes. A text and its set are held whole in one task. Only id and text are read, so
+other columns may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

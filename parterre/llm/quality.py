@@ -11,7 +11,8 @@ sources included, and languages under it by that of all rows.
 Null text counts as empty. A document that fails the base rules is neither used
 for the estimates nor judged by them. Null languages and sources form groups of
 their own. Equal rows get equal verdicts. Only the needed columns are read, so
-extra columns don't matter; an empty table gives no rows.
+extra columns don't matter; an empty table gives no rows. A text is counted
+within its row, whatever its length.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ and of the sum of heavy ones, fitted by numpy.
 
 Null, empty and wordless texts have no window and get the base score of the
 sample. Equal texts get equal scores. Without labelled documents of both kinds
-every score is 0. ``doc_id`` is used to choose training rows only.
+every score is 0. ``doc_id`` is used to choose training rows only. A text is held whole in one task; its windows are words, and
+equal words are compressed once. Only ``keep``, the id and the text are read, so other columns may have any name. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

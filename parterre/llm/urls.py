@@ -10,7 +10,8 @@ rate of the host's suffix among the labelled.
 Null URLs and URLs without ``://`` have empty host and path, fit no rule and are
 judged by the model like others. Where the labelled URLs are all of one verdict
 that verdict stands, and where there is none, ``allow``. Repeated URLs get equal
-verdicts. An empty table gives no rows.
+verdicts. A long URL is judged by expressions within its row. Only ``keep`` and the url are read, so other columns may have
+any name. An empty table gives no rows.
 """
 
 from __future__ import annotations
