@@ -128,6 +128,8 @@ ORACLE: dict[str, str] = {
     "section_key": f"select reservation_id, {KEY} from ({CMD})",
     "command_sequence": f"""select reservation_id, event_id, section,
   row_number() over (partition by event_id, section order by ts, reservation_id) as seq from ({CMD})""",
+    "commands_of_requests": CMD,
+    "live_request_ids": "select count(*) as requests, true as distinct_ids, true as well_formed from events",
     "seat_number": "select o_orderkey as id, (o_orderkey % 24 + 1)::int as number from orders",
     "epoch_round_trip": """select event_id::varchar as reservation_id, epoch_us(ts) // 1000 as millis,
   date_trunc('millisecond', ts) as instant, ts::date as day from events""",

@@ -28,7 +28,7 @@ from parterre.operators import tables as T
 from parterre.operators.running import sequence_number
 from parterre.schemas import AVAILABLE, COMMAND, SECTION, SECTION_INIT, TICKET_STATUSES
 from parterre.session import fresh_path, materialize
-from parterre.sources.files import publish, read_log
+from parterre.sources.files import commands_from_requests, publish, read_log
 from parterre.sources import wire as W
 from parterre.sources.fixtures import CUT_TS, INIT_TS, Tables
 from parterre.sources.history import History
@@ -90,6 +90,21 @@ def command_sequence(t: Tables) -> DataFrame:
     return sequence_number(narrow, SECTION, ["ts", "reservation_id"], "seq").drop("ts")
 
 
+@query
+def commands_of_requests(t: Tables) -> DataFrame:
+    """Commands built of requests, with ids and times from outside."""
+    asked = t.commands.select(F.col("reservation_id").alias("id"), "event_id", "section", "seat_count", "user_id", F.col("ts").alias("at"))
+    return commands_from_requests(asked, F.col("id"), F.col("at"))
+
+
+@query
+def live_request_ids(t: Tables) -> DataFrame:
+    """Ids drawn for live requests: are they all different, and well formed?"""
+    drawn = commands_from_requests(t.commands.drop("reservation_id", "ts"))
+    return drawn.agg(F.count(F.lit(1)).alias("requests"), (F.countDistinct("reservation_id") == F.count(F.lit(1))).alias("distinct_ids"),
+                     F.every(F.col("reservation_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")).alias("well_formed"))
+
+
 @query
 def seat_number(t: Tables) -> DataFrame:
     return t.tickets.select("id", S.seat_number(F.col("seat_number")).alias("number"))
