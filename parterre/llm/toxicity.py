@@ -104,12 +104,14 @@ def train(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
     toxic_texts, ordinary_texts = sorted(set(toxic_texts)), sorted(set(ordinary_texts))
     if not toxic_texts or not ordinary_texts:
         return None
-    lists = [windows_of(t) for t in toxic_texts], [windows_of(t) for t in ordinary_texts]
-    sets = [set(x) for x in lists[0]], [set(x) for x in lists[1]]
+    known: dict[bytes, bytes] = {}  # each word is held once, however often it stands in the sample
+    words_of = lambda text: [known.setdefault(w, w) for w in windows_of(text)]
+    toxic_lists = [words_of(t) for t in toxic_texts]
+    sets = [set(x) for x in toxic_lists], [set(words_of(t)) for t in ordinary_texts]
     seen = [Counter(w for s in part for w in s) for part in sets]
     n = [len(part) for part in sets]
     # a passage that copies repeat puts a word after the same one each time: different words before it are counted
-    contexts = Counter(w for _, w in {pair for x in lists[0] for pair in zip([b"", *x], x)})
+    contexts = Counter(w for _, w in {pair for x in toxic_lists for pair in zip([b"", *x], x)})
     contrast = {w: c for w in seen[0] if (c := min(seen[0][w], contexts[w])) >= SEEN and c / n[0] >= CONTRAST * (seen[1][w] + 0.5) / n[1]}
     by_count = lambda words: sorted(words, key=lambda w: (words[w], w))  # noqa: E731  the most frequent last, nearest to the text
     # neighbours share their delimiter
