@@ -14,8 +14,8 @@ then by counts). Shingles in unusually many documents come last in the order, so
 shared passages don't gather their documents; the counts behind it are over all
 documents, in a sketch of fixed size, and any error in them costs time only.
 
-Pairs that survive meet the same bound once more on finer counts (a group for
-every four to eight shingles), and what is left is verified on the full sets. A shingle with up to
+Pairs that survive meet the same bound once more on finer counts (as many
+groups as shingles, each empty, with one or with more), and what is left is verified on the full sets. A shingle with up to
 ``LEAF`` sets gives all its surviving pairs. In a larger one, first each set is
 only paired with the first in a fixed order of those near it in the tree. The
 order is the same under every shingle, so a group of copies meets at few of its
@@ -42,17 +42,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parterre.llm.common import bitmap_of, store, travels
+from parterre.llm.common import bitmap_of, in_bitmap, store, travels
 from parterre.llm.text import codes, grouped, mixed, span_hashes, words
 
 travels(__name__, "parterre.llm.common", "parterre.llm.text")
 
 WORDS, PERCENT = 5, 80
 GROUPS, LEAF, BLOCK = 8, 8, 512
+#: Blocks between which components are joined are this much larger: a set is copied once for each block of its shingle.
+WIDER = 4
 #: Share of its size by which a set is near another, if the bound allows it.
 NEAR = 0.9
 #: Buckets of the sketch of document frequencies, and bits of the bitmap of wanted classes: fixed sizes.
 SKETCH, BITMAP = 1 << 18, 1 << 22
+#: Pairs (or words of their points) that a task compares at once.
+PAIRS = 1 << 19
 
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
@@ -99,22 +103,17 @@ def point(shingles: np.ndarray) -> int:
 
 
 def fine_point(shingles: np.ndarray) -> bytes:
-    """Counts of as many groups as there are shingles to eight, up to the next power of two, in a byte each."""
-    groups = 1 << max(3, int(len(shingles) // 8).bit_length())
+    """Which of the fine groups hold a shingle, and which hold two: two planes of bits. There are as many groups as
+    shingles, up to the next power of two."""
+    groups = 1 << max(8, len(shingles).bit_length())
     counts = np.bincount(((shingles >> np.uint64(20)) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    return np.packbits(np.concatenate([counts > 0, counts > 1]), bitorder="little").tobytes()
 
 
 def fine_bound(x: bytes, y: bytes, m: int, n: int) -> int:
-    """The most that sets of ``m`` and ``n`` can share by their fine points; 255 stands for any number."""
-    parts = []
-    for raw, size in ((x, m), (y, n)):
-        counts = np.frombuffer(raw, np.uint8).astype(np.int64)
-        parts.append(np.where(counts == 255, size, counts))
-    few = min(map(len, parts))
-    # the low bits are the group: halves fall together
-    x_few, y_few = (v.reshape(-1, few).sum(axis=0) for v in parts)
-    return int(np.minimum(x_few, y_few).sum())
+    """The most that sets of ``m`` and ``n`` can share by their fine points."""
+    table = FineCounts([x, y], np.array([m, n]))
+    return int(table.bounds(np.array([0]), np.array([1]))[0])
 
 
 def unit_of(n):
@@ -146,39 +145,59 @@ class CountTree:
         strips[by_size] = strip
         self.order = np.lexsort((self.at[:, spread[1]], self.at[:, spread[0]], strips))
         edges = np.arange(0, len(sizes), LEAF)
-        self.leaves = np.split(self.order, edges[1:])
-        self.most = np.stack([self.at[x].max(axis=0) for x in self.leaves])
-        self.low = np.array([self.sizes[x].min() for x in self.leaves])
-        self.high = np.array([self.sizes[x].max() for x in self.leaves])
+        self.filled = np.diff(edges, append=len(sizes))
+        self.most = np.maximum.reduceat(self.at[self.order], edges, axis=0)
+        self.low, self.high = (f.reduceat(sizes[self.order], edges) for f in (np.minimum, np.maximum))
 
     def near(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Other entries whose bound lets them reach the needed overlap with ``k``, and the Jaccard that it allows."""
-        n, own, p = self.sizes[k], self.at[k], self.percent
+        _, entries, ratio = self._near(np.array([k]))
+        return entries, ratio
+
+    def all_near(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``near`` of every entry, as arrays (entry, other, ratio), for as many entries at once as give up to PAIRS pairs."""
+        step = max(1, PAIRS // max(1, len(self.sizes)))
+        for begin in range(0, len(self.sizes), step):
+            yield self._near(np.arange(begin, min(begin + step, len(self.sizes))))
+
+    def _near(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, n = self.percent, self.sizes[rows][:, None]
         open_ = (100 * self.high >= p * n) & (p * self.low <= 100 * n)
-        least = needed(n, np.maximum(self.low, -(-p * n // 100)), p)
-        open_ &= np.minimum(own, self.most).sum(axis=1) >= least
-        if not open_.any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        entries = np.concatenate([self.leaves[i] for i in np.flatnonzero(open_)])
-        m = self.sizes[entries]
-        bound = np.minimum(own, self.at[entries]).sum(axis=1)
-        fits = (bound >= needed(n, m, p)) & (100 * np.minimum(m, n) >= p * np.maximum(m, n)) & (entries != k)
-        entries, m, bound = entries[fits], m[fits], np.minimum(bound[fits], np.minimum(m[fits], n))
-        return entries, bound / (m + n - bound)
+        at, leaf = np.nonzero(open_)
+        k = rows[at]
+        least = needed(self.sizes[k], np.maximum(self.low[leaf], -(-p * self.sizes[k] // 100)), p)
+        fits = np.minimum(self.at[k], self.most[leaf]).sum(axis=1) >= least
+        k, leaf = k[fits], leaf[fits]
+        lengths = self.filled[leaf]
+        i = np.repeat(k, lengths)
+        places = np.arange(len(i)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        j = self.order[np.repeat(leaf * LEAF, lengths) + places]
+        n, m = self.sizes[i], self.sizes[j]
+        fits = (100 * np.minimum(m, n) >= p * np.maximum(m, n)) & (i != j)
+        i, j, m, n = i[fits], j[fits], m[fits], n[fits]
+        bound = np.minimum(self.at[i], self.at[j]).sum(axis=1)
+        fits = bound >= needed(n, m, p)
+        i, j, m, n = i[fits], j[fits], m[fits], n[fits]
+        bound = np.minimum(bound[fits], np.minimum(m, n))
+        return i, j, bound / (m + n - bound)
 
     def first_near(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of each entry and the first before it in ``order`` that is near, or else that its bound allows."""
         pairs = []
-        for k in range(len(self.sizes)):
-            entries, ratio = self.near(k)
-            before = order[entries] < order[k]
-            entries, ratio = entries[before], ratio[before]
-            if (ratio >= NEAR).any():
-                entries = entries[ratio >= NEAR]
-            if len(entries):
-                pairs.append((k, entries[np.argmin(order[entries])]))
-        i, j = np.array(pairs, np.int64).reshape(-1, 2).T
-        return i, j
+        for i, j, ratio in self.all_near():
+            before = order[j] < order[i]
+            i, j, ratio = i[before], j[before], ratio[before]
+            pairs.append(_first_of(i, j, np.lexsort((order[j], ratio < NEAR, i))))
+        return tuple(np.concatenate(x) for x in zip(*pairs))
+
+
+def _first_of(i: np.ndarray, j: np.ndarray, order: np.ndarray, *within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs in an ``order`` that begins with ``i`` (and ``within``), the first for each."""
+    new = np.zeros(len(i), bool)
+    new[:1] = True
+    for column in (i, *within):
+        new[1:] |= column[order][1:] != column[order][:-1]
+    return i[order][new], j[order][new]
 
 
 POSTING = "slot long, a long, b long, point long"  # slot: 40 bits of the shingle, 24 bits of the set's size
@@ -266,51 +285,73 @@ def _search(percent: int):
 
 
 class FineCounts:
-    """The fine points of a run's sets, to be compared at the fewer groups of a pair."""
-
-    def __init__(self, raw: np.ndarray, sizes: np.ndarray) -> None:
-        self.length = np.array([len(x) for x in raw])
-        self.at: dict[int, np.ndarray] = {}
+    """The fine points of sets, to be compared at the fewer groups of a pair. A set is kept at its own number of
+    groups and at half of it; sets of a pair differ less in size."""
+
+    def __init__(self, raw: list[bytes] | np.ndarray, sizes: np.ndarray) -> None:
+        self.length = np.array([len(x) for x in raw], np.int64)
+        self.place: dict[int, np.ndarray] = {}
+        self.planes: dict[int, np.ndarray] = {}
+        self.rest: dict[int, np.ndarray] = {}
         for few in np.unique(self.length).tolist():
-            rows = np.flatnonzero((self.length == few) | (self.length == 2 * few))
-            table = np.zeros((len(raw), few), np.int32)
-            for k in rows.tolist():
-                counts = np.frombuffer(raw[k], np.uint8).astype(np.int32)
-                table[k] = np.where(counts == 255, sizes[k], counts).reshape(-1, few).sum(axis=0)
-            self.at[few] = table
-
-    def bounds(self, k: int, entries: np.ndarray) -> np.ndarray:
-        """What entry ``k`` can share with others of its own, half or twice the number of groups; more for any other."""
-        out = np.full(len(entries), 1 << 30)
-        few = np.minimum(self.length[entries], self.length[k])
-        for size in np.unique(few).tolist():
-            at = np.flatnonzero((few == size) & (np.maximum(self.length[entries], self.length[k]) <= 2 * size))
-            out[at] = np.minimum(self.at[size][k], self.at[size][entries[at]]).sum(axis=1)
+            same, twice = np.flatnonzero(self.length == few), np.flatnonzero(self.length == 2 * few)
+            words_ = few // 16  # of a plane
+            full = np.frombuffer(b"".join(raw[k] for k in same.tolist()), np.uint64).reshape(-1, 2, words_)
+            wide = np.frombuffer(b"".join(raw[k] for k in twice.tolist()), np.uint64).reshape(-1, 2, 2, words_)
+            # the low bits are the group: halves fall together
+            one, two = wide[:, 0], wide[:, 1]
+            folded = np.stack([one[:, 0] | one[:, 1], two[:, 0] | two[:, 1] | (one[:, 0] & one[:, 1])], axis=1)
+            rows = np.concatenate([same, twice])
+            planes = np.concatenate([full, folded]).reshape(len(rows), -1)
+            self.place[few] = np.full(len(raw), -1)
+            self.place[few][rows] = np.arange(len(rows))
+            self.planes[few] = planes
+            # third and further shingles of a group are not told apart
+            self.rest[few] = sizes[rows] - np.bitwise_count(planes).sum(axis=1, dtype=np.int64)
+
+    def bounds(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """What the entries of each pair can share; more than any size where their numbers of groups are too different."""
+        out = np.full(len(i), 1 << 60)
+        few = np.minimum(self.length[i], self.length[j])
+        fits = np.maximum(self.length[i], self.length[j]) <= 2 * few
+        for size in np.unique(few[fits]).tolist():
+            every = np.flatnonzero(fits & (few == size))
+            for at in np.array_split(every, max(1, len(every) * (size // 8) // PAIRS)):
+                x, y = self.place[size][i[at]], self.place[size][j[at]]
+                both = np.bitwise_count(self.planes[size][x] & self.planes[size][y]).sum(axis=1, dtype=np.int64)
+                out[at] = both + np.minimum(self.rest[size][x], self.rest[size][y])
         return out
 
 
-def _across(columns: list[np.ndarray], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one cell between different components: all, or each set's best in each component."""
+def _across(columns: list[np.ndarray], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs of one cell between different components: all, or each set's best in each component; and whether
+    there are others."""
     points, sizes, component, own, i_block, j_block, raw = columns[4:]
-    tree, fine, found = CountTree(sizes, points, percent), FineCounts(raw, sizes), []
-    for k in range(1, len(sizes)):
-        near, _ = tree.near(k)
-        near = near[(near < k) & (component[near] != component[k]) & ((i_block[k] == j_block[k]) | (own[near] != own[k]))]
-        bound = fine.bounds(k, near)
-        fits = bound >= needed(sizes[near], sizes[k], percent)
-        near, bound = near[fits], bound[fits]
-        if best and len(near) > 1:
-            order = np.lexsort((-bound / (sizes[near] + sizes[k]), component[near]))
-            near = near[order][np.concatenate(([True], np.diff(component[near][order]) != 0))]
-        if len(near):
-            found.append((np.full(len(near), k), near))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found))
+    if (component == component[0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    tree, fine, found, more = CountTree(sizes, points, percent), FineCounts(raw, sizes), [], False
+    for i, j, _ in tree.all_near():
+        once = (j < i) & (component[j] != component[i]) & ((i_block[i] == j_block[i]) | (own[j] != own[i]))
+        i, j = i[once], j[once]
+        bound = fine.bounds(i, j)
+        fits = bound >= needed(sizes[j], sizes[i], percent)
+        i, j, bound = i[fits], j[fits], bound[fits]
+        if best:
+            every = len(i)
+            i, j = _first_of(i, j, np.lexsort((-bound / (sizes[j] + sizes[i]), component[j], i)), component[j])
+            more |= len(i) < every
+        found.append((i, j))
+    return *(np.concatenate(x) for x in zip(*found)), more
 
 
 def _search_across(percent: int, best: bool):
-    """Candidate pairs of rows that are sorted by shingle and block pair."""
+    """Candidate pairs of rows that are sorted by shingle and block pair, and the shingles that have more of them."""
+    def found(cell: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        i, j, more = _across(cell, percent, best)
+        pairs = _pair_batch(cell[2], cell[3], i, j)
+        marks = pa.array([None] * len(pairs) + [int(cell[0][0])] * more, pa.int64())
+        return pa.RecordBatch.from_arrays([*(pa.concat_arrays([c, pa.nulls(int(more), pa.int64())]) for c in pairs.columns), marks], [*pairs.schema.names, "open"])
+
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -322,18 +363,18 @@ def _search_across(percent: int, best: bool):
             edges = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
             parts = [np.split(c, edges) for c in columns]
             for cell in list(zip(*parts))[:-1]:
-                yield _pair_batch(cell[2], cell[3], *_across(cell, percent, best))
+                yield found(cell)
             held = [part[-1] for part in parts]
         if held is not None:
-            yield _pair_batch(held[2], held[3], *_across(held, percent, best))
+            yield found(held)
     return search
 
 
 def _profiles(n_words: int):
-    """(doc_id, n, a, b, fine) of each row, and at a task's end (bucket, count) where its share of the sketch is far above the mean."""
+    """(doc_id, n, a, b, fine, t) of each row (``t``: the text's hash), and at a task's end (bucket, count) where its share of the sketch is far above the mean."""
     def profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(SKETCH, np.int64)
-        names = ["doc_id", "n", "a", "b", "fine", "bucket", "count"]
+        names = ["doc_id", "n", "a", "b", "fine", "t", "bucket", "count"]
         for batch in batches:
             for at, data, offsets in grouped(batch.column(1)):
                 sets = shingle_sets(data, offsets, n_words)
@@ -346,10 +387,10 @@ def _profiles(n_words: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([x for x, _ in signs], pa.int64()), pa.array([x for _, x in signs], pa.int64()),
-                     pa.array([fine_point(s) for s in sets], pa.binary()), none, none], names)
+                     pa.array([fine_point(s) for s in sets], pa.binary()), batch.column(2).slice(at, len(sets)), none, none], names)
         heavy = np.flatnonzero(sketch >= 16 + 4 * sketch.mean())
         none = pa.nulls(len(heavy), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(heavy), pa.binary()), pa.array(heavy), pa.array(sketch[heavy])], names)
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(heavy), pa.binary()), none, pa.array(heavy), pa.array(sketch[heavy])], names)
     return profiles
 
 
@@ -381,15 +422,16 @@ def _postings(levels: np.ndarray, n_words: int, percent: int):
 
 
 def _wanted_sets(bitmap: np.ndarray, n_words: int):
+    """The sets of texts whose hash is in the bitmap; the others are passed over as they are."""
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
+            batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column(1).to_numpy() % BITMAP)))
             for _, data, offsets in grouped(batch.column(0)):
                 rows = []
                 for s in shingle_sets(data, offsets, n_words):
                     sign = signature(s)
-                    bit = sign[0] % BITMAP
-                    if len(s) and (bitmap[bit >> 3] >> (bit & 7)) & 1 and sign not in seen:
+                    if len(s) and sign not in seen:
                         seen.add(sign)
                         rows.append((*sign, s.tobytes()))
                 if len(seen) > 200_000:
@@ -427,12 +469,12 @@ def refined_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return store(full.select("a1", "b1", "a2", "b2", "f1", "f2", "n1", "n2").mapInArrow(_refined(percent), PAIR), "join-refined")
 
 
-def links_of(docs: DataFrame, pairs: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a1", "a2")).alias("a"))
-    bitmap = bitmap_of(ends.select(F.pmod("a", F.lit(BITMAP)).alias("bit")), BITMAP)
-    sets = docs.select("text").mapInArrow(_wanted_sets(bitmap, n_words), "a long, b long, shingles binary")
-    sets = sets.join(ends_of(pairs), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("shingles").alias("shingles"))
+def links_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough; ``classes`` has (a, b, t), ``t`` the hash of a text with that set."""
+    ends = store(classes.select("a", "b", "t").join(ends_of(pairs).hint("merge"), ["a", "b"]), "join-ends")
+    bitmap = bitmap_of(ends.select(F.pmod("t", F.lit(BITMAP)).alias("bit")), BITMAP)
+    sets = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(_wanted_sets(bitmap, n_words), "a long, b long, shingles binary")
+    sets = sets.join(ends, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("shingles").alias("shingles"))
     sets = store(sets, "join-sets")
     side = lambda k: sets.select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"), F.col("shingles").alias(f"s{k}"))
     full = pairs.hint("merge").join(side(1), ["a1", "b1"]).join(side(2).hint("merge"), ["a2", "b2"]).select("a1", "b1", "a2", "b2", "s1", "s2")
@@ -468,26 +510,33 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def pairs_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of sets of different components under one shingle that both bounds let through."""
-    token = F.shiftright("slot", 24)
-    placed = shared.join(names, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.concat_ws(":", "a", "b"))).withColumn("token", token)
-    open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where(
-        (F.col("n") > LEAF) & (F.col("c1") != F.col("c2"))).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    """Pairs of sets of different components under one shingle that both bounds let through; and in rows of their own,
+    as ``open``, the shingles for which only the best were given."""
+    name = F.coalesce("c", F.concat_ws(":", "a", "b"))
+    placed = store(shared.join(names, ["a", "b"], "left").select(
+        F.shiftright("slot", 24).alias("token"), "slot", "a", "b", "point", F.xxhash64(name).alias("c")), "join-placed")
+    # shingles with the same sets ask the same: one of them is enough. Sums of 30 bits don't overflow
+    h1, h2 = F.xxhash64("a", "b"), F.xxhash64("b", "a")
+    parts = {f"s{k}": F.sum(x) for k, x in enumerate(f(h) for h in (h1, h2) for f in (
+        lambda h: F.shiftrightunsigned(h, 34), lambda h: h.bitwiseAND(F.lit((1 << 30) - 1))))}
+    open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"), *[x.alias(k) for k, x in parts.items()]).where(
+        (F.col("n") > LEAF) & (F.col("c1") != F.col("c2"))).groupBy("n", *parts).agg(F.min("token").alias("token")).select(
+        "token", F.ceil(F.col("n") / (WIDER * BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
     members = placed.join(open_, "token").withColumn("own", own).join(classes.select("a", "b", "fine").hint("merge"), ["a", "b"])
     # every set goes to the pairs of its block with each block
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("cell"), "a", "b", "point",
-        F.col("slot").bitwiseAND(F.lit(_SIZE)).alias("size"), F.xxhash64("c").alias("c"), "own",
+        F.col("slot").bitwiseAND(F.lit(_SIZE)).alias("size"), "c", "own",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fine")
     return dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", "size").mapInArrow(
-        _search_across(percent, best), PAIR).distinct()
+        _search_across(percent, best), PAIR + ", open long").distinct()
 
 
 def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    rows = docs.select("doc_id", "text")
-    profile = store(rows.mapInArrow(_profiles(n_words), "doc_id long, n long, a long, b long, fine binary, bucket long, count long"), "join-profiles")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    profile = store(rows.mapInArrow(_profiles(n_words), "doc_id long, n long, a long, b long, fine binary, t long, bucket long, count long"), "join-profiles")
     heavy = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("n"))
     levels = np.zeros(SKETCH, np.uint8)
     for row in heavy.collect():  # at most SKETCH rows
@@ -497,22 +546,25 @@ def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
     shared = store(dealt.mapInArrow(_shared, POSTING), "join-shared")
     again = lambda df: df.repartition(F.shiftright("slot", 24)).sortWithinPartitions("slot", "a", "b")
     pairs = store(again(shared).mapInArrow(_search(percent), PAIR).distinct(), "join-pairs")
-    classes = profile.where("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("fine").alias("fine"))
-    links = store(links_of(docs, refined_pairs(pairs, classes, percent), n_words, percent), "join-links")
+    classes = profile.where("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("fine").alias("fine"), F.min("t").alias("t"))
+    links = store(links_of(docs, refined_pairs(pairs, classes, percent), classes, n_words, percent), "join-links")
     names = store(connected(links), "join-components")
 
     # shingles with more sets than a leaf and with several components left: first the best pair of a set and another
     # component, which joins nearly all that can be joined, then every pair that is still between components
     tried = pairs
     for best in (True, False):
-        across = store(pairs_across(shared, names, classes, percent, best).join(tried, ["a1", "b1", "a2", "b2"], "left_anti"), "join-pairs")
-        if across.isEmpty():
-            continue
-        tried = tried.unionByName(across)
-        links = store(links.unionByName(links_of(docs, across, n_words, percent)), "join-links")
-        names = store(connected(links), "join-components")
-
-    own_rows = profile.where("bucket is null").drop("fine")
+        found = store(pairs_across(shared, names, classes, percent, best), "join-across")
+        new = store(found.where("open is null").drop("open").join(tried, ["a1", "b1", "a2", "b2"], "left_anti"), "join-pairs")
+        if not new.isEmpty():
+            tried = tried.unionByName(new)
+            links = store(links.unionByName(links_of(docs, new, classes, n_words, percent)), "join-links")
+            names = store(connected(links), "join-components")
+        # the second time only where the first left pairs out
+        left = store(found.where("open is not null").select(F.col("open").alias("token")).distinct(), "join-open")
+        shared = shared.join(left, F.shiftright("slot", 24) == F.col("token"), "left_semi")
+
+    own_rows = profile.where("bucket is null").drop("fine", "t")
     named = own_rows.join(names, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.concat_ws(":", "a", "b")))
     least = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "c", "left").select(
