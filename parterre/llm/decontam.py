@@ -18,7 +18,7 @@ any name. An empty table of documents gives no rows, an empty benchmark zeros.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parterre.llm.common import ascii_lower, let, matches, row_key, store
@@ -102,16 +102,14 @@ def _judge(doc_words: Column) -> Column:
 
 
 def near_matches(items: DataFrame, postings: DataFrame, within: int = 30, least: int = 5, rarest: int = 8) -> DataFrame:
-    """(key, item, n_terms): at least ``least`` of an item's ``rarest`` terms within one block of ``within`` positions.
+    """(key, item, n_terms): at least ``least`` of an item's ``rarest`` terms within ``within`` consecutive positions.
 
-    Blocks overlap by half, so any stretch of ``within / 2`` words lies whole in one of them.
+    Each such stretch can begin at one of the terms, so a window over sorted positions meets all of them.
     """
     seen = postings.groupBy("term").agg(F.count("*").alias("n"))
     rare = items.select("item", F.explode(F.array_distinct("words")).alias("term")).join(seen, "term").groupBy("item").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("n", "term"))), 1, rarest).alias("rare"))
     terms = store(rare.select("item", F.explode("rare.term").alias("term")), "decontam-near")
-    half = max(1, within // 2)
-    block = F.floor(F.col("pos") / half)
-    placed = postings.join(terms, "term").select("key", "item", "term", F.explode(F.array(block - 1, block)).alias("block"))
-    return placed.groupBy("key", "item", "block").agg(F.size(F.collect_set("term")).alias("n_terms")).where(
-        F.col("n_terms") >= least).groupBy("key", "item").agg(F.max("n_terms").alias("n_terms"))
+    ahead = Window.partitionBy("key", "item").orderBy("pos").rangeBetween(0, within - 1)
+    placed = postings.join(terms, "term").select("key", "item", F.size(F.collect_set("term").over(ahead)).alias("n_terms"))
+    return placed.where(F.col("n_terms") >= least).groupBy("key", "item").agg(F.max("n_terms").alias("n_terms"))

@@ -266,6 +266,22 @@ def test_near_matches(spark):
     assert [(r.key, r.n_terms) for r in found.collect()] == [(1, 5)]
 
 
+def test_near_matches_find_every_span_up_to_the_limit(spark):
+    names = "alpha beta gamma delta epsilon".split()
+    items = decontam.item_table(spark.createDataFrame([(1, " ".join(names))], "item_id long, text string"))
+    rng, rows, spans = random.Random(4), [(0, None), (1, "")], {}
+    for key in range(2, 40):
+        at = [10, 16, 22, 28, 35] if key == 2 else sorted(rng.sample(range(60), 5))
+        line = ["x"] * 70
+        for place, name in zip(at, names):
+            line[place] = name
+        rows.append((key, " ".join(line)))
+        spans[key] = at[-1] - at[0] + 1
+    docs = spark.createDataFrame(rows, "key long, text string")
+    found = decontam.near_matches(items, decontam.build_index(docs, items), within=30, least=5)
+    assert {r.key for r in found.collect()} == {k for k, span in spans.items() if span <= 30}
+
+
 def plain_counts(text):
     text = text or ""
     w = WORD.findall(text)
