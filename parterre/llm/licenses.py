@@ -1,11 +1,12 @@
 """License scan: segments of a text against licence templates, by Dice over word bigrams.
 
 A segment is a line, a block of lines up to a blank one, or a sentence of a block
-that speaks of licences (inside a line or wrapped over several). Its normal form is
+(inside a line or wrapped over several). Its normal form is
 its words, lower-cased, without marks. Each segment's bigrams meet the
 templates' in one equi-join; a template is only a candidate for segments whose
-number of bigrams lies between ``t / (2 - t)`` and ``(2 - t) / t`` times its
-own, as no other pair can reach Dice ``t``.
+number of bigrams lets the pair reach the Dice wanted, by the same division that
+judges the pair. Before that, segments without any of the templates' cue words are
+passed over: without one, too few of any template's bigrams are left to share.
 
 Every row gets one row. Null and empty texts have no segment and no licence; ties
 between templates go to the first name. Rows that repeat an id and text have equal
@@ -15,6 +16,8 @@ results. A long text is taken apart within one task; the work grows with its len
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,13 +86,45 @@ FORMS = ("Licensed under {}.", "Released under {}.", "Distributed under {}.", "T
          "This software is released under {}.", "The code is licensed under {}.")
 TEMPLATES = {name: NOTICES[name] + tuple(form.format(called) for form in FORMS for called in NAMES.get(name, ()))
              for name in NOTICES}
-#: A block without any of these has no sentence that is like a template.
-SPEAKS = r"(?i)licen[cs]|reserved|public domain|permission|redistribut|source code form|released under"
+#: Words that are cues only where no others suffice, since most texts hold them; this affects time only.
+COMMON = frozenset("a an and any are as at be by for in is it not of on or that the this to under with you".split())
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def cue_words(templates: dict[str, tuple[str, ...]], dice: float) -> set[str]:
+    """Words of which every segment that reaches ``dice`` with a template holds at least one: fewer of a template's
+    bigrams are without them than such a segment shares."""
+    cues: set[str] = set()
+    for text in sorted((t for texts in templates.values() for t in texts), key=lambda t: (len(t), t)):
+        words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        pairs = set(zip(words, words[1:]))
+        # a segment of just the shared bigrams needs the fewest
+        shared = next((n for n in range(1, len(pairs) + 1) if 2 * n / (n + len(pairs)) >= dice), None)
+        if shared is None:
+            continue
+        rest = {p for p in pairs if not cues.intersection(p)}
+        for word in sorted(set(words) - cues, key=lambda w: (w in COMMON, -len(w), w)):
+            if len(rest) < shared:
+                break
+            if any(word in p for p in rest):
+                cues.add(word)
+                rest = {p for p in rest if word not in p}
+    return cues
+
+
+def cue_pattern(templates: dict[str, tuple[str, ...]], dice: float) -> str:
+    """A pattern that is found wherever a cue word is. Words of four letters and more are found inside others too."""
+    cues = cue_words(templates, dice)
+    inside = {w for w in cues if len(w) > 3}
+    part = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+    forms = sorted(w for w in inside if not any(x != w and x in w for x in inside)) + [
+        f"(?<!{part}){w}(?!{part})" for w in sorted(cues - inside)]
+    return f"(?i)(?:{'|'.join(forms)})" if forms else "(?!)"
 
 
 def bigrams(text: Column) -> Column:
     """The distinct pairs of neighbouring words, as hashes."""
-    words = matches(ascii_lower(text), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = matches(ascii_lower(text), WORD)
     return let(words, lambda w: F.array_distinct(F.when(F.size(w) < 2, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i))))))
 
@@ -105,27 +140,26 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLA
                  keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, licenses (sorted names, the nearest of each segment), n_segments that match one,
     best_license and best_dice."""
-    low, high = dice / (2 - dice), (2 - dice) / dice
     known = template_table(docs.sparkSession, templates)
+    cues = cue_pattern(templates, dice)
     text = F.coalesce("text", F.lit(""))
+    cued = F.filter(F.split(text, r"\n[\x20\x09\x0D]*\n"), lambda x: x.rlike(cues))
     lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("at"), x.alias("part")))
-    blocks = F.transform(F.filter(F.split(text, r"\n[\x20\x09\x0D]*\n"), lambda x: x.contains("\n")),
-                         lambda x, i: F.struct((-1 - i).alias("at"), x.alias("part")))
-    speaking = F.filter(F.split(text, r"\n[\x20\x09\x0D]*\n"), lambda x: x.rlike(SPEAKS))
-    sentences = F.flatten(F.transform(speaking, lambda x: F.split(x, r"(?<=[.!?;])[\x20\x09-\x0D]+")))
-    sentences = F.transform(F.when(text.rlike(SPEAKS), sentences).otherwise(F.array().cast("array<string>")),
-                            lambda x, i: F.struct((-1_000_000_000 - i).alias("at"), x.alias("part")))
-    sentences = F.filter(sentences, lambda x: x["part"].rlike(SPEAKS))
+    blocks = F.transform(F.filter(cued, lambda x: x.contains("\n")), lambda x, i: F.struct((-1 - i).alias("at"), x.alias("part")))
+    sentences = F.flatten(F.transform(cued, lambda x: F.split(x, r"(?<=[.!?;])[\x20\x09-\x0D]+")))
+    sentences = F.transform(sentences, lambda x, i: F.struct((-1_000_000_000 - i).alias("at"), x.alias("part")))
+    parts = F.filter(F.concat(lines, blocks, sentences), lambda x: x["part"].rlike(cues))
     keyed = docs.select(F.struct(*keep).alias("kept"), "text", row_key(docs).alias("key"))
-    segments = keyed.select("key", F.explode(F.concat(lines, blocks, sentences)).alias("s")).select(
+    segments = keyed.where(text.rlike(cues)).select("key", F.explode(parts).alias("s")).select(
         "key", "s.at", bigrams(F.col("s.part")).alias("pairs")).withColumn("size", F.size("pairs"))
     bounds = known.agg(F.min("template_size").alias("a"), F.max("template_size").alias("b")).first()
-    if bounds["a"] is None:
-        bounds = {"a": 1, "b": 0}
-    fit = segments.where(F.col("size").between(bounds["a"] * low, bounds["b"] * high))
+    # the same division as below: sizes are never turned down that the shared bigrams would let reach it
+    reach = lambda n, m: 2 * F.least(n, m) / (n + m) >= dice
+    size, least, most = F.col("size"), F.lit(bounds["a"] or 1), F.lit(bounds["b"] or 1)
+    fit = segments.where((size > 0) & ((size >= least) | reach(size, least)) & ((size <= most) | reach(size, most)))
     # templates are a fixed list, whatever the size of the corpus
     met = fit.select("key", "at", "size", F.explode("pairs").alias("pair")).join(F.broadcast(known), "pair").where(
-        F.col("size").between(F.col("template_size") * low, F.col("template_size") * high))
+        reach(size, F.col("template_size")))
     # rows that repeat an id and text share a key: a pair counts once
     value = 2 * F.countDistinct("pair") / (F.col("size") + F.col("template_size"))
     scored = met.groupBy("key", "at", "license", "variant", "size", "template_size").agg(value.alias("dice")).where(

@@ -1,5 +1,6 @@
 """Texts that are costly for careless patterns, and rows that repeat."""
 
+import random
 import re
 import time
 
@@ -53,6 +54,27 @@ def test_licenses_against_plain_dice(spark):
         assert (r.best_dice or 0.0) == (best if best >= licenses.DICE else 0.0) and (r.best_dice or 0.0) <= 1.0
 
 
+def test_licenses_at_the_threshold_and_without_licence_words(spark):
+    clause = ("Distribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+              "conditions are met:")
+    texts = ["All rights reserved worldwide.", "It starts here. " + clause + "\nand it goes on", "First words. " + clause.replace(" forms", "\nforms"),
+             "All rights reserved by nobody.", "Now. " + clause.upper(), "Some prose about forms and conditions. Nothing else."]
+    found = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[k].licenses for k in range(6)] == ["Proprietary", "BSD-3-Clause", "BSD-3-Clause", "", "BSD-3-Clause", ""]
+    assert (found[0].best_dice, found[0].n_segments, found[2].n_segments) == (0.8, 2, 2)
+    # given templates and thresholds: each pair of a text and a template that reaches the threshold is met
+    rng = random.Random(5)
+    words = ["é", "一", "cc", "alpha", "beta", "gamma", "alphabet", "x", "under", "the"]
+    sentence = lambda most: " ".join(rng.choice(words) for _ in range(rng.randrange(2, most)))
+    templates = {f"t{k}": (sentence(9),) for k in range(12)}
+    texts = [sentence(14).title() for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for dice in (0.3, 0.6, 0.8, 1.0):
+        for r in licenses.license_scan(frame, templates, dice).collect():
+            best = max(plain_dice(texts[r.doc_id], t) for (t,) in templates.values())
+            assert (r.best_dice or 0.0) == (best if best >= dice else 0.0)
+
+
 def test_bounds_of_enormous_sets():
     """Sets of more shingles than a posting can tell: a set still reaches the overlap with itself."""
     rng = np.random.default_rng(1)
