@@ -20,7 +20,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -104,20 +103,25 @@ def train(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
     toxic_texts, ordinary_texts = sorted(set(toxic_texts)), sorted(set(ordinary_texts))
     if not toxic_texts or not ordinary_texts:
         return None
-    known: dict[bytes, bytes] = {}  # each word is held once, however often it stands in the sample
-    words_of = lambda text: [known.setdefault(w, w) for w in windows_of(text)]
-    toxic_lists = [words_of(t) for t in toxic_texts]
-    sets = [set(x) for x in toxic_lists], [set(words_of(t)) for t in ordinary_texts]
-    seen = [Counter(w for s in part for w in s) for part in sets]
+    known: dict[bytes, int] = {}  # each word is held once and stands as its number, in arrays
+    numbers = lambda text: np.fromiter((known.setdefault(w, len(known)) for w in windows_of(text)), np.int32)
+    toxic_lists = [numbers(t) for t in toxic_texts]
+    sets = [np.unique(x) for x in toxic_lists], [np.unique(numbers(t)) for t in ordinary_texts]
     n = [len(part) for part in sets]
+    words = list(known)
+    seen = [np.bincount(np.concatenate(part), minlength=len(words)) for part in sets]
     # a passage that copies repeat puts a word after the same one each time: different words before it are counted
-    contexts = Counter(w for _, w in {pair for x in toxic_lists for pair in zip([b"", *x], x)})
-    contrast = {w: c for w in seen[0] if (c := min(seen[0][w], contexts[w])) >= SEEN and c / n[0] >= CONTRAST * (seen[1][w] + 0.5) / n[1]}
-    by_count = lambda words: sorted(words, key=lambda w: (words[w], w))  # noqa: E731  the most frequent last, nearest to the text
+    after = np.unique(np.concatenate([np.append(0, x[:-1].astype(np.int64) + 1)[: len(x)] * len(words) + x for x in toxic_lists]))
+    contexts = np.bincount(after % max(1, len(words)), minlength=len(words))
+    often = np.minimum(seen[0], contexts)
+    contrasting = (often >= SEEN) & (often / n[0] >= CONTRAST * (seen[1] + 0.5) / n[1])
+    contrast = {words[k]: int(often[k]) for k in np.flatnonzero(contrasting)}
+    usual = {words[k]: int(seen[1][k]) for k in np.flatnonzero((seen[1] >= SEEN) & ~contrasting)}
+    by_count = lambda found: sorted(found, key=lambda w: (found[w], w))  # noqa: E731  the most frequent last, nearest to the text
     # neighbours share their delimiter
-    chain = lambda words, most: b"".join([b"\n", *(w[1:] for w in words)])[-most:]
+    chain = lambda found, most: b"".join([b"\n", *(w[1:] for w in found)])[-most:]
     toxic = chain(by_count(contrast), TOXIC_BYTES)
-    common = [w for w in by_count(seen[1]) if seen[1][w] >= SEEN and w not in contrast]
+    common = by_count(usual)
     samples = [b"".join(common[k: k + 12]) for k in range(0, len(common), 12)]
     try:
         ordinary = zstandard.train_dictionary(ORDINARY_BYTES, samples).as_bytes()
@@ -125,19 +129,20 @@ def train(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
         ordinary = chain(common, ORDINARY_BYTES)
     model = Model(ordinary, toxic, {}, (0.0, 0.0, 0.0))
     lengths = model.lengths()
-    cell = {w: (min(len(w), 20), *lengths(w)) for w in seen[0].keys() | seen[1].keys()}
+    cells: dict[tuple[int, int, int], int] = {}
+    cell = np.fromiter((cells.setdefault((min(len(w), 20), *lengths(w)), len(cells)) for w in words), np.int32, len(words))
     # documents, not words, are counted: a cell's share of toxic ones against its share of ordinary ones
-    held = [Counter(c for s in part for c in {cell[w] for w in s}) for part in sets]
-    windows = [Counter(cell[w] for s in part for w in s) for part in sets]
-    for c in held[0].keys() | held[1].keys():
-        rates = [(windows[k][c] + 0.5) / (sum(windows[k].values()) + 1) for k in range(2)]
-        if held[0][c] + held[1][c] >= 3:
-            model.weights[c] = float(np.clip(np.log(rates[0] / rates[1]), -6, 6))
+    count = lambda lists: np.bincount(np.concatenate(lists), minlength=len(cells))
+    held = sum(count([np.unique(cell[s]) for s in part]) for part in sets)
+    windows = [count([cell[s] for s in part]) for part in sets]
+    rates = [(w + 0.5) / (w.sum() + 1) for w in windows]
+    weights = np.where(held >= 3, np.clip(np.log(rates[0] / rates[1]), -6, 6), 0.0)
+    model.weights = {c: float(weights[k]) for c, k in cells.items() if held[k] >= 3}
     rows, labels = [], []
     for label, part in ((1, sets[0]), (0, sets[1])):
         for s in part:
-            values = [model.weights.get(cell[w], 0.0) for w in s]
-            rows.append((1.0, max(values, default=0.0), min(12.0, sum(v for v in values if v > 2))))
+            values = weights[cell[s]]
+            rows.append((1.0, values.max() if len(values) else 0.0, min(12.0, sum(values[values > 2].tolist()))))
             labels.append(label)
     model.logistic = _fit(np.array(rows), np.array(labels, float))
     return model

@@ -1,6 +1,7 @@
 """Trained operators: gradients, held-out accuracy, rules, and what happens without labels."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -121,3 +122,15 @@ def test_trees_learn_from_the_labelled(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, bad int, ruled boolean")
     found = urls.url_filter(pages, keep=("page_id", "bad", "ruled")).where("not ruled").collect()
     assert sum((r.verdict == "block") == bool(r.bad) for r in found) >= 0.95 * len(found)
+
+
+def test_toxicity_training_holds_numbers_not_words():
+    """What the driver holds beside the texts: some bytes for each word of the sample."""
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("ba", "de", "fi", "go") for b in "aeioulmnrst" for c in ("kan", "lor", "mit", "pes", "rud", "sto", "tam", "ven")]
+    texts = [" ".join(rng.choice(words) + rng.choice("abcdefgh") for _ in range(1500)) for _ in range(300)]
+    tracemalloc.start()
+    model = toxicity.train([t + " vile" for t in texts[:150]], texts[150:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert b"\nvile\n" in model.toxic and peak < 20e6
