@@ -225,46 +225,56 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> p
     return pa.RecordBatch.from_arrays([pa.array(v) for v in once], ["a1", "b1", "a2", "b2"])
 
 
-def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Batches of whole runs of one shingle, as arrays; a run longer than BLOCK rows comes in parts."""
-    held = None
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Batches of whole runs of one shingle, as arrays, without repeats of a class in a run; a run of more than BLOCK sets
+    comes in parts, and the last array tells the rows of such runs."""
+    held, begun = None, -1
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
         if held is not None:
             columns = [np.concatenate(pair) for pair in zip(held, columns)]
+        columns = _distinct(columns)
         token = columns[0] >> 24
-        last = int(np.searchsorted(token, token[-1]))
+        last, split = int(np.searchsorted(token, token[-1])), token == begun
         if len(token) - last > BLOCK:
             # the last set stands for the part that goes ahead, so that what follows is not alone
+            split[last:], begun = True, int(token[-1])
             held, last = [c[-1:] for c in columns], len(token)
         else:
             held = [c[last:] for c in columns]
         if last:
-            yield tuple(c[:last] for c in columns)
+            yield [c[:last] for c in (*columns, split)]
     if held is not None and len(held[0]):
-        yield tuple(held)
+        yield [*held, held[0] >> 24 == begun]
 
 
-def _distinct(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Without repeats of a class in a run (rows are sorted), and without runs of one class."""
+def _distinct(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Without repeats of a class in a run (rows are sorted)."""
     slot, a, b = columns[:3]
     new = np.ones(len(slot), bool)
     new[1:] = (slot[1:] != slot[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    kept = [c[new] for c in columns]
-    token = kept[0] >> 24
+    return [c[new] for c in columns]
+
+
+def _shared(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Without runs of one class."""
+    token = columns[0] >> 24
     alone = np.ones(len(token), bool)
     alone[1:] &= token[1:] != token[:-1]
     alone[:-1] &= token[1:] != token[:-1]
-    return tuple(c[~alone] for c in kept)
+    return [c[~alone] for c in columns]
 
 
 def _search(percent: int):
-    """Candidate pairs of sorted postings: all of small runs, one for each set of large ones."""
+    """Of sorted postings, the candidate pairs (a, b, a2, b2): all of small runs, one for each set of large ones; and the
+    postings (slot, a, b, point) of large runs, whose other pairs are looked for later."""
+    names = ["slot", "a", "b", "point", "a2", "b2"]
+
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in _runs(batches):
-            slot, a, b, points = _distinct(columns)
+            slot, a, b, points, split = _shared(columns)
             if not len(slot):
                 continue
             token, sizes = slot >> 24, slot & _SIZE
@@ -278,9 +288,15 @@ def _search(percent: int):
                     rows = np.arange(max(begins[r], begin - 1), min(begin + BLOCK, begins[r] + count[r]))
                     i, j = CountTree(sizes[rows], points[rows], percent).first_near(a[rows])
                     found.append((rows[i], rows[j]))
+            # what is left of a run in parts may be few
+            large = (count[run] > LEAF) | split
+            none = pa.nulls(int(large.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[large]) for c in (slot, a, b, points)), none, none], names)
             if found:
                 i, j = (np.concatenate(x) for x in zip(*found))
-                yield _pair_batch(a, b, i, j)
+                pairs = _pair_batch(a, b, i, j)
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pairs[0], pairs[1], none, pairs[2], pairs[3]], names)
     return search
 
 
@@ -323,10 +339,10 @@ class FineCounts:
         return out
 
 
-def _across(columns: list[np.ndarray], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Candidate pairs of one cell between different components: all, or each set's best in each component; and whether
-    there are others."""
-    points, sizes, component, own, i_block, j_block, raw = columns[4:]
+def _across(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, own: np.ndarray, i_block: np.ndarray, j_block: np.ndarray,
+            raw: list[bytes], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Candidate pairs of one shingle's cell between different components: all, or each set's best in each component; and
+    whether there are others."""
     if (component == component[0]).all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64), False
     tree, fine, found, more = CountTree(sizes, points, percent), FineCounts(raw, sizes), [], False
@@ -344,29 +360,43 @@ def _across(columns: list[np.ndarray], percent: int, best: bool) -> tuple[np.nda
     return *(np.concatenate(x) for x in zip(*found)), more
 
 
-def _search_across(percent: int, best: bool):
-    """Candidate pairs of rows that are sorted by shingle and block pair, and the shingles that have more of them."""
-    def found(cell: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        i, j, more = _across(cell, percent, best)
-        pairs = _pair_batch(cell[2], cell[3], i, j)
-        marks = pa.array([None] * len(pairs) + [int(cell[0][0])] * more, pa.int64())
-        return pa.RecordBatch.from_arrays([*(pa.concat_arrays([c, pa.nulls(int(more), pa.int64())]) for c in pairs.columns), marks], [*pairs.schema.names, "open"])
+def _cells(batches: Iterable[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
+    """Runs of rows that are equal in the first ``by`` columns, as arrays; rows are sorted by these."""
+    held = None
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if held is not None:
+            columns = [np.concatenate(pair) for pair in zip(held, columns)]
+        if not len(columns[0]):
+            continue
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:by]], axis=0)) + 1
+        parts = [np.split(c, edges) for c in columns]
+        yield from list(zip(*parts))[:-1]
+        held = [part[-1] for part in parts]
+    if held is not None:
+        yield held
 
+
+def _search_across(percent: int, best: bool):
+    """Candidate pairs of rows that are sorted by group, cell and shingle, each once for a group's cell, and the shingles
+    that have more of them. A group's fine points come first, once for all its shingles."""
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            if held is not None:
-                columns = [np.concatenate(pair) for pair in zip(held, columns)]
-            if not len(columns[0]):
+        fine: dict[tuple[int, int], tuple[int, bytes]] = {}
+        given: set[int] = set()
+        for _, _, token, a, b, *columns, raw in _cells(batches, 3):
+            names = zip(a.tolist(), b.tolist())
+            if token[0] < 0:
+                fine, given = {name: (k, x) for k, (name, x) in enumerate(zip(names, raw))}, set()
                 continue
-            edges = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
-            parts = [np.split(c, edges) for c in columns]
-            for cell in list(zip(*parts))[:-1]:
-                yield found(cell)
-            held = [part[-1] for part in parts]
-        if held is not None:
-            yield found(held)
+            place, raw = zip(*(fine[name] for name in names))
+            i, j, more = _across(*columns, raw, percent, best)
+            place = np.array(place)
+            code = (np.minimum(place[i], place[j]) * len(fine) + np.maximum(place[i], place[j])).tolist()
+            fresh = np.array([k for k, x in enumerate(code) if x not in given], np.int64)
+            given.update(code)
+            pairs = _pair_batch(a, b, i[fresh], j[fresh])
+            marks = pa.array([None] * len(pairs) + [int(token[0])] * more, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.concat_arrays([c, pa.nulls(int(more), pa.int64())]) for c in pairs.columns), marks], [*pairs.schema.names, "open"])
     return search
 
 
@@ -519,17 +549,23 @@ def pairs_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percen
     h1, h2 = F.xxhash64("a", "b"), F.xxhash64("b", "a")
     parts = {f"s{k}": F.sum(x) for k, x in enumerate(f(h) for h in (h1, h2) for f in (
         lambda h: F.shiftrightunsigned(h, 34), lambda h: h.bitwiseAND(F.lit((1 << 30) - 1))))}
-    open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"), *[x.alias(k) for k, x in parts.items()]).where(
-        (F.col("n") > LEAF) & (F.col("c1") != F.col("c2"))).groupBy("n", *parts).agg(F.min("token").alias("token")).select(
-        "token", F.ceil(F.col("n") / (WIDER * BLOCK)).cast("int").alias("blocks"))
+    open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(h1).alias("first"), *[x.alias(k) for k, x in parts.items()]).where(
+        (F.col("n") > LEAF) & (F.col("c1") != F.col("c2"))).groupBy("n", "first", *parts).agg(F.min("token").alias("token")).withColumn(
+        "blocks", F.ceil(F.col("n") / (WIDER * BLOCK)).cast("int"))
+    # shingles of one block with the same first set have most sets in common: as a group, they need each fine point once
+    open_ = open_.select("token", "blocks", F.when(F.col("blocks") == 1, F.col("first")).otherwise(F.col("token")).alias("group"))
     own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
-    members = placed.join(open_, "token").withColumn("own", own).join(classes.select("a", "b", "fine").hint("merge"), ["a", "b"])
     # every set goes to the pairs of its block with each block
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("cell"), "a", "b", "point",
+    members = placed.join(open_, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = store(members.select(
+        "group", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("cell"), "token", "a", "b", "point",
         F.col("slot").bitwiseAND(F.lit(_SIZE)).alias("size"), "c", "own",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fine")
-    return dealt.repartition("token", "cell").sortWithinPartitions("token", "cell", "size").mapInArrow(
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "join-dealt")
+    fine = dealt.select("group", "cell", "a", "b").distinct().join(classes.select("a", "b", "fine").hint("merge"), ["a", "b"])
+    none = [F.lit(0).cast(dealt.schema[name].dataType).alias(name) for name in ("point", "size", "c", "own", "i", "j")]
+    rows = dealt.withColumn("fine", F.lit(None).cast("binary")).unionByName(
+        fine.select("group", "cell", F.lit(-1).cast("long").alias("token"), "a", "b", *none, "fine"))
+    return rows.repartition("group", "cell").sortWithinPartitions("group", "cell", "token", "size").mapInArrow(
         _search_across(percent, best), PAIR + ", open long").distinct()
 
 
@@ -543,9 +579,9 @@ def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
         levels[row["bucket"]] = min(255, int(row["n"]).bit_length())
     made = docs.select("text").mapInArrow(_postings(levels, n_words, percent), POSTING)
     dealt = made.repartition(F.shiftright("slot", 24)).sortWithinPartitions("slot", "a", "b")
-    shared = store(dealt.mapInArrow(_shared, POSTING), "join-shared")
-    again = lambda df: df.repartition(F.shiftright("slot", 24)).sortWithinPartitions("slot", "a", "b")
-    pairs = store(again(shared).mapInArrow(_search(percent), PAIR).distinct(), "join-pairs")
+    searched = store(dealt.mapInArrow(_search(percent), POSTING + ", a2 long, b2 long"), "join-searched")
+    shared = searched.where("slot is not null").select("slot", "a", "b", "point")
+    pairs = store(searched.where("slot is null").select(F.col("a").alias("a1"), F.col("b").alias("b1"), "a2", "b2").distinct(), "join-pairs")
     classes = profile.where("n > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.first("fine").alias("fine"), F.min("t").alias("t"))
     links = store(links_of(docs, refined_pairs(pairs, classes, percent), classes, n_words, percent), "join-links")
     names = store(connected(links), "join-components")
@@ -569,9 +605,3 @@ def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
     least = named.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return named.join(least, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of shingles that more than one set has."""
-    for columns in _runs(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _distinct(columns)], ["slot", "a", "b", "point"])
