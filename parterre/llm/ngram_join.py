@@ -51,6 +51,8 @@ WORDS, PERCENT = 5, 80
 GROUPS, LEAF, BLOCK = 8, 8, 512
 #: Blocks between which components are joined are this much larger: a set is copied once for each block of its shingle.
 WIDER = 4
+#: Shingles with the same first set are one group up to so many sets; with more sets they are dealt to as many more groups.
+GROUP = 64
 #: Share of its size by which a set is near another, if the bound allows it.
 NEAR = 0.9
 #: Buckets of the sketch of document frequencies, and bits of the bitmap of wanted classes: fixed sizes.
@@ -539,6 +541,19 @@ def connected(links: DataFrame) -> DataFrame:
             return names.select("x.a", "x.b", F.concat_ws(":", "c.a", "c.b").alias("c"))
 
 
+def connected_further(names: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``names`` (a, b, c) after more links: each end stands for its component, and only what is between
+    different components goes into the rounds, once."""
+    side = lambda k: names.select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"), F.col("c").alias(f"c{k}"))
+    # a component is named by one of its members
+    end = lambda k, at: F.coalesce(F.split(f"c{k}", ":")[at].cast("long"), F.col(f"{'ab'[at]}{k}")).alias(f"{'ab'[at]}{k}")
+    between = links.join(side(1), ["a1", "b1"], "left").join(side(2), ["a2", "b2"], "left").select(
+        end(1, 0), end(1, 1), end(2, 0), end(2, 1)).where((F.col("a1") != F.col("a2")) | (F.col("b1") != F.col("b2"))).distinct()
+    further = store(connected(between), "join-further")
+    named = names.join(further.select(F.concat_ws(":", "a", "b").alias("c"), F.col("c").alias("now")), "c", "left")
+    return named.select("a", "b", F.coalesce("now", "c").alias("c")).unionByName(further.join(names, ["a", "b"], "left_anti"))
+
+
 def pairs_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs of sets of different components under one shingle that both bounds let through; and in rows of their own,
     as ``open``, the shingles for which only the best were given."""
@@ -552,8 +567,10 @@ def pairs_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percen
     open_ = placed.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2"), F.min(h1).alias("first"), *[x.alias(k) for k, x in parts.items()]).where(
         (F.col("n") > LEAF) & (F.col("c1") != F.col("c2"))).groupBy("n", "first", *parts).agg(F.min("token").alias("token")).withColumn(
         "blocks", F.ceil(F.col("n") / (WIDER * BLOCK)).cast("int"))
-    # shingles of one block with the same first set have most sets in common: as a group, they need each fine point once
-    open_ = open_.select("token", "blocks", F.when(F.col("blocks") == 1, F.col("first")).otherwise(F.col("token")).alias("group"))
+    # shingles of one block with the same first set have most sets in common: as a group, they need each fine point once.
+    # The more sets, the fewer shingles a group has
+    part = F.xxhash64("first", F.pmod("token", F.ceil(F.col("n") / GROUP)))
+    open_ = open_.select("token", "blocks", F.when(F.col("blocks") == 1, part).otherwise(F.col("token")).alias("group"))
     own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
     # every set goes to the pairs of its block with each block
     members = placed.join(open_, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -594,8 +611,8 @@ def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
         new = store(found.where("open is null").drop("open").join(tried, ["a1", "b1", "a2", "b2"], "left_anti"), "join-pairs")
         if not new.isEmpty():
             tried = tried.unionByName(new)
-            links = store(links.unionByName(links_of(docs, new, classes, n_words, percent)), "join-links")
-            names = store(connected(links), "join-components")
+            links = store(links_of(docs, new, classes, n_words, percent), "join-links")
+            names = store(connected_further(names, links), "join-components")
         # the second time only where the first left pairs out
         left = store(found.where("open is not null").select(F.col("open").alias("token")).distinct(), "join-open")
         shared = shared.join(left, F.shiftright("slot", 24) == F.col("token"), "left_semi")

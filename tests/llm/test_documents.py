@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -224,6 +225,35 @@ def test_perfect_hash():
     assert sorted(index.slots(hashes).tolist()) == list(range(len(hashes)))
 
 
+def test_pairs_across_components_are_given_once_for_a_group():
+    """Shingles with nearly the same sets: what is made follows the pairs, not the shingles they share."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 400, np.uint64)
+    sets = [np.unique(np.append(base[:390], rng.integers(0, 2**63, 8, np.uint64))) for _ in range(20)]
+    fine = [ngram_join.fine_point(s) for s in sets]
+    rows = [(7, 0, -1, k, k, 0, 0, 0, 0, 0, 0, f) for k, f in enumerate(fine)]
+    for token in range(30):  # each without another set
+        rows += [(7, 0, token, k, k, ngram_join.point(s), len(s), k, 0, 0, 0, None) for k, s in enumerate(sets) if k != token % 20]
+    names = ["group", "cell", "token", "a", "b", "point", "size", "c", "own", "i", "j", "fine"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at: at + 37])], names) for at in range(20, len(rows), 37)]
+    first = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows[:20]))[:-1]), pa.array(fine, pa.binary())], names)
+    batches = [first, *(b.set_column(11, "fine", pa.nulls(b.num_rows, pa.binary())) for b in batches)]
+    for best in (True, False):
+        made = [r for b in ngram_join._search_across(80, best)(batches) for r in b.to_pylist() if r["open"] is None]
+        assert {(r["a1"], r["a2"]) for r in made} == {(i, j) for i in range(20) for j in range(i + 1, 20)} and len(made) == 190
+
+
+def test_a_shingle_that_tasks_repeat_loses_no_pair():
+    """Rows of one class that fill a batch: the class after them still meets those before them."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 100, np.uint64)
+    point = ngram_join.point(base)
+    batch = lambda keys: pa.RecordBatch.from_arrays([pa.array([5 << 24 | 100] * len(keys)), pa.array(keys), pa.array(keys), pa.array([point] * len(keys))],
+                                                    ["slot", "a", "b", "point"])
+    made = [r for b in ngram_join._search(80)([batch([1] + [2] * 900), batch([2, 3])]) for r in b.to_pylist()]
+    assert {(r["a1"] if "a1" in r else r["a"], r["a2"]) for r in made if r["a2"] is not None} == {(1, 2), (1, 3), (2, 3)}
+
+
 # --- decontamination, quality, licences
 
 
