@@ -20,8 +20,10 @@ groups as shingles, each empty, with one or with more), and what is left is veri
 only paired with the first in a fixed order of those near it in the tree. The
 order is the same under every shingle, so a group of copies meets at few of its
 sets and gives few pairs; then sets of different components, and only those, are
-paired in blocks. So
-groups of copies cost in proportion to their size, and no link is lost that could
+compared in blocks. What comes from a block is not its pairs: first the sets that
+both bounds let reach one of another component, then, with these sets in full
+beside each other, a forest of the links between components. So
+what is made grows with the sets of a group, not with its pairs, and no link is lost that could
 join two components. Equal sets are one class throughout.
 
 ``components`` returns, for each row, the class's set size and the smallest
@@ -35,11 +37,11 @@ other columns may have any name. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parterre.llm.common import bitmap_of, in_bitmap, store, travels
@@ -53,6 +55,8 @@ GROUPS, LEAF, BLOCK = 8, 8, 512
 WIDER = 4
 #: Shingles with the same first set are one group up to so many sets; with more sets they are dealt to as many more groups.
 GROUP = 64
+#: Shingles of the sets that are verified beside each other in one task; more are dealt to parts, each pair to one of them.
+TOGETHER = 1 << 23
 #: Share of its size by which a set is near another, if the bound allows it.
 NEAR = 0.9
 #: Buckets of the sketch of document frequencies, and bits of the bitmap of wanted classes: fixed sizes.
@@ -205,6 +209,8 @@ def _first_of(i: np.ndarray, j: np.ndarray, order: np.ndarray, *within: np.ndarr
 POSTING = "slot long, a long, b long, point long"  # slot: 40 bits of the shingle, 24 bits of the set's size
 PAIR = "a1 long, b1 long, a2 long, b2 long"
 _SIZE = (1 << 24) - 1
+#: Blocks that a cell's number tells apart.
+_PLACES = 1_000_000
 
 
 def _small_runs(run: np.ndarray, sizes: np.ndarray, points: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -345,23 +351,32 @@ def _across(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, own: n
             raw: list[bytes], percent: int, best: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """Candidate pairs of one shingle's cell between different components: all, or each set's best in each component; and
     whether there are others."""
-    if (component == component[0]).all():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    tree, fine, found, more = CountTree(sizes, points, percent), FineCounts(raw, sizes), [], False
-    for i, j, _ in tree.all_near():
-        once = (j < i) & (component[j] != component[i]) & ((i_block[i] == j_block[i]) | (own[j] != own[i]))
-        i, j = i[once], j[once]
-        bound = fine.bounds(i, j)
-        fits = bound >= needed(sizes[j], sizes[i], percent)
-        i, j, bound = i[fits], j[fits], bound[fits]
+    apart = lambda i, j: (i_block[i] == j_block[i]) | (own[j] != own[i])
+    found, more = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], False
+    for i, j, ratio in _near_across(points, sizes, component, apart, raw, percent):
         if best:
             every = len(i)
-            i, j = _first_of(i, j, np.lexsort((-bound / (sizes[j] + sizes[i]), component[j], i)), component[j])
+            i, j = _first_of(i, j, np.lexsort((-ratio, component[j], i)), component[j])
             more |= len(i) < every
         found.append((i, j))
     return *(np.concatenate(x) for x in zip(*found)), more
 
 
+def _near_across(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, apart: Callable[[np.ndarray, np.ndarray], np.ndarray],
+                 raw: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of different components that ``apart`` takes and both bounds let through, and the Jaccard that they allow."""
+    if (component == component[0]).all():
+        return
+    tree, fine = CountTree(np.minimum(sizes, _SIZE), points, percent), FineCounts(raw, sizes)
+    for i, j, _ in tree.all_near():
+        once = (j < i) & (component[j] != component[i]) & apart(i, j)
+        i, j = i[once], j[once]
+        bound, total = fine.bounds(i, j), sizes[j] + sizes[i]
+        fits = bound >= needed(sizes[j], sizes[i], percent)
+        i, j, bound, total = i[fits], j[fits], bound[fits], total[fits]
+        yield i, j, bound / np.maximum(total - bound, 1)
+
+
 def _cells(batches: Iterable[pa.RecordBatch], by: int) -> Iterator[list[np.ndarray]]:
     """Runs of rows that are equal in the first ``by`` columns, as arrays; rows are sorted by these."""
     held = None
@@ -402,6 +417,74 @@ def _search_across(percent: int, best: bool):
     return search
 
 
+ASKED = "group long, cell long, a long, b long, c long, own int"
+
+
+def _asked_across(percent: int):
+    """Of rows as in ``_search_across``, the sets (group, cell, a, b, c, own) that have a candidate pair, each once for a
+    group's cell: not more than it has sets, however many the pairs are."""
+    names = ["group", "cell", "a", "b", "c", "own"]
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fine: dict[tuple[int, int], tuple[int, bytes]] = {}
+        asked = np.zeros(0, bool)
+        for group, cell, token, a, b, points, sizes, component, own, i_block, j_block, raw in _cells(batches, 3):
+            keys = zip(a.tolist(), b.tolist())
+            if token[0] < 0:
+                fine, asked = {key: (k, x) for k, (key, x) in enumerate(zip(keys, raw))}, np.zeros(len(a), bool)
+                continue
+            place, raw = zip(*(fine[key] for key in keys))
+            place = np.array(place)
+            # a pair of two sets that have been found already tells nothing more
+            apart = lambda i, j: ((i_block[i] == j_block[i]) | (own[j] != own[i])) & ~(asked[place[i]] & asked[place[j]])  # noqa: B023, E731
+            before = asked[place]
+            for i, j, _ in _near_across(points, sizes, component, apart, raw, percent):
+                asked[place[i]] = asked[place[j]] = True
+            new = asked[place] & ~before
+            if new.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (group, cell, a, b, component, own)], names)
+    return search
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _forest(percent: int):
+    """Of whole sets (group, cell, part, a, b, c, own, share, shingles) sorted by group, cell and part, links that join all
+    components which any link of the part joins: fewer than the part has sets. The likeliest pairs are verified first, and
+    none whose components have been joined."""
+    def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cell, part, a, b, c, own, share, raw in _cells(batches, 3):
+            sets = [np.frombuffer(x, np.uint64) for x in raw]
+            component = np.unique(c, return_inverse=True)[1]
+            root = list(range(len(sets)))  # of components, of which there are not more than sets
+
+            def find(k: int) -> int:
+                while root[k] != k:  # noqa: B023
+                    root[k] = root[root[k]]  # noqa: B023
+                    k = root[k]  # noqa: B023
+                return k
+
+            # a cell or part of two different blocks only has the pairs between them
+            cross, aside = (x[0] // _PLACES != x[0] % _PLACES for x in (cell, part))
+            apart = lambda i, j: ((own[j] != own[i]) | (not cross)) & ((share[j] != share[i]) | (not aside))  # noqa: B023, E731
+            links = []
+            sizes, points = np.array([len(s) for s in sets]), np.array([point(s) for s in sets])
+            for i, j, ratio in _near_across(points, sizes, component, apart, [fine_point(s) for s in sets], percent):
+                for k in np.argsort(-ratio, kind="stable").tolist():
+                    x, y = int(i[k]), int(j[k])
+                    p, q = find(int(component[x])), find(int(component[y]))
+                    if p != q and _similar(sets[x], sets[y], percent):
+                        root[p] = q
+                        links.append((x, y))
+            if links:
+                i, j = np.array(links).T
+                yield _pair_batch(a, b, i, j)
+    return forest
+
+
 def _profiles(n_words: int):
     """(doc_id, n, a, b, fine, t) of each row (``t``: the text's hash), and at a task's end (bucket, count) where its share of the sketch is far above the mean."""
     def profiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,9 +561,7 @@ def _verified(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(4)], ["a1", "b1", "a2", "b2"]).filter(pa.array(keep, pa.bool_()))
     return verified
 
@@ -502,17 +583,26 @@ def refined_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFra
 
 
 def links_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough; ``classes`` has (a, b, t), ``t`` the hash of a text with that set."""
-    ends = store(classes.select("a", "b", "t").join(ends_of(pairs).hint("merge"), ["a", "b"]), "join-ends")
-    bitmap = bitmap_of(ends.select(F.pmod("t", F.lit(BITMAP)).alias("bit")), BITMAP)
-    sets = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(_wanted_sets(bitmap, n_words), "a long, b long, shingles binary")
-    sets = sets.join(ends, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("shingles").alias("shingles"))
-    sets = store(sets, "join-sets")
+    """The pairs whose sets are similar enough; ``classes`` has (a, b, n, t), ``t`` the hash of a text with that set."""
+    sets = sets_of(docs, wanted(classes, ends_of(pairs)), n_words)
     side = lambda k: sets.select(F.col("a").alias(f"a{k}"), F.col("b").alias(f"b{k}"), F.col("shingles").alias(f"s{k}"))
     full = pairs.hint("merge").join(side(1), ["a1", "b1"]).join(side(2).hint("merge"), ["a2", "b2"]).select("a1", "b1", "a2", "b2", "s1", "s2")
     return full.mapInArrow(_verified(percent), PAIR)
 
 
+def wanted(classes: DataFrame, ends: DataFrame) -> DataFrame:
+    """(a, b, n, t) of the classes in ``ends``, which has each once."""
+    return store(classes.select("a", "b", "n", "t").join(ends.hint("merge"), ["a", "b"]), "join-ends")
+
+
+def sets_of(docs: DataFrame, ends: DataFrame, n_words: int) -> DataFrame:
+    """(a, b, shingles) of the classes in ``ends``, made from the texts again."""
+    bitmap = bitmap_of(ends.select(F.pmod("t", F.lit(BITMAP)).alias("bit")), BITMAP)
+    sets = docs.select("text", F.xxhash64("text").alias("t")).mapInArrow(_wanted_sets(bitmap, n_words), "a long, b long, shingles binary")
+    sets = sets.join(ends, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.first("shingles").alias("shingles"))
+    return store(sets, "join-sets")
+
+
 def ends_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")),
                                           F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")))).alias("e")).select("e.*").distinct()
@@ -554,9 +644,9 @@ def connected_further(names: DataFrame, links: DataFrame) -> DataFrame:
     return named.select("a", "b", F.coalesce("now", "c").alias("c")).unionByName(further.join(names, ["a", "b"], "left_anti"))
 
 
-def pairs_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs of sets of different components under one shingle that both bounds let through; and in rows of their own,
-    as ``open``, the shingles for which only the best were given."""
+def asked_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(group, cell, a, b, c, own): the sets that, by both bounds, may be linked with one of another component under one of
+    a group's shingles; the other is among them too."""
     name = F.coalesce("c", F.concat_ws(":", "a", "b"))
     placed = store(shared.join(names, ["a", "b"], "left").select(
         F.shiftright("slot", 24).alias("token"), "slot", "a", "b", "point", F.xxhash64(name).alias("c")), "join-placed")
@@ -575,7 +665,7 @@ def pairs_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percen
     # every set goes to the pairs of its block with each block
     members = placed.join(open_, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = store(members.select(
-        "group", (F.least("own", "other") * 1_000_000 + F.greatest("own", "other")).cast("long").alias("cell"), "token", "a", "b", "point",
+        "group", _cell("own", "other").alias("cell"), "token", "a", "b", "point",
         F.col("slot").bitwiseAND(F.lit(_SIZE)).alias("size"), "c", "own",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "join-dealt")
     fine = dealt.select("group", "cell", "a", "b").distinct().join(classes.select("a", "b", "fine").hint("merge"), ["a", "b"])
@@ -583,7 +673,23 @@ def pairs_across(shared: DataFrame, names: DataFrame, classes: DataFrame, percen
     rows = dealt.withColumn("fine", F.lit(None).cast("binary")).unionByName(
         fine.select("group", "cell", F.lit(-1).cast("long").alias("token"), "a", "b", *none, "fine"))
     return rows.repartition("group", "cell").sortWithinPartitions("group", "cell", "token", "size").mapInArrow(
-        _search_across(percent, best), PAIR + ", open long").distinct()
+        _asked_across(percent), ASKED)
+
+
+def _cell(own: str, other: str) -> Column:
+    """The number of two blocks, in either order."""
+    return (F.least(own, other).cast("long") * _PLACES + F.greatest(own, other)).cast("long")
+
+
+def links_across(docs: DataFrame, asked: DataFrame, classes: DataFrame, n_words: int, percent: int) -> DataFrame:
+    """Links that join all components which any link within a cell of ``asked`` joins."""
+    ends = wanted(classes, asked.select("a", "b").distinct())
+    sets = sets_of(docs, ends, n_words)
+    parts = asked.join(ends.select("a", "b", "n"), ["a", "b"]).groupBy("group", "cell").agg(F.ceil(F.sum("n") / TOGETHER).cast("int").alias("parts"))
+    dealt = asked.join(parts, ["group", "cell"]).withColumn("share", F.pmod(F.xxhash64("b", "a"), F.col("parts")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part", _cell("share", "other"))
+    whole = dealt.hint("merge").join(sets.hint("merge"), ["a", "b"]).select("group", "cell", "part", "a", "b", "c", "own", "share", "shingles")
+    return whole.repartition("group", "cell", "part").sortWithinPartitions("group", "cell", "part").mapInArrow(_forest(percent), PAIR).distinct()
 
 
 def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -603,19 +709,12 @@ def components(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) ->
     links = store(links_of(docs, refined_pairs(pairs, classes, percent), classes, n_words, percent), "join-links")
     names = store(connected(links), "join-components")
 
-    # shingles with more sets than a leaf and with several components left: first the best pair of a set and another
-    # component, which joins nearly all that can be joined, then every pair that is still between components
-    tried = pairs
-    for best in (True, False):
-        found = store(pairs_across(shared, names, classes, percent, best), "join-across")
-        new = store(found.where("open is null").drop("open").join(tried, ["a1", "b1", "a2", "b2"], "left_anti"), "join-pairs")
-        if not new.isEmpty():
-            tried = tried.unionByName(new)
-            links = store(links_of(docs, new, classes, n_words, percent), "join-links")
+    # shingles with more sets than a leaf and with several components left: every set that may have a link between them
+    asked = store(asked_across(shared, names, classes, percent), "join-asked")
+    if not asked.isEmpty():
+        links = store(links_across(docs, asked, classes, n_words, percent), "join-links")
+        if not links.isEmpty():
             names = store(connected_further(names, links), "join-components")
-        # the second time only where the first left pairs out
-        left = store(found.where("open is not null").select(F.col("open").alias("token")).distinct(), "join-open")
-        shared = shared.join(left, F.shiftright("slot", 24) == F.col("token"), "left_semi")
 
     own_rows = profile.where("bucket is null").drop("fine", "t")
     named = own_rows.join(names, ["a", "b"], "left").withColumn("c", F.coalesce("c", F.concat_ws(":", "a", "b")))

@@ -243,6 +243,52 @@ def test_pairs_across_components_are_given_once_for_a_group():
         assert {(r["a1"], r["a2"]) for r in made} == {(i, j) for i in range(20) for j in range(i + 1, 20)} and len(made) == 190
 
 
+@pytest.mark.parametrize("together", [ngram_join.TOGETHER, 5_000])
+def test_sets_that_nearly_link_are_compared_and_not_listed_in_pairs(spark, together, monkeypatch):
+    """A passage whose documents are just too different: what the search makes follows the sets it is given, not their
+    pairs. Those that link are found, also where the sets are verified in parts."""
+    passage = words_of(21, 200)
+    rows = [(k, " ".join([*passage, *(f"own{k}x{n}" for n in range(27))])) for k in range(90)]
+    rows += [(100 + k, rows[k][1].rsplit(" ", 4)[0]) for k in range(0, 90, 9)]
+    made, names = {}, iter(range(1000))
+    store = ngram_join.store
+
+    def counted(df, name):
+        made[name, next(names)] = out = store(df, name)
+        return out
+
+    monkeypatch.setattr(ngram_join, "TOGETHER", together, raising=False)
+    monkeypatch.setattr(ngram_join, "store", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(ngram_join.components(df), "doc_id", "n_shingles", "component_id") == plain_components(rows)
+    dealt = sum(df.count() for (name, _), df in made.items() if name == "join-dealt")
+    after = [df.count() for (name, k), df in made.items() if k > next(x for n, x in made if n == "join-dealt") and name != "join-dealt"]
+    assert dealt > 0 and max(after) <= dealt
+
+
+def test_a_forest_joins_what_any_link_joins():
+    """Fewer links than sets; blocks and shares have the pairs between them only."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 400, np.uint64)
+    sets = [np.unique(np.append(base[:360], rng.integers(0, 2**63, 40, np.uint64))) for _ in range(12)]  # 0.818 all
+    sets += [np.unique(np.append(base[:350], rng.integers(0, 2**63, 50, np.uint64))) for _ in range(12)]  # 0.778 all
+    names = ["group", "cell", "part", "a", "b", "c", "own", "share", "shingles"]
+
+    def links(cell, part, own, share, c=range(24)):
+        columns = [[1] * 24, [cell] * 24, [part] * 24, range(24), range(24), c, own, share]
+        batch = pa.RecordBatch.from_arrays([*(pa.array(list(x), pa.int64()) for x in columns), pa.array([x.tobytes() for x in sets], pa.binary())], names)
+        return [(r["a1"], r["a2"]) for b in ngram_join._forest(80)([batch.slice(0, 7), batch.slice(7)]) for r in b.to_pylist()]
+
+    alone, odd = [0] * 24, [k % 2 for k in range(24)]
+    linked = lambda i, j: ngram_join._similar(sets[i], sets[j], 80)
+    reach = {i for i in range(24) if any(linked(i, j) for j in range(24) if i != j)}
+    for cell, part, own, share in ((0, 0, alone, alone), (1, 0, odd, alone), (0, 1, alone, odd)):
+        found = links(cell, part, own, share)
+        assert all(linked(i, j) for i, j in found) and len(found) == len(reach) - 1 and {x for pair in found for x in pair} == reach
+        assert all(i % 2 != j % 2 for i, j in found) or not (cell or part)
+    assert links(0, 0, alone, alone, [5] * 24) == []
+
+
 def test_a_shingle_that_tasks_repeat_loses_no_pair():
     """Rows of one class that fill a batch: the class after them still meets those before them."""
     rng = np.random.default_rng(6)
